@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from spanloom.llm import line_dedup, secret_scan, url_filter
+from spanloom.llm import decontaminate, fingerprint, line_dedup, secret_scan, sentencepiece_codec, url_filter, warc
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_fingerprint": fingerprint.op4_fingerprint,
+    "op5_warc": warc.op5_warc,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
+#: Tokens and sketches can't be told in SQL; tests hold those queries against other code.
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontaminate, fingerprint, line_dedup, secret_scan, sentencepiece_codec, url_filter, warc
+from spanloom.llm import decontaminate, fingerprint, line_dedup, quality, secret_scan, sentencepiece_codec, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontaminate, fingerprint, line_dedup, quality, secret_scan, sentencepiece_codec, url_filter, warc
+from spanloom.llm import decontaminate, fingerprint, line_dedup, quality, secret_scan, sentencepiece_codec, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
@@ -21,5 +22,6 @@ ORACLE_SQL = {
     "op5_warc": warc.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
 }

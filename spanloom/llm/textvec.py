@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK = 4 << 20
+#: Bytes whose hashes are summed at once.
+PIECE = 1 << 18
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -96,11 +98,23 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) ->
     last = offsets[1:][offsets[1:] > 0] - 1
     closes[last] = inside[last]
     ends = np.flatnonzero(closes) + 1
-    p = powers(_BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-    inv = powers(_BASE_INV, n + 1)
-    return Words(raw, starts, ends, np.searchsorted(starts, offsets), mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * GOLD))
+    return Words(raw, starts, ends, np.searchsorted(starts, offsets), _word_hashes(raw, starts, ends))
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of raw[starts:ends], piece by piece, so that the sums take little memory whatever the texts."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, a + PIECE)))
+        s, e = starts[i:j] - a, ends[i:j] - a
+        size = int(e[-1])
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum((raw[a : a + size].astype(np.uint64) + np.uint64(1)) * powers(_BASE, size), out=total[1:])
+        out[i:j] = (total[e] - total[s]) * powers(_BASE_INV, size + 1)[s]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * GOLD)
 
 
 def grams_of(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

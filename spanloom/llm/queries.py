@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontaminate, fingerprint, line_dedup, quality, secret_scan, sentencepiece_codec, substring_dedup, url_filter, warc
+from spanloom.llm import decontaminate, fingerprint, line_dedup, near_dedup, quality, secret_scan, sentencepiece_codec, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,

@@ -24,6 +24,11 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def gold(n: int) -> np.uint64:
+    """n times an odd constant, modulo 2 ** 64."""
+    return np.uint64(n * int(GOLD) % (1 << 64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -123,7 +128,7 @@ def grams_of(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values + np.uint64(seed) * GOLD) * powers(_KBASE, len(values)), out=total[1:])
+    np.cumsum(mix(values + gold(seed)) * powers(_KBASE, len(values)), out=total[1:])
     return mix((total[k:] - total[:-k]) * powers(_KBASE_INV, n) + np.uint64(k))
 
 

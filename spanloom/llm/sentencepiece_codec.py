@@ -11,6 +11,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct segments that a worker keeps; beyond, it starts anew.
-MOST_KEPT = 200_000
+MOST_KEPT = 2_000_000
 #: Segments that are encoded in one call, and threads that share it.
 AT_ONCE, THREADS = 4_000, 2
 
@@ -141,6 +142,39 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class _Segments:
+    """The ids of segments by their hashes, on arrays: a few dozen bytes a segment."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.used = 0
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """New hashes, sorted, and their ids."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.used += total
+
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        return self.starts[at], self.sizes[at]
+
+
 class Codec:
     """Encodes and decodes batches of texts. One for each worker; built from the model's bytes."""
 
@@ -153,8 +187,7 @@ class Codec:
         self.marked = build(self.model, normalise=False)
         self.judge = SentencePieceProcessor(model_proto=data)
         self.by_segment = self.model.splits_at_spaces and USER not in self.model.kinds
-        self.kept: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.kept = _Segments()
         self.repaired = 0
         shown = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
@@ -210,20 +243,16 @@ class Codec:
         np.cumsum((spaced.astype(np.uint64) + np.uint64(1)) * base[:-1], out=total[1:])
         hashes = tv.mix((total[ends] - total[starts]) * tv.powers(tv._BASE_INV, len(spaced) + 1)[starts] + (ends - starts).astype(np.uint64) * tv.GOLD)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.kept) + len(distinct) > MOST_KEPT:
-            self.kept, self.ids = {}, []
-        new = [k for k, h in enumerate(distinct.tolist()) if h not in self.kept]
-        if new:
+        if len(self.kept.hashes) + len(distinct) > MOST_KEPT:
+            self.kept = _Segments()
+        new = np.flatnonzero(~self.kept.has(distinct))
+        if len(new):
             data = spaced.tobytes()
             plain = [data[a + 1 : b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
-            for k, ids in zip(new, self._checked([(MARK + p).replace(" ", MARK) for p in plain], plain), strict=True):
-                self.kept[int(distinct[k])] = len(self.ids)
-                self.ids.append(np.array(ids, np.int32))
-        own = [self.ids[self.kept[h]] for h in distinct.tolist()]
-        sizes = np.array([len(x) for x in own])
-        flat = np.concatenate(own)
-        lengths = sizes[back]
-        out = flat[ragged((np.cumsum(sizes) - sizes)[back], lengths)]
+            self.kept.add(distinct[new], self._checked([(MARK + p).replace(" ", MARK) for p in plain], plain))
+        own_starts, own_sizes = self.kept.get(distinct)
+        lengths = own_sizes[back]
+        out = self.kept.flat[ragged(own_starts[back], lengths)]
         closed = np.concatenate([[0], np.cumsum(lengths)])
         doc_ends = np.zeros(len(offsets), np.int64)
         doc_ends[some + 1] = closed[np.append(np.searchsorted(starts, begins[1:]), len(starts))]
@@ -254,6 +283,18 @@ class Codec:
         return out
 
 
+_codecs: dict[bytes, Codec] = {}
+
+
+def codec_for(data: bytes) -> Codec:
+    """The worker's codec of a model; a worker that is used again keeps it, and its segments, for its next task."""
+    key = hashlib.sha256(data).digest()
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(data)
+    return _codecs[key]
+
+
 def _model_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -267,7 +308,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
     kept = docs.drop(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data)
+        codec = codec_for(data)
         for b in batches:
             ids, off = codec.encode(b.column(text_col))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))], [*b.schema.names, ids_col])
@@ -281,7 +322,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
     kept = rows.drop(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data)
+        codec = codec_for(data)
         for b in batches:
             lists = b.column(ids_col).fill_null([])
             off = np.asarray(lists.offsets).astype(np.int64)
@@ -299,7 +340,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data)
+        codec = codec_for(data)
         for b in batches:
             ids, off = codec.encode(b.column(1))
             back = codec.decode(ids, off)

@@ -56,3 +56,8 @@ def ascii_lower(c: Column) -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; it reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if small_enough(df, rows) else df

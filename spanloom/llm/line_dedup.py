@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import row_key, settled, table
+from spanloom.llm.common import bounded, row_key, settled, table
 
 #: A line is boilerplate from so many distinct sites on.
 LEAST_SITES = 10
@@ -16,6 +16,9 @@ LEAST_SITES = 10
 LOG_REGISTERS = 12
 #: Estimates within this share of the threshold, over ten standard errors, are replaced by exact counts.
 NEAR = 0.2
+#: Line hashes (16 bytes each) up to which a table of lines is broadcast; beyond, the join shuffles.
+MOST_BROADCAST = 500_000
+BLANKS = " \t\x0b\f\r"
 
 
 def _lines(text: Column) -> Column:
@@ -24,29 +27,27 @@ def _lines(text: Column) -> Column:
 
 def _line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """A row for each line that isn't blank: two hashes of the trimmed line, its place, its site's hash."""
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("string").alias("id"), F.xxhash64(site_col).alias("site"), F.col(site_col).isNotNull().alias("sited"), F.posexplode(_lines(F.col(text_col))).alias("pos", "raw"))
-    line = F.regexp_replace("raw", r"^[\s]+|[\s]+$", "")
-    rows = rows.withColumn("line", line).where("line <> ''")
-    return rows.select("key", "pos", "site", "sited", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.xxhash64(site_col).alias("site"), F.col(site_col).isNotNull().alias("sited"), F.posexplode(_lines(F.col(text_col))).alias("pos", "raw"))
+    rows = rows.withColumn("line", F.btrim("raw", F.lit(BLANKS))).where("line <> ''")
+    return rows.select("key", "id", "pos", "site", "sited", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
-def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES) -> DataFrame:
-    """(h1, h2, n_sites): the hashes of lines that stand on least_sites distinct sites or more.
+def boilerplate_lines(lines: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
+    """(h1, h2): the hashes of lines that stand on least_sites distinct sites or more. lines: (h1, h2, site, sited).
 
     A line must occur least_sites times, on two sites, to get a sketch at all; that is exact. The sketches, of sites by
     line hash, are merged by aggregation. Near the threshold exact distinct counts of the sites decide, so the result
     is that of exact counting unless an estimate is off by over ten standard errors.
     """
-    lines = _line_rows(docs, id_col, text_col, site_col).where("sited")
+    lines = lines.where("sited").select("h1", "h2", "site")
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
     often = settled(often.where((F.col("n") >= least_sites) & ((F.col("a") != F.col("b")) | F.lit(least_sites <= 1))).select("h1", "h2"), "often")
-    some = lines.join(often, ["h1", "h2"], "left_semi")
+    some = lines.join(bounded(often, MOST_BROADCAST), ["h1", "h2"], "left_semi")
     sketched = settled(some.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("n_sites")), "sketched")
     near = F.abs(F.col("n_sites") - least_sites) <= max(1.0, NEAR * least_sites)
-    exact = some.join(sketched.where(near).select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+    exact = lines.join(bounded(sketched.where(near).select("h1", "h2"), MOST_BROADCAST), ["h1", "h2"], "left_semi").distinct()
     exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n_sites"))
-    far = sketched.where(~near)
-    return far.unionByName(exact).where(F.col("n_sites") >= least_sites)
+    return sketched.where(~near).unionByName(exact).where(F.col("n_sites") >= least_sites).select("h1", "h2")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES) -> DataFrame:
@@ -58,18 +59,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no lines. Repeated rows are treated alike: each keeps a first occurrence. A document whose lines all go stays,
     with an empty text. Further columns stay.
     """
-    found = settled(boilerplate_lines(docs, id_col, text_col, site_col, least_sites).select("h1", "h2"), "boilerplate")
-    rows = _line_rows(docs.withColumn("__id", F.col(id_col)), id_col, text_col, site_col).select("key", "pos", "h1", "h2")
-    rows = rows.join(found, ["h1", "h2"])
-    ids = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id")).distinct()
-    rows = settled(rows.distinct().join(ids, "key"), "occurrences")
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("pos"))).alias("f"))
-    gone = rows.join(first, ["h1", "h2"]).where((F.col("key") != F.col("f.key")) | (F.col("pos") != F.col("f.pos")))
+    lines = settled(_line_rows(docs, id_col, text_col, site_col), "lines")
+    found = settled(boilerplate_lines(lines, least_sites), "boilerplate")
+    rows = lines.join(bounded(found, MOST_BROADCAST), ["h1", "h2"]).select("h1", "h2", "key", "id", "pos").distinct()
+    rows = settled(rows, "occurrences")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("pos"))
+    first = settled(rows.groupBy("h1", "h2").agg(F.min(order).alias("f")), "first")
+    gone = rows.join(bounded(first, MOST_BROADCAST), ["h1", "h2"]).where((F.col("key") != F.col("f.key")) | (F.col("pos") != F.col("f.pos")))
     gone = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_list("pos").alias("__gone"))
     keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(gone, "__key", "left")
-    lines = _lines(F.col(text_col))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    cut = _lines(F.col(text_col))
+    kept = F.filter(cut, lambda x, i: ~F.array_contains("__gone", i))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(cut)).cast("long")
     out = keyed.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")})
     return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__key", "__gone")
 
@@ -80,7 +81,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""with l as (select doc_id, source, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
-t as (select *, regexp_replace(raw, '^[\\s]+|[\\s]+$', '', 'g') as line from l),
+t as (select *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line from l),
 b as (select line, min((doc_id, pos)) as f from t where line <> '' group by line having count(distinct source) >= {LEAST_SITES}),
 k as (select t.*, b.line is not null and f <> (doc_id, pos) as gone from t left join b using (line)),
 o as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(raw, chr(10) order by pos) filter (not gone), '') as text from k group by doc_id)

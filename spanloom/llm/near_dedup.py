@@ -16,16 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import settled, table
+from spanloom.llm.common import bounded, settled, table
 from spanloom.llm.components import connected_components
+from spanloom.llm.sentencepiece_codec import ragged
 
 #: Words of a shingle, and least similarity of a link.
 SHINGLE, LEAST = 5, 0.8
 #: Bands and rows of a band. Two bags of similarity 0.8 share no band with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
-#: Rounds of meeting the least member of each band, after which what is left is compared member by member.
+#: Rounds of meeting each band's leader, after which what is left is compared in blocks.
 ROUNDS = 2
+#: Equal places of two signatures (by one byte each) from which bags may be similar: five standard deviations below LEAST * SIZE.
+PLAUSIBLE = int(LEAST * SIZE - 5 * (LEAST * (1 - LEAST) * SIZE) ** 0.5)
+#: Signatures in a block, bytes of text in a block, and ids (8 bytes each) that are broadcast.
+BLOCK_ROWS, BLOCK_BYTES, MOST_BROADCAST = 4096, 2 << 20, 500_000
 
 
 def shingles_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +125,8 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, a, b, size, bands) of (id, text): two hashes of the text, how many shingles it has, its bands."""
+    """(id, a, b, size, bands, print) of (id, text): two hashes of the text, how many shingles it has, its bands and a
+    byte of each place of its signature."""
     for batch in batches:
         raw, offsets = tv.text_bytes(batch.column(1))
         for i, j in tv.chunks(offsets, 1 << 20):
@@ -128,12 +134,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, shingle, count = shingles_of(part, off)
             n = j - i
             size = np.bincount(doc, count, n).astype(np.int64)
-            bands = bands_of(signatures(doc, shingle, count, n))
+            signature = signatures(doc, shingle, count, n)
+            bands = bands_of(signature)
+            prints = (tv.mix(signature.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
             some = size > 0
             ends = np.concatenate([[0], np.cumsum(some * BANDS)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, n), pa.array(tv.text_hash(part, off).view(np.int64)), pa.array(tv.text_hash(part, off, 1).view(np.int64)), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[some].ravel().view(np.int64)))],
-                ["id", "a", "b", "size", "bands"],
+                [batch.column(0).slice(i, n), pa.array(tv.text_hash(part, off).view(np.int64)), pa.array(tv.text_hash(part, off, 1).view(np.int64)), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[some].ravel().view(np.int64))), pa.array([x.tobytes() for x in prints], pa.binary())],
+                ["id", "a", "b", "size", "bands", "print"],
             )
 
 
@@ -153,78 +161,133 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in at], pa.int64()), pa.array([v[k] for k in at], pa.int64()), pa.array(found, pa.float64())], ["u", "v", "similarity"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Similar pairs of (u, v). Both texts come by joins on their ids; a much-paired one's rows may be split."""
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    texts = rows.join(bounded(ids, MOST_BROADCAST), "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
     return both.select("u", "v", "tu", "tv").mapInArrow(_verified, "u long, v long, similarity double")
 
 
+def _asked(queries: pa.Table, block: pa.Table) -> tuple[np.ndarray, ...]:
+    ids, classes, sizes = (block.column(c).to_numpy() for c in ("id", "class", "size"))
+    return ids, classes, sizes, *(queries.column(c).to_numpy() for c in ("id", "class", "size"))
+
+
+def _plausible(queries: pa.Table, block: pa.Table) -> pa.Table:
+    """(c, d): classes of a query and of a member of the block whose signatures agree as those of similar bags do."""
+    schema = pa.schema([("c", pa.int64()), ("d", pa.int64())])
+    if not len(queries) or not len(block):
+        return schema.empty_table()
+    _, classes, sizes, _, own, own_size = _asked(queries, block)
+    prints = np.stack([np.frombuffer(x, np.uint8) for x in block.column("print").to_pylist()])
+    out: set[tuple[int, int]] = set()
+    for c, size, p in zip(own.tolist(), own_size.tolist(), queries.column("print").to_pylist(), strict=True):
+        fits = (classes != c) & (np.minimum(sizes, size) >= LEAST * np.maximum(sizes, size) - 1e-9)
+        at = np.flatnonzero(fits)
+        at = at[(prints[at] == np.frombuffer(p, np.uint8)).sum(1) >= PLAUSIBLE]
+        out |= {(max(c, d), min(c, d)) for d in np.unique(classes[at]).tolist()}
+    return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=schema)
+
+
+def _compared(queries: pa.Table, block: pa.Table) -> pa.Table:
+    """(u, v, similarity): for each query and each other class of the block, its most similar member, if it is similar.
+    All are compared: the queries' shingles are looked up in the block's."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("similarity", pa.float64())])
+    if not len(queries) or not len(block):
+        return schema.empty_table()
+    ids, classes, sizes, own_id, own, own_size = _asked(queries, block)
+    raw, offsets = tv.text_bytes(block.column("text"))
+    doc, shingle, count = shingles_of(raw, offsets)
+    by = np.argsort(shingle, kind="stable")
+    doc, shingle, count = doc[by], shingle[by], count[by]
+    found = []
+    raw, offsets = tv.text_bytes(queries.column("text"))
+    which, mine, times = shingles_of(raw, offsets)
+    first = np.searchsorted(which, np.arange(len(queries) + 1))
+    for q in range(len(queries)):
+        s, t = mine[first[q] : first[q + 1]], times[first[q] : first[q + 1]]
+        lo, n = np.searchsorted(shingle, s), np.searchsorted(shingle, s, "right")
+        at = ragged(lo, n - lo)
+        both = np.bincount(doc[at], np.minimum(count[at], np.repeat(t, n - lo)), len(ids))
+        like = np.where(classes == own[q], 0, both / np.maximum(sizes + own_size[q] - both, 1))
+        hits = np.flatnonzero(like >= LEAST)
+        hits = hits[np.argsort(-like[hits], kind="stable")]
+        for k in hits[np.unique(classes[hits], return_index=True)[1]]:
+            found.append((max(own_id[q], ids[k]), min(own_id[q], ids[k]), like[k]))
+    return pa.table([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], schema=schema)
+
+
+def _in_blocks(members: DataFrame, key: str, weight, most: int, work, schema: str) -> DataFrame:
+    """work(queries, block) over members, of a group each (key), in blocks of members of at most about so much weight: the queries are
+    all members but those of the group's largest class, and go to each block."""
+    sizes = members.groupBy(key, "class").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    sizes = sizes.groupBy(key).agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.ceil(F.sum("w") / most).cast("int").alias("blocks"))
+    rows = members.join(sizes, key)
+    columns = [F.col(c).alias(c) for c in (key, *(c for c in members.columns if c != key))]
+    blocks = rows.select(*columns, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    queries = rows.where("class <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return queries.alias("q").groupBy(key, "block").cogroup(blocks.alias("b").groupBy(key, "block")).applyInArrow(lambda q, b: work(q, b), schema)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, class_id, n_links): class_id is the least id of the texts that are joined by links, directly or not; n_links
-    is the number of confirmed links of the row's text to other texts.
+    """(id_col, class_id): class_id is the least id of the texts that are joined by links, directly or not.
 
     Equal texts are of one class, whatever their length, and one of them, that of the least id, stands for all. Two texts are linked if
-    they share a band and their bags' similarity is LEAST or more. In every band, members first meet its least member. Links join classes, and bands
-    whose members are then of one class are done; in the others the members of different classes are compared, without pairs
-    that are too different in size to be similar or were compared before. So no link is lost that a band shows.
-    Null and empty texts have no shingles and equal each other; null ids form a class of their own with no id. Rows of one id and
+    they share a band and their bags' similarity is LEAST or more. In every band, members first meet its leaders. Links join classes, and bands
+    whose members are then of one class are done. In the others, members outside the band's largest class are held against all others
+    by their signatures, in blocks; classes that may be linked so form clusters, and in each the members outside its largest
+    class are compared exactly with all its members, in blocks. So no group is expanded into pairs, and a link that
+    a band shows is lost only if signatures agree in fewer than PLAUSIBLE of SIZE places (a chance of about 1e-6 at LEAST, less above).
+    Null and empty texts have no shingles and equal each other; rows with a null id have a null class. Rows of one id and
     different texts share their classes. The working tables are written to the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
-    sketches = settled(rows.mapInArrow(_sketched, "id long, a long, b long, size long, bands array<long>"), "sketches")
-    stands = sketches.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    stands = settled(stands, "texts")
-    bands = settled(stands.select(F.col("rep").alias("id"), "size", F.explode("bands").alias("band")), "bands")
+    sketches = settled(rows.mapInArrow(_sketched, "id long, a long, b long, size long, bands array<long>, print binary"), "sketches")
+    stands = sketches.groupBy("a", "b").agg(F.min_by(F.struct("id", "size", "bands", "print"), "id").alias("s"))
+    stands = settled(stands.select("a", "b", "s.*"), "texts")
+    bands = settled(stands.select("id", "size", F.explode("bands").alias("band")), "bands")
     shared = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = settled(bands.join(shared.select("band"), "band", "left_semi").distinct(), "members")
-    done = members.sparkSession.createDataFrame([], "u long, v long")
     links = members.sparkSession.createDataFrame([], "u long, v long, similarity double")
-    classes = members.select("id", F.col("id").alias("class")).distinct()
-    left = members.withColumn("class", F.col("id"))
-    for turn in range(ROUNDS + 1):
-        pairs = (_with_leader(left, turn) if turn < ROUNDS else _across(left)).join(done, ["u", "v"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-        texts = rows.join(ids, "id", "left_semi")
-        more = settled(_confirm(pairs, texts), "links")
-        done, links = done.union(pairs.select("u", "v")), links.union(more)
-        groups = connected_components(links, "u", "v")
-        classes = settled(members.select("id").distinct().join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class")), "classes")
-        here = members.join(classes, "id")
-        mixed = here.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
-        left = settled(here.join(mixed, "band", "left_semi"), "left")
-    counts = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("n_links"))
-    named = stands.select("a", "b", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").join(counts, "rep", "left")
-    named = named.select("a", "b", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = sketches.select("id", "a", "b").join(named, ["a", "b"]).select(F.col("id").alias(id_col), "class_id", "n_links")
-    nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    left, classes = members.withColumn("class", F.col("id")), None
+    for turn in range(ROUNDS):
+        pairs = settled(_with_leader(left, turn), "pairs")
+        links = links.union(settled(_confirm(pairs, rows), "links"))
+        classes, left = _regrouped(members, links)
+    prints = left.join(stands.select("id", "print"), "id")
+    edges = _in_blocks(prints, "band", F.lit(1), BLOCK_ROWS, _plausible, "c long, d long").distinct()
+    edges = settled(edges, "plausible")
+    if not edges.isEmpty():
+        clusters = connected_components(edges, "c", "d").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+        some = classes.join(clusters, "class").join(stands.select("id", "size"), "id")
+        texts = rows.join(bounded(some.select("id"), MOST_BROADCAST), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        found = _in_blocks(some.join(texts, "id"), "cluster", F.octet_length("text") + 1, BLOCK_BYTES, _compared, "u long, v long, similarity double")
+        links = links.union(settled(found, "links"))
+        classes, _ = _regrouped(members, links)
+    named = stands.select("a", "b", "id").join(classes, "id", "left").select("a", "b", F.coalesce("class", "id").alias("class_id"))
+    out = sketches.select("id", "a", "b").join(named, ["a", "b"]).select(F.col("id").alias(id_col), "class_id")
+    nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(nulls)
 
 
-def _with_leader(left: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of each member of a band with the band's leader: its least id, and in the next round its least id of the greatest class."""
-    if turn == 0:
-        leader = left.groupBy("band").agg(F.min(F.struct("id", "size", "class")).alias("l"))
-    else:
-        leader = left.groupBy("band").agg(F.min_by(F.struct("id", "size", "class"), F.struct(-F.col("class"), F.col("id"))).alias("l"))
-    pairs = left.join(leader, "band").where("class <> l.class")
-    return _sized(pairs.select("id", "size", F.col("l.id").alias("id2"), F.col("l.size").alias("size2")))
-
-
-def _across(left: DataFrame) -> DataFrame:
-    """Pairs of members of a band whose classes differ."""
-    other = left.select("band", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("class").alias("class2"))
-    return _sized(left.join(other, "band").where("class < class2"))
+def _regrouped(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class) of all members by the links so far, and members with their class of those bands that still have several."""
+    groups = connected_components(links, "u", "v").withColumnRenamed("node", "id")
+    classes = settled(members.select("id").distinct().join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("class")), "classes")
+    here = members.join(classes, "id")
+    mixed = here.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
+    return classes, settled(here.join(mixed, "band", "left_semi"), "left")
 
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (u > v) without those whose sizes rule a similarity of LEAST out."""
-    fits = F.least("size", "size2") >= LEAST * F.greatest("size", "size2") - 1e-9
-    return pairs.where(fits & (F.col("id") != F.col("id2"))).select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct()
+def _with_leader(left: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (u > v) of a band's members with its leader: its least id, and in the next round the least id of its greatest class;
+    without pairs of one class and those whose sizes rule a similarity of LEAST out."""
+    first = F.struct(F.lit(0), F.col("id")) if turn == 0 else F.struct(-F.col("class"), F.col("id"))
+    leader = left.groupBy("band").agg(F.min_by(F.struct("id", "size", "class"), first).alias("l"))
+    pairs = left.join(leader, "band").where("class <> l.class")
+    fits = F.least("size", "l.size") >= LEAST * F.greatest("size", "l.size") - 1e-9
+    return pairs.where(fits).select(F.greatest("id", "l.id").alias("u"), F.least("id", "l.id").alias("v")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,5 +302,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's class and number of links."""
+    """Every document's class."""
     return near_duplicates(table(spark, sf_dir, "documents"))

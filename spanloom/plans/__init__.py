@@ -1 +1,10 @@
-"""See the module docstrings of this folder."""
+"""All queries of the library but those of the llm subpackage."""
+
+from __future__ import annotations
+
+from spanloom.plans import detection, entities
+
+
+def all_queries() -> dict:
+    """name: (query, SQL that gives the same rows, or None)."""
+    return detection.QUERIES | entities.QUERIES

@@ -26,11 +26,11 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 #: Rounds of meeting each band's leader, after which what is left is compared in blocks.
-ROUNDS = 2
+ROUNDS = 3
 #: Equal places of two signatures (by one byte each) from which bags may be similar: five standard deviations below LEAST * SIZE.
 PLAUSIBLE = int(LEAST * SIZE - 5 * (LEAST * (1 - LEAST) * SIZE) ** 0.5)
 #: Signatures in a block, bytes of text in a block, and ids (8 bytes each) that are broadcast.
-BLOCK_ROWS, BLOCK_BYTES, MOST_BROADCAST = 4096, 2 << 20, 500_000
+BLOCK_ROWS, BLOCK_BYTES, MOST_BROADCAST = 4096, 1 << 19, 500_000
 
 
 def shingles_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,12 +249,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = settled(stands.select("id", "size", F.explode("bands").alias("band")), "bands")
     shared = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = settled(bands.join(shared.select("band"), "band", "left_semi").distinct(), "members")
-    links = members.sparkSession.createDataFrame([], "u long, v long, similarity double")
-    left, classes = members.withColumn("class", F.col("id")), None
+    left, classes = members.withColumn("class", F.col("id")), members.select("id", F.col("id").alias("class")).distinct()
     for turn in range(ROUNDS):
         pairs = settled(_with_leader(left, turn), "pairs")
-        links = links.union(settled(_confirm(pairs, rows), "links"))
-        classes, left = _regrouped(members, links)
+        classes, left = _regrouped(members, classes, settled(_confirm(pairs, rows), "links"))
     prints = left.join(stands.select("id", "print"), "id")
     edges = _in_blocks(prints, "band", F.lit(1), BLOCK_ROWS, _plausible, "c long, d long").distinct()
     edges = settled(edges, "plausible")
@@ -263,31 +261,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = classes.join(clusters, "class").join(stands.select("id", "size"), "id")
         texts = rows.join(bounded(some.select("id"), MOST_BROADCAST), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
         found = _in_blocks(some.join(texts, "id"), "cluster", F.octet_length("text") + 1, BLOCK_BYTES, _compared, "u long, v long, similarity double")
-        links = links.union(settled(found, "links"))
-        classes, _ = _regrouped(members, links)
+        classes, _ = _regrouped(members, classes, settled(found, "links"))
     named = stands.select("a", "b", "id").join(classes, "id", "left").select("a", "b", F.coalesce("class", "id").alias("class_id"))
     out = sketches.select("id", "a", "b").join(named, ["a", "b"]).select(F.col("id").alias(id_col), "class_id")
     nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(nulls)
 
 
-def _regrouped(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, class) of all members by the links so far, and members with their class of those bands that still have several."""
-    groups = connected_components(links, "u", "v").withColumnRenamed("node", "id")
-    classes = settled(members.select("id").distinct().join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("class")), "classes")
+def _regrouped(members: DataFrame, classes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class) of all members after new links between the classes so far, and members with their class of those bands that still
+    have several."""
+    of = lambda end, name: classes.select(F.col("id").alias(end), F.col("class").alias(name))
+    edges = links.select("u", "v").join(of("u", "c"), "u").join(of("v", "d"), "v").where("c <> d").select(F.greatest("c", "d").alias("c"), F.least("c", "d").alias("d")).distinct()
+    groups = connected_components(edges, "c", "d").withColumnRenamed("node", "class")
+    classes = settled(classes.join(groups, "class", "left").select("id", F.coalesce("component", "class").alias("class")), "classes")
     here = members.join(classes, "id")
     mixed = here.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
     return classes, settled(here.join(mixed, "band", "left_semi"), "left")
 
 
 def _with_leader(left: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (u > v) of a band's members with its leader: its least id, and in the next round the least id of its greatest class;
-    without pairs of one class and those whose sizes rule a similarity of LEAST out."""
-    first = F.struct(F.lit(0), F.col("id")) if turn == 0 else F.struct(-F.col("class"), F.col("id"))
+    """Distinct pairs (u > v) of a band's members with its leader, without pairs of one class and those whose sizes rule a similarity of
+    LEAST out. The leader is the band's least id, and in the last round the least id of its greatest class. In the first round each
+    member meets but one of its bands' leaders, that of the most bands; what that joins needn't be compared again."""
+    first = F.struct(F.lit(0), F.col("id")) if turn < ROUNDS - 1 else F.struct(-F.col("class"), F.col("id"))
     leader = left.groupBy("band").agg(F.min_by(F.struct("id", "size", "class"), first).alias("l"))
     pairs = left.join(leader, "band").where("class <> l.class")
     fits = F.least("size", "l.size") >= LEAST * F.greatest("size", "l.size") - 1e-9
-    return pairs.where(fits).select(F.greatest("id", "l.id").alias("u"), F.least("id", "l.id").alias("v")).distinct()
+    pairs = pairs.where(fits).groupBy("id", F.col("l.id").alias("other")).agg(F.count("*").alias("n"))
+    if turn == 0:
+        pairs = pairs.groupBy("id").agg(F.max_by("other", F.struct(F.col("n"), -F.col("other"))).alias("other"))
+    return pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import analytics, detection, entities
+from spanloom.plans import analytics, detection, entities, texts
 
 
 def all_queries() -> dict:
     """name: (query, SQL that gives the same rows, or None)."""
-    return detection.QUERIES | entities.QUERIES | analytics.QUERIES
+    return detection.QUERIES | entities.QUERIES | analytics.QUERIES | texts.QUERIES

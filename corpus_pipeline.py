@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import fresh_path, table
-from spanloom.llm.decontaminate import contamination
+from spanloom.llm.decontaminate import clean_documents
 from spanloom.llm.line_dedup import dedup_lines
 from spanloom.llm.near_dedup import keep_one
 from spanloom.llm.quality import classify
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't contaminated by the benchmark."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ascii_lower, row_key, settled, small_enough, table
+from spanloom.llm.common import ascii_lower, bounded, row_key, settled, table
 
 #: Words of a window; a document word inside a shared window is a hit.
 SPAN = 13
@@ -56,9 +56,26 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bench = settled(benchmark_windows(items, item_col, item_text, span), "benchmark")
     lengths = [r[0] for r in bench.select("len").distinct().limit(span).collect()]
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    none = keyed.withColumns({"n_words": F.size(words_of(F.col(text_col))).cast("long"), "n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "contaminated": F.lit(False)})
+    found = measured(keyed, items, text_col, item_col, item_text, span)
+    out = keyed.drop("n_words", "n_hit", "n_items", "items", "contaminated").join(bounded(found, MOST_BROADCAST), "__key", "left")
+    out = out.withColumns({"n_words": F.size(words_of(F.col(text_col))).cast("long"), "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.coalesce("contaminated", F.lit(False))})
+    return out.withColumn("n_items", F.size("items").cast("long")).drop("__key")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
+    """docs without the contaminated ones, as contamination() tells them; columns stay as they are."""
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    bad = measured(keyed, items, text_col, item_col, item_text, span).where("contaminated").select("__key")
+    return keyed.join(bounded(bad, MOST_BROADCAST), "__key", "left_anti").select(docs.columns)
+
+
+def measured(keyed: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text: str, span: int = SPAN) -> DataFrame:
+    """(__key, n_hit, items, contaminated) of the documents with hits, from rows with a __key; a table in the shared folder.
+    Only the texts of candidates are searched, and only they are shuffled, if at all."""
+    bench = settled(benchmark_windows(items, item_col, item_text, span), "benchmark")
+    lengths = [r[0] for r in bench.select("len").distinct().limit(span).collect()]
     if not lengths:
-        return none.drop("__key")
+        return keyed.sparkSession.createDataFrame([], "__key struct<a:long,b:long>, n_hit long, items array<string>, contaminated boolean")
     k = min(K, *lengths) if len(lengths) > 1 else min(K, lengths[0])
     window = span - k + 1
     bench = bench.withColumn("grams", F.expr(_grams("words", str(k))))
@@ -72,24 +89,25 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         pairs.append((texts.select("__key", F.explode(F.array_distinct("grams")).alias("fp")), shorts))
     found = None
     for probe, side in pairs:
-        hits = probe.join(F.broadcast(side) if small_enough(side, MOST_BROADCAST) else side, "fp").select("__key", "item_id").distinct()
+        hits = probe.join(bounded(side, MOST_BROADCAST), "fp").select("__key", "item_id").distinct()
         found = hits if found is None else found.union(hits)
     found = settled(found.distinct(), "candidates")
     windows = bench.select("item_id", "len", "windows")
     per_doc = found.join(windows, found["item_id"].eqNullSafe(windows["item_id"])).drop(windows["item_id"])
     per_doc = per_doc.groupBy("__key").agg(F.collect_list(F.struct("item_id", "len", "windows")).alias("__items"))
-    out = keyed.join(per_doc, "__key", "left").withColumn("__words", words_of(F.col(text_col)))
+    some = keyed.select("__key", F.col(text_col).alias("__text")).join(bounded(found.select("__key").distinct(), MOST_BROADCAST), "__key", "left_semi").dropDuplicates(["__key"])
+    out = settled(some.join(per_doc, "__key").select("__key", "__items", words_of(F.col("__text")).alias("__words")), "words")
     shared = f"transform(__items, it -> named_struct('item', it.item_id, 'len', it.len, 'shared', array_intersect(it.windows, if(it.len = {span}, __grams, {_grams('__words', 'it.len')}))))"
-    out = out.withColumn("__grams", F.when(F.col("__items").isNotNull(), F.expr(_grams("__words", str(span)))))
-    out = out.withColumn("__hits", F.expr(f"filter({shared}, it -> size(it.shared) > 0)"))
+    out = out.withColumn("__grams", F.expr(_grams("__words", str(span))))
+    # written out, so that what follows reads the hits instead of working them out wherever it names them
+    out = settled(out.withColumn("__hits", F.expr(f"filter({shared}, it -> size(it.shared) > 0)")).drop("__items"), "hits")
     lens = "array_distinct(transform(__hits, it -> it.len))"
     of_len = "array_distinct(flatten(transform(filter(__hits, it -> it.len = n), it -> it.shared)))"
     starts = f"flatten(transform({lens}, n -> transform(filter(transform(if(n = {span}, __grams, {_grams('__words', 'n')}), (g, i) -> named_struct('g', g, 'i', i)), x -> array_contains({of_len}, x.g)), x -> named_struct('s', x.i, 'e', x.i + n))))"
     covered = f"aggregate(array_sort({starts}), named_struct('to', 0, 'n', 0L), (a, x) -> named_struct('to', greatest(a.to, x.e), 'n', a.n + greatest(0, x.e - greatest(a.to, x.s))), a -> a.n)"
     names = "array_sort(array_distinct(transform(__hits, it -> coalesce(string(it.item), ''))))"
-    out = out.withColumns({"n_words": F.size("__words").cast("long"), "n_hit": F.expr(f"if(size(__hits) > 0, {covered}, 0L)"), "items": F.expr(f"coalesce({names}, cast(array() as array<string>))")})
-    out = out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))})
-    return out.drop("__key", "__items", "__words", "__grams", "__hits")
+    out = out.where("size(__hits) > 0").select("__key", F.expr(covered).alias("n_hit"), F.expr(names).alias("items"), F.size("__words").alias("n"))
+    return settled(out.select("__key", "n_hit", "items", (F.col("n_hit") * SHARE >= F.col("n")).alias("contaminated")), "contaminated")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

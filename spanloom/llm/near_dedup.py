@@ -175,18 +175,28 @@ def _asked(queries: pa.Table, block: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _plausible(queries: pa.Table, block: pa.Table) -> pa.Table:
-    """(c, d): classes of a query and of a member of the block whose signatures agree as those of similar bags do."""
+    """(c, d): joins the classes of queries with those of the block's members whose signatures agree as those of similar bags do. Classes
+    that are joined through others have no row of their own, so there are fewer rows than classes."""
     schema = pa.schema([("c", pa.int64()), ("d", pa.int64())])
     if not len(queries) or not len(block):
         return schema.empty_table()
     _, classes, sizes, _, own, own_size = _asked(queries, block)
     prints = np.stack([np.frombuffer(x, np.uint8) for x in block.column("print").to_pylist()])
-    out: set[tuple[int, int]] = set()
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.setdefault(c, c)) != c:
+            parent[c] = c = parent[up]
+        return c
+
     for c, size, p in zip(own.tolist(), own_size.tolist(), queries.column("print").to_pylist(), strict=True):
         fits = (classes != c) & (np.minimum(sizes, size) >= LEAST * np.maximum(sizes, size) - 1e-9)
         at = np.flatnonzero(fits)
         at = at[(prints[at] == np.frombuffer(p, np.uint8)).sum(1) >= PLAUSIBLE]
-        out |= {(max(c, d), min(c, d)) for d in np.unique(classes[at]).tolist()}
+        for d in np.unique(classes[at]).tolist():
+            x, y = sorted((root(c), root(d)))
+            parent[y] = x
+    out = [(c, root(c)) for c in parent if root(c) != c]
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=schema)
 
 

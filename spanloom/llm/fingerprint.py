@@ -164,7 +164,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list,
     heads = docs.select("id", range_of("id").alias("range")).groupBy("range").agg(F.max("id").alias("head")).orderBy("range").collect()
     firsts = {r["range"]: r["head"] for r in heads}
     order = list(firsts)
-    before = {b: a for a, b in zip([order[-1:] and order[-1], *order[:-1]], order, strict=True)}
+    before = {b: a for a, b in zip([*order[-1:], *order[:-1]], order, strict=True)}
     lone = F.create_map(*[F.lit(x) for k, v in firsts.items() if v is not None for x in (k, v)]) if any(v is not None for v in firsts.values()) else None
     is_head = F.col("id").isNull() if lone is None else F.when(F.col("id").isNull(), F.lit(True)).otherwise(F.col("id") == lone[F.col("range")])
     to = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]) if before else F.create_map(F.lit(0), F.lit(0))

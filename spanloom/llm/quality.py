@@ -167,9 +167,10 @@ class VoteModel:
 
     @classmethod
     def fit(cls, task: Task, votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteModel:
-        """Expectation-maximisation over vote patterns and how many documents have each. It starts from labellers that are
-        right nine times out of ten where they see a class, and weighs that as much as ten documents."""
-        first = np.array([[0.1, *(0.9 if x in kind else 0.3 for kind in task.kinds)] for x in task.labellers])
+        """Expectation-maximisation over vote patterns and how many documents have each. It starts from labellers that see
+        nine of ten documents of their kinds, one of ten of other kinds, and are wrong on one of fifty good ones, and weighs
+        that as much as ten documents."""
+        first = np.array([[0.02, *(0.9 if x in kind else 0.1 for kind in task.kinds)] for x in task.labellers])
         shares = np.array([1 - task.prior, *[task.prior / len(task.kinds)] * len(task.kinds)])
         model = cls(shares, first)
         for _ in range(rounds):
@@ -185,12 +186,12 @@ class VoteModel:
         return model
 
 
-def train(rows: list[tuple[np.ndarray, float, float]], epochs: int = 20, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
-    """Weights, and a bias at last, of a logistic scorer: adaptive steps over (distinct buckets, chance that it is bad, weight)."""
+def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 2000, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+    """Weights, and a bias at last, of a logistic scorer: about so many adaptive steps, each over 64 rows of (distinct buckets, chance that it is bad, weight)."""
     size = BUCKETS + TENTHS + 1
     w, g = np.zeros(size), np.full(size, 1e-8)
     order = np.random.default_rng(0)
-    for _ in range(epochs):
+    for _ in range(-(-steps * 64 // max(len(rows), 64))):
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 64)):
             if not len(batch):
                 continue

@@ -23,7 +23,7 @@ from spanloom.llm.sentencepiece_codec import ragged
 SPAN, K = 20, 6
 REACH = SPAN - K + 1
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Occurrences from which an anchor's windows are dealt out one by one instead of meeting at their anchor.
 HOT = 2_000
 #: Bytes of a window's hash that travel with its anchor, which has eight more.

@@ -26,7 +26,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct segments that a worker keeps; beyond, it starts anew.
-MOST_KEPT = 2_000_000
+MOST_KEPT = 600_000
 #: Segments that are encoded in one call, and threads that share it.
 AT_ONCE, THREADS = 4_000, 2
 

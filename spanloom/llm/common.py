@@ -61,3 +61,15 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most so many rows."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+#: Rows and bytes of a batch that goes to Python or comes from it. Workers and executors hold a few batches at a time, so their
+#: memory is bounded whatever the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after telling its session to send batches of that size; results don't depend on it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import bounded, settled, table
+from spanloom.llm.common import bounded, settled, small_batches, table
 from spanloom.llm.components import connected_components
 from spanloom.llm.sentencepiece_codec import ragged
 
@@ -166,7 +166,7 @@ def _confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     texts = rows.join(bounded(ids, MOST_BROADCAST), "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-    return both.select("u", "v", "tu", "tv").mapInArrow(_verified, "u long, v long, similarity double")
+    return small_batches(both.select("u", "v", "tu", "tv")).mapInArrow(_verified, "u long, v long, similarity double")
 
 
 def _asked(queries: pa.Table, block: pa.Table) -> tuple[np.ndarray, ...]:
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different texts share their classes. The working tables are written to the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
-    sketches = settled(rows.mapInArrow(_sketched, "id long, a long, b long, size long, bands array<long>, print binary"), "sketches")
+    sketches = settled(small_batches(rows).mapInArrow(_sketched, "id long, a long, b long, size long, bands array<long>, print binary"), "sketches")
     stands = sketches.groupBy("a", "b").agg(F.min_by(F.struct("id", "size", "bands", "print"), "id").alias("s"))
     stands = settled(stands.select("a", "b", "s.*"), "texts")
     bands = settled(stands.select("id", "size", F.explode("bands").alias("band")), "bands")

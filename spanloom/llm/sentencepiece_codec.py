@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import table
+from spanloom.llm.common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -314,7 +314,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
             ids, off = codec.encode(b.column(text_col))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))], [*b.schema.names, ids_col])
 
-    return kept.mapInArrow(run, kept.selectExpr("*", f"cast(null as array<int>) as `{ids_col}`").schema)
+    return small_batches(kept).mapInArrow(run, kept.selectExpr("*", f"cast(null as array<int>) as `{ids_col}`").schema)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -330,7 +330,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
             texts = codec.decode(np.asarray(lists.values.fill_null(0))[off[0] : off[-1]], off - off[0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
 
-    return kept.mapInArrow(run, kept.selectExpr("*", f"cast(null as string) as `{text_col}`").schema)
+    return small_batches(kept).mapInArrow(run, kept.selectExpr("*", f"cast(null as string) as `{text_col}`").schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -351,7 +351,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [id_col, "n_tokens", "ids", "decoded_sha256", "exact"],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
+    return small_batches(rows).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import table
+from spanloom.llm.common import small_batches, table
 from spanloom.llm.sentencepiece_codec import ragged
 
 #: Words of a window, and of the k-grams that its anchor is chosen from.
@@ -222,7 +222,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = anchors.select("anchor", "block", F.min("block").over(w).alias("a"), F.max("block").over(w).alias("b"), F.sum("n").over(w).alias("n"))
     shared = shared.where("a <> b").select("block", "anchor", (F.col("n") >= HOT).alias("hot"))
     sent = dealt.cogroup(shared.groupBy("block")).applyInArrow(_send, "key long, id long, h long, lo int, block int, prints binary")
-    marked = sent.repartition("key").sortWithinPartitions("key", "id", "h", "lo").mapInArrow(_mark, "block int, id long, h long, lo int, mask int")
+    marked = small_batches(sent.repartition("key").sortWithinPartitions("key", "id", "h", "lo")).mapInArrow(_mark, "block int, id long, h long, lo int, mask int")
     out = dealt.cogroup(marked.groupBy("block")).applyInArrow(_cut, _OUT)
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept", "spans")
 

@@ -120,20 +120,25 @@ def test_unigram_model_is_rebuilt():
 # --- 2
 
 
+def brute_lines(rows, least):
+    sites, first, out = defaultdict(set), {}, {}
+    for i, t, s in sorted(rows, key=lambda r: r[0]):
+        for pos, line in enumerate((t or "").split("\n")):
+            if line.strip(" \t\x0b\f\r"):
+                sites[line.strip(" \t\x0b\f\r")].update([s] if s else [])
+                first.setdefault(line.strip(" \t\x0b\f\r"), (i, pos))
+    for i, t, _ in rows:
+        lines = (t or "").split("\n")
+        keep = [x for p, x in enumerate(lines) if not (k := x.strip(" \t\x0b\f\r")) or len(sites[k]) < least or first[k] == (i, p)]
+        out[i] = (0 if t is None else len(lines), len(lines) - len(keep), None if t is None else "\n".join(keep))
+    return out
+
+
 def test_line_dedup_against_brute_force(spark, docs, empty):
     rows = [(i, "\n".join(["common line" if i % 2 else " common line ", f"own {i}", "", "rare" if i < 3 else f"x{i}"]), f"s{i % 12}") for i in range(40)]
     rows += [(50, None, "s1"), (51, "", "s1"), (52, "common line", None)]
     found = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(frame(spark, rows), least_sites=3).collect()}
-    sites, first = defaultdict(set), {}
-    for i, t, s in sorted(rows):
-        for pos, line in enumerate((t or "").split("\n")):
-            if line.strip():
-                sites[line.strip()].update([s] if s else [])
-                first.setdefault(line.strip(), (i, pos))
-    for i, t, _ in rows:
-        lines = (t or "").split("\n")
-        keep = [x for p, x in enumerate(lines) if len(sites[x.strip()]) < 3 or not x.strip() or first[x.strip()] == (i, p)]
-        assert found[i] == (0 if t is None else len(lines), len(lines) - len(keep), None if t is None else "\n".join(keep))
+    assert found == brute_lines(rows, 3)
     out = line_dedup.dedup_lines(docs, least_sites=3)
     assert out.count() == len(ROWS) and set(docs.columns) <= set(out.columns)
     assert line_dedup.dedup_lines(empty).count() == 0
@@ -252,13 +257,14 @@ def brute_contamination(docs, items, span=13):
         for k in range(len(w) - n + 1 if w else 0):
             windows[tuple(w[k : k + n])].add(i)
     out = []
+    sizes = {len(win) for win in windows}
     for i, t in docs:
         w, hit, names = words(t), set(), set()
-        for win, ids in windows.items():
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k : k + len(win)]) == win:
-                    hit |= set(range(k, k + len(win)))
-                    names |= ids
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (found := windows.get(tuple(w[k : k + n]))) is not None:
+                    hit |= set(range(k, k + n))
+                    names |= found
         out.append((i, len(w), len(hit), len(names), sorted(map(str, names)), bool(hit) and 20 * len(hit) >= len(w)))
     return Counter(map(str, out))
 

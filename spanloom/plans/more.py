@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import repair
 from spanloom.functions import validators as v
 from spanloom.functions.regex import sql_regex
-from spanloom.operators import analytics, layout, review, rules
+from spanloom.operators import address, analytics, layout, matching, review, rules
 from spanloom.operators.extract import HIGH_RECALL, Pattern, extract, extract_sql
+from spanloom.plans import texts as texts_plans
 from spanloom.plans.inputs import ENTITIES_SQL, TEXTS_SQL, derived, entities, in_sql, table, texts
 
 E, T = f"e as {ENTITIES_SQL}", f"t as materialized {TEXTS_SQL}"
@@ -166,11 +168,58 @@ def k3_mapping_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", "text", "type", F.col("n").cast("string")), F.lit(" |")).alias("line"))
 
 
+def p14_repair(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d).select("doc_id", repair.split_merged(F.concat(F.lit("8085Zurich,Softcom TechnologiesSA l'eau Tél.direct +41216274137 www. x. ch a @ b  "), "text")).alias("text"))
+
+
+def p26_markdown(spark: SparkSession, d: str) -> DataFrame:
+    c = F.substring("text", 1, 60)
+    return table(spark, d, "documents").select("doc_id", repair.heading(c, (F.col("doc_id") % 9).cast("int")).alias("heading"), repair.quoted(c).alias("quote"), repair.looks_like_code(F.concat(F.when(F.col("doc_id") % 2 == 0, "let a = 1").otherwise(""), c)).alias("code"), repair.ending(F.concat(F.lit("A."), F.col("lang"), F.when(F.col("doc_id") % 3 == 0, ".MD").otherwise(""))).alias("ending"))
+
+
+def j11_matching(spark: SparkSession, d: str) -> DataFrame:
+    rows = entities(spark, d)
+    return matching.match(rows.where("source = 'ML'"), rows.where("source = 'RULE'"))
+
+
+def c10_type_boosts(spark: SparkSession, d: str) -> DataFrame:
+    rows = entities(spark, d).withColumn("doc_type", F.element_at(F.array(*[F.lit(k) for k in matching.TYPE_BOOSTS]), (F.col("doc_id") % len(matching.TYPE_BOOSTS) + 1).cast("int")))
+    return matching.boosted_by_type(rows).select("doc_id", "entity_id", "doc_type", "boosted")
+
+
+_KINDS = "[" + ", ".join(f"'{k}'" for k in matching.TYPE_BOOSTS) + "]"
+_BOOSTS = " ".join(f"when doc_type = '{d}' and type = '{t}' then {b}" for d, ts in matching.TYPE_BOOSTS.items() for t, b in ts.items())
+
+
+def a19_components(spark: SparkSession, d: str) -> DataFrame:
+    return matching.component_counts(address.components(texts(spark, d)))
+
+
+def k4_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return matching.mapping_statistics(entities(spark, d))
+
+
+def a20_denied(spark: SparkSession, d: str) -> DataFrame:
+    """By type, how many high-recall entities the deny list drops."""
+    found = extract(texts(spark, d), HIGH_RECALL).withColumn("text", F.when(F.length("text") % 5 == 0, "Total").otherwise(F.col("text")))
+    kept = rules.not_denied(found, patterns={}).groupBy("type").agg(F.count("*").alias("kept"))
+    return found.groupBy("type").agg(F.count("*").alias("n")).join(kept, "type", "left").select("type", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("denied"))
+
+
+_A19 = ", ".join(f"count(*) filter (type = '{k}') as {k.lower()}" for k in ("STREET_NAME", "STREET_NUMBER", "POSTAL_CODE", "CITY", "COUNTRY"))
+_MERGED_IN = "'8085Zurich,Softcom TechnologiesSA l''eau Tél.direct +41216274137 www. x. ch a @ b  ' || text"
 _ENTITY = "select doc_id, entity_id"
 QUERIES = {
     "a15_failures": (a15_failures, None),
     "a16b_review": (a16b_review, _A16B),
     "a16c_manual": (a16c_manual, f"with {E} {_ENTITY}, type || '_MANUAL_' || row_number() over (partition by doc_id, type order by start, entity_id) as replacement from e"),
+    "a19_components": (a19_components, f"select doc_id, {_A19} from ({texts_plans.QUERIES['x7_address_components'][1]}) group by doc_id"),
+    "a20_denied": (a20_denied, f"with {T}, f as (select type, case when length(text) % 5 = 0 then 'Total' else text end as text from {extract_sql('t', HIGH_RECALL)}) select type, count(*) as n, count(*) filter (lower(trim(text)) in ({_DENIED})) as denied from f group by type"),
+    "c10_type_boosts": (c10_type_boosts, f"with {E}, k as (select *, {_KINDS}[doc_id % {len(matching.TYPE_BOOSTS)} + 1] as doc_type from e) select doc_id, entity_id, doc_type, round(least(1.0, confidence + case {_BOOSTS} else 0 end), 6)::double as boosted from k"),
+    "j11_matching": (j11_matching, None),
+    "k4_statistics": (k4_statistics, f"with {E}, c as (select * from e where confidence >= 0.6) select '- **Total entities detected**: ' || count(*) as line from e union all select '- **Entities anonymized**: ' || count(*) from c union all select '- **Entities skipped**: ' || count(*) filter (confidence < 0.6) from e union all select '- **' || type || '**: ' || count(*) from c group by type union all select '- **' || source || '**: ' || count(*) from c group by source"),
+    "p14_repair": (p14_repair, f"with {T} select doc_id, {repair.split_merged_sql(_MERGED_IN)} as text from t"),
+    "p26_markdown": (p26_markdown, f"with c as (select *, left(text, 60) as s from documents) select doc_id, repeat('#', greatest(1, least(6, doc_id % 9))::int) || ' ' || s || chr(10) || chr(10) as heading, array_to_string(list_transform(string_split(s, chr(10)), lambda x: '> ' || x), chr(10)) || chr(10) || chr(10) as quote, {repair.looks_like_code_sql("(case when doc_id % 2 = 0 then 'let a = 1' else '' end || s)")} as code, case when doc_id % 3 = 0 then '.md' else '.' || lang end as ending from c"),
     "a17_batch": (a17_batch, f"with f as {in_sql(FILES)} select count(*) as total, " + ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("pending", "processing", "completed", "failed", "cancelled")) + ", round(100 * count(*) filter (status in ('completed', 'failed', 'cancelled')) / count(*), 2) as percent from f"),
     "c9_enhanced": (c9_enhanced, None),
     "j13_detectors": (j13_detectors, _J13),

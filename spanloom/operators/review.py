@@ -64,7 +64,7 @@ def merge_detectors(regex: DataFrame, model: DataFrame) -> DataFrame:
 def batch_states(files: DataFrame) -> DataFrame:
     """Counts of files (status) by state, and the percentage that is done."""
     done = F.col("status").isin("completed", "failed", "cancelled")
-    return files.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "processing", "completed", "failed", "cancelled")], F.coalesce(F.round(100 * F.count_if(done) / F.count("*"), 2), F.lit(0.0)).alias("percent"))
+    return files.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "processing", "completed", "failed", "cancelled")], F.coalesce(F.round(F.try_divide(100 * F.count_if(done), F.count("*")), 2), F.lit(0.0)).alias("percent"))
 
 
 def failures(rates: DataFrame, least_precision: float, least_recall: float) -> DataFrame:

@@ -140,7 +140,7 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", out_col: str
             prints = shown(*sketch_texts([t or "" for t in b.column(text_col).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.string())], [*b.schema.names, out_col])
 
-    return small_batches(kept).mapInArrow(run, kept.selectExpr("*", f"'' as `{out_col}`").schema)
+    return small_batches(kept).mapInArrow(tv.trimmed(run), kept.selectExpr("*", f"'' as `{out_col}`").schema)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list, list[str], list[str]], pa.RecordBatch], schema: str) -> DataFrame:
@@ -190,7 +190,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list,
                 if pairs:
                     yield work([p[0] for p in pairs], [p[1] for p in pairs], [p[2] for p in pairs])
 
-    return small_batches(rows).mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(tv.trimmed(run), schema)
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

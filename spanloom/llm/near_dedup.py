@@ -166,7 +166,7 @@ def _confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     texts = rows.join(bounded(ids, MOST_BROADCAST), "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-    return small_batches(both.select("u", "v", "tu", "tv")).mapInArrow(_verified, "u long, v long, similarity double")
+    return small_batches(both.select("u", "v", "tu", "tv")).mapInArrow(tv.trimmed(_verified), "u long, v long, similarity double")
 
 
 def _asked(queries: pa.Table, block: pa.Table) -> tuple[np.ndarray, ...]:
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different texts share their classes. The working tables are written to the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
-    sketches = settled(small_batches(rows).mapInArrow(_sketched, "id long, a long, b long, size long, bands array<long>, print binary"), "sketches")
+    sketches = settled(small_batches(rows).mapInArrow(tv.trimmed(_sketched), "id long, a long, b long, size long, bands array<long>, print binary"), "sketches")
     stands = sketches.groupBy("a", "b").agg(F.min_by(F.struct("id", "size", "bands", "print"), "id").alias("s"))
     stands = settled(stands.select("a", "b", "s.*"), "texts")
     bands = settled(stands.select("id", "size", F.explode("bands").alias("band")), "bands")
@@ -305,14 +305,23 @@ def _with_leader(left: DataFrame, turn: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, that of its least id (rows with null ids all stay). Columns stay as they are."""
-    found = near_duplicates(docs, id_col, text_col)
-    first = found.groupBy("class_id").agg(F.min(id_col).alias("__first")).where("__first is not null")
-    kept = docs.join(first.select(F.col("__first").alias(id_col)), id_col, "left_semi")
-    kept = kept.withColumn("__h", F.xxhash64(text_col))
-    one = kept.groupBy(id_col).agg(F.min("__h").alias("__h"))
-    kept = kept.join(one, [id_col, "__h"], "left_semi").drop("__h").dropDuplicates([id_col])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each class: of its least id, and of several rows of that id the one with the least hash of its text
+    (rows with null ids all stay). Columns stay as they are. Only ids and hashes are worked on; the rows that go are then
+    taken out by an anti join, which shuffles no text unless they are many."""
+    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    first = found.groupBy("class_id").agg(F.min(id_col).alias("id")).select("id")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).where("id is not null").groupBy("id", "h").agg(F.count("*").alias("n"))
+    best = rows.groupBy("id").agg(F.min("h").alias("best")).join(first, "id", "left_semi")
+    rows = settled(rows.join(best, "id", "left").withColumn("stays", F.coalesce(F.col("h") == F.col("best"), F.lit(False))).select("id", "h", "n", "stays"), "kept")
+    gone = bounded(rows.where("not stays").select("id", "h"), MOST_BROADCAST)
+    keyed = docs.withColumn("__h", F.xxhash64(text_col))
+    at = lambda df: (keyed[id_col] == df["id"]) & (keyed["__h"] == df["h"])
+    kept = keyed.join(gone, at(gone), "left_anti")
+    twice = rows.where("stays and n > 1").select("id", "h")
+    if not twice.isEmpty():
+        more = bounded(twice, MOST_BROADCAST)
+        kept = kept.join(more, at(more), "left_anti").unionByName(keyed.join(more, at(more), "left_semi").dropDuplicates([id_col]))
+    return kept.select(docs.columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

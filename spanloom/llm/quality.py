@@ -222,7 +222,7 @@ def votes_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame | No
                 found = heuristic_votes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(found[x]) for x in names)], ["id", "h", *names])
 
-    out = small_batches(rows).mapInArrow(run, "id string, h long, " + ", ".join(f"{x} byte" for x in names))
+    out = small_batches(rows).mapInArrow(tv.trimmed(run), "id string, h long, " + ", ".join(f"{x} byte" for x in names))
     if labels is None:
         return out.withColumns({"marked_low": F.lit(ABSTAIN).cast("byte"), "marked_toxic": F.lit(ABSTAIN).cast("byte")})
     marks = labels.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels:
                 at = np.searchsorted(text, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))], ["id", "h", "at"])
 
-    gathered = small_batches(rows).mapInArrow(run, "id string, h long, at array<int>").toArrow()
+    gathered = small_batches(rows).mapInArrow(tv.trimmed(run), "id string, h long, at array<int>").toArrow()
     keys = list(zip(gathered.column("id").to_pylist(), gathered.column("h").to_pylist(), strict=True))
     first = sorted({k: i for i, k in reversed(list(enumerate(keys)))}.items(), key=lambda x: (x[0][1], x[0][0] or ""))
     lists = gathered.column("at").combine_chunks()
@@ -305,7 +305,7 @@ def score(docs: DataFrame, scorers: list[Scorer], text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s) for s in scores), pa.array(rejected)], [*b.schema.names, *names, "rejected"])
 
     schema = kept.selectExpr("*", *[f"cast(0 as double) as {n}" for n in names], "true as rejected").schema
-    return small_batches(kept).mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(tv.trimmed(run), schema)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:

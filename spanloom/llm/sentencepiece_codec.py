@@ -183,7 +183,7 @@ class Codec:
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         self.model = Model.parse(data)
-        self.full = build(self.model)
+        self.full = None
         self.marked = build(self.model, normalise=False)
         self.judge = SentencePieceProcessor(model_proto=data)
         self.by_segment = self.model.splits_at_spaces and USER not in self.model.kinds
@@ -207,6 +207,8 @@ class Codec:
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
         """Texts one by one, without the detour over segments."""
+        if self.full is None:
+            self.full = build(self.model)
         theirs = self.judge.encode(texts, num_threads=1)
         ours = [e.ids for e in self.full.encode_batch(texts, add_special_tokens=False)]
         self.repaired += sum(a != b for a, b in zip(ours, theirs, strict=True))
@@ -314,7 +316,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
             ids, off = codec.encode(b.column(text_col))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))], [*b.schema.names, ids_col])
 
-    return small_batches(kept).mapInArrow(run, kept.selectExpr("*", f"cast(null as array<int>) as `{ids_col}`").schema)
+    return small_batches(kept).mapInArrow(tv.trimmed(run), kept.selectExpr("*", f"cast(null as array<int>) as `{ids_col}`").schema)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -330,7 +332,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
             texts = codec.decode(np.asarray(lists.values.fill_null(0))[off[0] : off[-1]], off - off[0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
 
-    return small_batches(kept).mapInArrow(run, kept.selectExpr("*", f"cast(null as string) as `{text_col}`").schema)
+    return small_batches(kept).mapInArrow(tv.trimmed(run), kept.selectExpr("*", f"cast(null as string) as `{text_col}`").schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -351,7 +353,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [id_col, "n_tokens", "ids", "decoded_sha256", "exact"],
             )
 
-    return small_batches(rows).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
+    return small_batches(rows).mapInArrow(tv.trimmed(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,18 @@ class Block:
         return doc, np.arange(len(doc)) - self.words.first[doc]
 
 
+def _trimmed(work):
+    """work on a block, then a trim()."""
+
+    def one(*tables: pa.Table) -> pa.Table:
+        try:
+            return work(*tables)
+        finally:
+            tv.trim()
+
+    return (lambda rows: one(rows)) if work is _index else (lambda rows, other: one(rows, other))
+
+
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("block", pa.int32()), ("n", pa.int32())])
 _SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("block", pa.int32()), ("prints", pa.binary())])
 _MARKED = pa.schema([("block", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("mask", pa.int32())])
@@ -217,13 +229,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     dealt = rows.groupBy("block")
-    anchors = dealt.applyInArrow(_index, "anchor long, block int, n int")
+    anchors = dealt.applyInArrow(_trimmed(_index), "anchor long, block int, n int")
     w = Window.partitionBy("anchor")
     shared = anchors.select("anchor", "block", F.min("block").over(w).alias("a"), F.max("block").over(w).alias("b"), F.sum("n").over(w).alias("n"))
     shared = shared.where("a <> b").select("block", "anchor", (F.col("n") >= HOT).alias("hot"))
-    sent = dealt.cogroup(shared.groupBy("block")).applyInArrow(_send, "key long, id long, h long, lo int, block int, prints binary")
-    marked = small_batches(sent.repartition("key").sortWithinPartitions("key", "id", "h", "lo")).mapInArrow(_mark, "block int, id long, h long, lo int, mask int")
-    out = dealt.cogroup(marked.groupBy("block")).applyInArrow(_cut, _OUT)
+    sent = dealt.cogroup(shared.groupBy("block")).applyInArrow(_trimmed(_send), "key long, id long, h long, lo int, block int, prints binary")
+    marked = small_batches(sent.repartition("key").sortWithinPartitions("key", "id", "h", "lo")).mapInArrow(tv.trimmed(_mark), "block int, id long, h long, lo int, mask int")
+    out = dealt.cogroup(marked.groupBy("block")).applyInArrow(_trimmed(_cut), _OUT)
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept", "spans")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,31 @@ CHUNK = 1 << 20
 #: Bytes whose hashes are summed at once.
 PIECE = 1 << 18
 
+_libc = None
+
+
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system; an idle worker keeps its process."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        _libc = ctypes.CDLL(None)
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches, with a trim() at the end of the task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))

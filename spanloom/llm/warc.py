@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm import textvec as tv
 from spanloom.llm.common import fresh_path, small_batches, table
 
 #: Records of one archive file, at most.
@@ -168,7 +169,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     schema = pa.schema([*[(k, pa.string()) for k in ("type", "record_id", "refers_to", "uri", "digest")], ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
     files = spark.read.format("binaryFile").load(path).select("content")
-    return small_batches(files).mapInArrow(run, "type string, record_id string, refers_to string, uri string, digest string, page_id long, payload_bytes long, payload binary")
+    return small_batches(files).mapInArrow(tv.trimmed(run), "type string, record_id string, refers_to string, uri string, digest string, page_id long, payload_bytes long, payload binary")
 
 
 def resolve_revisits(found: DataFrame) -> DataFrame:

@@ -71,6 +71,20 @@ def priority_dedup(entities: DataFrame) -> DataFrame:
     return folded(entities, lambda x: [x["start"], -rank_of(x["type"])], step)
 
 
+def rule_dedup(entities: DataFrame) -> DataFrame:
+    """In the order in which the rules found them (entity_id): an entity that overlaps none of the kept stays; one that does takes the place of
+    the first it overlaps, if it is surer."""
+
+    def step(acc: Column, last: Column, x: Column) -> Column:
+        meets = F.transform(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+        at = F.array_position(meets, True).cast("int")
+        surer = x["confidence"] > F.get(acc, at - 1)["confidence"]
+        changed = F.transform(acc, lambda k, i: F.when(i == at - 1, _entity(x)).otherwise(k))
+        return F.when(at == 0, F.array_append(acc, _entity(x))).when(surer, changed).otherwise(acc)
+
+    return folded(entities, lambda x: [x["entity_id"]], step)
+
+
 def consolidate(entities: DataFrame) -> DataFrame:
     """By start, an entity and all later ones that overlap it are consumed, and their winner stays: the highest rank times
     confidence, then the longest, then the first."""

@@ -185,11 +185,13 @@ def k2_mapping(spark: SparkSession, d: str) -> DataFrame:
     return linking.mapping_json(linking.pseudonyms(entities(spark, d)))
 
 
+_AT = 'list_position(list_transform(acc, lambda k: k.start < y[1]."end" and y[1].start < k."end"), true)'
 QUERIES = {
     "flagship_pseudonymise": (flagship_pseudonymise, _FLAG),
     "o1_source_merge": (fold(overlap.merge_sources), _fold("start", [_APART, ("y[1].source <> acc[-1].source and acc[-1].source <> 'BOTH'", f"list_concat(acc[:-2], [{_BOTH}])")])),
     "o2_final_dedup": (fold(overlap.final_dedup), _fold('start, start - "end"', [_APART, ("y[1].confidence > acc[-1].confidence", _REPLACE)])),
     "o3_priority_dedup": (fold(overlap.priority_dedup), _fold(f"start, -({_RANK.replace('{0}.', '')})", [_APART, (f"{_rank('y[1]')} > {_rank('acc[-1]')}", _REPLACE)])),
+    "o4_rule_dedup": (fold(overlap.rule_dedup), _fold("entity_id", [("len(list_filter(acc, lambda k: k.start < y[1].\"end\" and y[1].start < k.\"end\")) = 0", "list_concat(acc, y)"), (f"y[1].confidence > acc[{_AT}].confidence", f"list_concat(list_concat(acc[1:{_AT} - 1], y), acc[{_AT} + 1:len(acc)])")])),
     "o5_consolidate": (fold(overlap.consolidate), _fold("start", [("y[1].start >= acc[-1].seed", "list_concat(acc, y)"), (f"{_worth('y[1]')} > {_worth('acc[-1]')} or ({_worth('y[1]')} = {_worth('acc[-1]')} and y[1].\"end\" - y[1].start > acc[-1].\"end\" - acc[-1].start)", f"list_concat(acc[:-2], {_SEEDED})")])),
     "o6_gap_groups": (o6_gap_groups, f"with {E}, {_GAP} select doc_id, entity_id, grp from g"),
     "o11_grouped": (o11_grouped, f"""with {E}, {_GAP} select doc_id, grp, min(start) as start, max("end") as "end", count(*) as n, round(avg(confidence), 6) as confidence, string_agg(type, ',' order by start, "end", entity_id) as types from g group by doc_id, grp having count(*) >= 2 and round(avg(confidence), 6) >= 0.5"""),

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import detector_validators as detector
 from spanloom.functions import repair
 from spanloom.functions import validators as v
 from spanloom.functions.regex import sql_regex
-from spanloom.operators import address, analytics, layout, matching, review, rules
-from spanloom.operators.extract import HIGH_RECALL, Pattern, extract, extract_sql
+from spanloom.operators import address, analytics, layout, matching, overlap, review, rules
+from spanloom.operators.extract import DETECTOR, HIGH_RECALL, Pattern, extract, extract_sql
 from spanloom.plans import texts as texts_plans
 from spanloom.plans.inputs import ENTITIES_SQL, TEXTS_SQL, derived, entities, in_sql, table, texts
+from spanloom.sources import sinks
+from spanloom.streaming import streams
 
 E, T = f"e as {ENTITIES_SQL}", f"t as materialized {TEXTS_SQL}"
 
@@ -208,6 +211,46 @@ def a20_denied(spark: SparkSession, d: str) -> DataFrame:
 
 _A19 = ", ".join(f"count(*) filter (type = '{k}') as {k.lower()}" for k in ("STREET_NAME", "STREET_NUMBER", "POSTAL_CODE", "CITY", "COUNTRY"))
 _MERGED_IN = "'8085Zurich,Softcom TechnologiesSA l''eau Tél.direct +41216274137 www. x. ch a @ b  ' || text"
+IBANS = """select c_custkey as doc_id, case c_custkey % 3 when 0 then 'CH' || lpad(cast(c_custkey % 97 as string), 2, '0') || '00762011623852957' when 1 then 'XX' || lpad(cast(c_custkey % 97 as string), 2, '0') || '12345678901' else 'GB' || lpad(cast(c_custkey % 97 as string), 2, '0') || ' WEST 1234 5698 7654 32' end as text,
+  case c_custkey % 4 when 0 then 'Rue de la Gare ' || cast(c_custkey as string) when 1 then 'Postfach ' || cast(c_custkey as string) when 2 then 'Weg 1' else 'Bahnhofstrasse 12b ' end as street,
+  case c_custkey % 5 when 0 then 'Anna Muster' when 1 then 'Rue Basse' when 2 then 'ABC Meier' when 3 then 'Zoe' else 'AB Jean Luc' end as person, cast(c_custkey % 33 as string) || '.' || cast(c_custkey % 14 as string) || '.' || cast(1890 + c_custkey as string) as day from {customer}"""
+
+
+def v2_v10_detector(spark: SparkSession, d: str) -> DataFrame:
+    """The detector's and the invoice rules' validators on derived identifiers."""
+    rows = derived(spark, d, IBANS)
+    return rows.select("doc_id", detector.iban(F.col("text")).alias("iban"), detector.invoice_iban(F.col("text")).alias("invoice_iban"), detector.street(F.col("street")).alias("street"), detector.person(F.col("person")).alias("person"), detector.date(F.col("day")).alias("date"))
+
+
+_DLEN = "map {" + ", ".join(f"'{k}': {n}" for k, n in detector.LENGTHS.items()) + "}"
+_COMMON = ", ".join(f"'{w}'" for w in detector.COMMON)
+_V2 = f"""with i as (select *, upper(replace(regexp_replace(text, '\\s', '', 'g'), '-', '')) as code, regexp_split_to_array(trim(person), '\\s+') as parts, string_split(day, '.') as p from {in_sql(IBANS)}),
+n as (select *, array_to_string(list_transform(string_split(substr(code, 5) || left(code, 4), ''), lambda ch: case when ascii(ch) >= 65 then (ascii(ch) - 55)::varchar else ch end), '') as num from i),
+m as (select *, ((left(num, 30)::hugeint % 97)::varchar || substr(num, 31))::hugeint % 97 as rest from n)
+select doc_id, coalesce(length(code) = {_DLEN}[left(code, 2)], false) and rest = 1 as iban, length(code) between 15 and 34 and rest = 1 as invoice_iban,
+  length(street) >= 5 and regexp_matches(street, '\\d+[A-Za-z]?\\s*$') and length(trim(regexp_replace(street, '\\s+\\d+[A-Za-z]?\\s*$', ''))) >= 5 and not regexp_matches(lower(street), 'case postale|postfach|p\\.o\\. box|boîte postale') as street,
+  length(person) >= 3 and len(parts) >= 2 and len(list_filter(parts, lambda x: lower(x) in ({_COMMON}) or (x = upper(x) and length(x) > 2))) = 0 as person,
+  len(p) = 3 and try_cast(p[1] as int) between 1 and 31 and try_cast(p[2] as int) between 1 and 12 and try_cast(p[3] as int) between 1900 and 2100 as date from m"""
+
+
+def x3_detect(spark: SparkSession, d: str) -> DataFrame:
+    """The detector's finds in the texts, validated by pattern, and overlaps resolved by its order."""
+    found = extract(texts(spark, d), DETECTOR)
+    keep = F.lit(True)
+    for name, check in detector.OF_PATTERN.items():
+        keep = F.when(F.col("pattern") == name, check(F.col("text"))).otherwise(keep)
+    rows = found.where(keep).select("doc_id", F.col("rank").alias("entity_id"), "start", "end", "type", "text", F.lit(0.7).alias("confidence"), F.lit("RULE").alias("source"))
+    return overlap.priority_dedup(rows).select("doc_id", "type", "start", "end", "text")
+
+
+def t1_log_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events, streamed into a log by month, and then counted by month and type."""
+    out = streams.work_dir(spark, "log")
+    events = streams.read_files(spark, d, table(spark, d, "events").schema, names="events.parquet")
+    streams.log_stream(events, f"{out}/rows", f"{out}/checkpoint")
+    return sinks.read_log(spark, f"{out}/rows").groupBy(F.col("month").cast("string").alias("month"), "event_type").agg(F.count("*").alias("n"))
+
+
 _ENTITY = "select doc_id, entity_id"
 QUERIES = {
     "a15_failures": (a15_failures, None),
@@ -228,11 +271,14 @@ QUERIES = {
     "p15_lines": (p15_lines, _P15),
     "p17_headings": (p17_headings, _P17),
     "p27_warnings": (p27_warnings, "select doc_id, case doc_id % 4 when 0 then 'empty' when 1 then 'replacement characters' when 2 then 'control characters' else '' end as warnings from documents"),
+    "t1_log_stream": (t1_log_stream, "select strftime(ts, '%Y-%m') as month, event_type, count(*) as n from events group by 1, 2"),
     "t4_retries": (t4_retries, f"with f as {in_sql(FILES)} select id, case when attempt between 1 and 3 and regexp_matches(message, '(?i)timeout|network') then (100 * power(2, attempt - 1))::int end as delay, greatest(10000, least(600000, 30000 + ceil(size / 1048576) * 10000))::int as timeout, case when size < 1024 then size || ' B' when size < 1048576 then format('{{:.1f}} KB', size / 1024) else format('{{:.1f}} MB', size / 1048576) end as size, case lower(left(locale, 2)) when 'de' then 'de' when 'fr' then 'fr' else 'en' end as language from f"),
     "v13_deny_list": (v13_deny_list, f"with {T}, w as (select distinct unnest(regexp_extract_all(text, '[A-Za-zäöüé]{{2,}}')) as text from (select text from documents union all select text from t)) select text from w where lower(text) not in ({_DENIED}) and not regexp_matches(text, '^[A-Z]{{2,4}}$') and not regexp_matches(text, '(?i)^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|Mon|Tue|Wed|Thu|Fri|Sat|Sun)$')"),
     "v14_frontmatter": (v14_frontmatter, f"with {T}, m as (select doc_id, '---' || chr(10) || 'source: a@mail.example.com' || chr(10) || '---' || chr(10) || text as text from t) select doc_id, start, text from {extract_sql('m', HIGH_RECALL[2:3])} where start >= 35"),
     "v17_filters": (v17_filters, f"with {E} {_ENTITY}, type from e where type in ('EMAIL', 'PHONE') and confidence < 0.6 and confidence >= 0.2 and contains(lower(text), 'muster')"),
     "v19_overlap": (v19_overlap, f"with {E} {_ENTITY}, round(greatest(0, least(\"end\", 90) - greatest(start, 40)) / least(\"end\" - start, 50), 6)::double as ratio from e"),
+    "v2_v10_detector": (v2_v10_detector, _V2),
+    "x3_detect": (x3_detect, None),
     "x4_invoice": (x4_invoice, _rules_sql(rules.INVOICE)),
     "x5_amounts": (x5_amounts, _X5),
     "x6_letter": (x6_letter, _rules_sql(rules.LETTER)),

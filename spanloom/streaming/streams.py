@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +13,15 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom.operators.analytics import month_of
 
 
-def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; only where none is named, of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 100, names: str = "*.parquet") -> DataFrame:
     """A stream of the Parquet files that appear below path."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(path)
 
 
 def run_to_end(rows: DataFrame, out: str, checkpoint: str, *partitions: str) -> StreamingQuery:

@@ -65,7 +65,7 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 
 #: Rows and bytes of a batch that goes to Python or comes from it. Workers and executors hold a few batches at a time, so their
 #: memory is bounded whatever the texts' lengths.
-BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
+BATCH_ROWS, BATCH_BYTES = 1_000, "2m"
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from spanloom.llm import textvec as tv
 from spanloom.llm.common import bounded, settled, small_batches, table
 from spanloom.llm.components import connected_components
-from spanloom.llm.sentencepiece_codec import ragged
 
 #: Words of a shingle, and least similarity of a link.
 SHINGLE, LEAST = 5, 0.8
@@ -137,10 +136,11 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature = signatures(doc, shingle, count, n)
             bands = bands_of(signature)
             prints = (tv.mix(signature.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+            digest = tv.text_hash(part, off)
             some = size > 0
             ends = np.concatenate([[0], np.cumsum(some * BANDS)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, n), pa.array(tv.text_hash(part, off).view(np.int64)), pa.array(tv.text_hash(part, off, 1).view(np.int64)), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[some].ravel().view(np.int64))), pa.array([x.tobytes() for x in prints], pa.binary())],
+                [batch.column(0).slice(i, n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[some].ravel().view(np.int64))), pa.array([x.tobytes() for x in prints], pa.binary())],
                 ["id", "a", "b", "size", "bands", "print"],
             )
 
@@ -218,7 +218,7 @@ def _compared(queries: pa.Table, block: pa.Table) -> pa.Table:
     for q in range(len(queries)):
         s, t = mine[first[q] : first[q + 1]], times[first[q] : first[q + 1]]
         lo, n = np.searchsorted(shingle, s), np.searchsorted(shingle, s, "right")
-        at = ragged(lo, n - lo)
+        at = tv.ragged(lo, n - lo)
         both = np.bincount(doc[at], np.minimum(count[at], np.repeat(t, n - lo)), len(ids))
         like = np.where(classes == own[q], 0, both / np.maximum(sizes + own_size[q] - both, 1))
         hits = np.flatnonzero(like >= LEAST)
@@ -237,7 +237,7 @@ def _in_blocks(members: DataFrame, key: str, weight, most: int, work, schema: st
     columns = [F.col(c).alias(c) for c in (key, *(c for c in members.columns if c != key))]
     blocks = rows.select(*columns, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     queries = rows.where("class <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return queries.alias("q").groupBy(key, "block").cogroup(blocks.alias("b").groupBy(key, "block")).applyInArrow(lambda q, b: work(q, b), schema)
+    return queries.alias("q").groupBy(key, "block").cogroup(blocks.alias("b").groupBy(key, "block")).applyInArrow(tv.trimmed_pair(work), schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

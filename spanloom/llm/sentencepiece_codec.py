@@ -26,9 +26,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct segments that a worker keeps; beyond, it starts anew.
-MOST_KEPT = 600_000
+MOST_KEPT = 400_000
 #: Segments that are encoded in one call, and threads that share it.
-AT_ONCE, THREADS = 4_000, 2
+AT_ONCE, THREADS = 2_000, 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -135,13 +135,6 @@ def _regex(pattern: str):
     return Regex(pattern)
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices starts[0], starts[0] + 1, ... of lengths[0] in number, then those of the next."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
-
-
 class _Segments:
     """The ids of segments by their hashes, on arrays: a few dozen bytes a segment."""
 
@@ -255,7 +248,7 @@ class Codec:
             self.kept.add(distinct[new], self._checked([(MARK + p).replace(" ", MARK) for p in plain], plain))
         own_starts, own_sizes = self.kept.get(distinct)
         lengths = own_sizes[back]
-        out = self.kept.flat[ragged(own_starts[back], lengths)]
+        out = self.kept.flat[tv.ragged(own_starts[back], lengths)]
         closed = np.concatenate([[0], np.cumsum(lengths)])
         doc_ends = np.zeros(len(offsets), np.int64)
         doc_ends[some + 1] = closed[np.append(np.searchsorted(starts, begins[1:]), len(starts))]
@@ -270,7 +263,7 @@ class Codec:
         for i, j in tv.chunks(offsets):
             part = ids[offsets[i] : offsets[j]]
             lengths = self.shown_len[part]
-            data = self.shown[ragged(self.shown_at[part], lengths)].tobytes() if len(part) else b""
+            data = self.shown[tv.ragged(self.shown_at[part], lengths)].tobytes() if len(part) else b""
             at = np.concatenate([[0], np.cumsum(lengths)])[offsets[i : j + 1] - offsets[i]].tolist()
             odd = (part == self.model.unk_id) | np.isin(part, [k for k, x in enumerate(self.model.kinds) if x == CONTROL])
             odd_at = np.concatenate([[0], np.cumsum(odd)])[offsets[i : j + 1] - offsets[i]]

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
 from spanloom.llm.common import small_batches, table
-from spanloom.llm.sentencepiece_codec import ragged
 
 #: Words of a window, and of the k-grams that its anchor is chosen from.
 SPAN, K = 20, 6
@@ -68,18 +67,6 @@ class Block:
         return doc, np.arange(len(doc)) - self.words.first[doc]
 
 
-def _trimmed(work):
-    """work on a block, then a trim()."""
-
-    def one(*tables: pa.Table) -> pa.Table:
-        try:
-            return work(*tables)
-        finally:
-            tv.trim()
-
-    return (lambda rows: one(rows)) if work is _index else (lambda rows, other: one(rows, other))
-
-
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("block", pa.int32()), ("n", pa.int32())])
 _SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("block", pa.int32()), ("prints", pa.binary())])
 _MARKED = pa.schema([("block", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("mask", pa.int32())])
@@ -121,7 +108,7 @@ def _send(rows: pa.Table, shared: pa.Table) -> pa.Table:
         parts.append((anchor[~is_hot][new], cool[new], cool[last] - cool[new] + 1))
     out = []
     for key, lo, n in parts:
-        prints = np.ascontiguousarray(b.window[ragged(lo, n)]).view(np.uint8).reshape(-1, 8)[:, :PRINT]
+        prints = np.ascontiguousarray(b.window[tv.ragged(lo, n)]).view(np.uint8).reshape(-1, 8)[:, :PRINT]
         off = np.concatenate([[0], np.cumsum(n)]) * PRINT
         blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(prints))])
         out.append(pa.table([key.view(np.int64), b.ids[doc[lo]], b.h[doc[lo]], place[lo].astype(np.int32), np.full(len(n), block, np.int32), blobs], schema=_SENT))
@@ -205,7 +192,7 @@ def _cut(rows: pa.Table, marked: pa.Table) -> pa.Table:
     length = b.words.ends[kept] - b.words.starts[kept]
     text = np.empty(int((length + 1).sum()), np.uint8)
     to = np.cumsum(length + 1) - (length + 1)
-    text[ragged(to, length)] = b.raw[ragged(b.words.starts[kept], length)]
+    text[tv.ragged(to, length)] = b.raw[tv.ragged(b.words.starts[kept], length)]
     text[to + length] = 0x20
     bounds = np.append(to, len(text))[np.searchsorted(kept, first)]
     data = text.tobytes()
@@ -229,13 +216,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     dealt = rows.groupBy("block")
-    anchors = dealt.applyInArrow(_trimmed(_index), "anchor long, block int, n int")
+    anchors = dealt.applyInArrow(tv.trimmed_one(_index), "anchor long, block int, n int")
     w = Window.partitionBy("anchor")
     shared = anchors.select("anchor", "block", F.min("block").over(w).alias("a"), F.max("block").over(w).alias("b"), F.sum("n").over(w).alias("n"))
     shared = shared.where("a <> b").select("block", "anchor", (F.col("n") >= HOT).alias("hot"))
-    sent = dealt.cogroup(shared.groupBy("block")).applyInArrow(_trimmed(_send), "key long, id long, h long, lo int, block int, prints binary")
+    sent = dealt.cogroup(shared.groupBy("block")).applyInArrow(tv.trimmed_pair(_send), "key long, id long, h long, lo int, block int, prints binary")
     marked = small_batches(sent.repartition("key").sortWithinPartitions("key", "id", "h", "lo")).mapInArrow(tv.trimmed(_mark), "block int, id long, h long, lo int, mask int")
-    out = dealt.cogroup(marked.groupBy("block")).applyInArrow(_trimmed(_cut), _OUT)
+    out = dealt.cogroup(marked.groupBy("block")).applyInArrow(tv.trimmed_pair(_cut), _OUT)
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept", "spans")
 
 

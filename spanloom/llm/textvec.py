@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,30 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return whole
 
 
+def trimmed_pair(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """work on two tables, then a trim()."""
+
+    def one(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return work(a, b)
+        finally:
+            trim()
+
+    return one
+
+
+def trimmed_one(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """work on a table, then a trim()."""
+
+    def one(a: pa.Table) -> pa.Table:
+        try:
+            return work(a)
+        finally:
+            trim()
+
+    return one
+
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -167,11 +192,14 @@ def whole(first: np.ndarray, k: int) -> np.ndarray:
     return doc[:n] == doc[k - 1 :]
 
 
-def text_hash(raw: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each whole text."""
-    n = len(raw)
-    base = np.uint64((0xD1342543DE82EF95 + 2 * seed * 0x2545F4914F6CDD1D) % (1 << 64))
-    inv = np.uint64(pow(int(base), -1, 1 << 64))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(base, n + 1)[:n], out=total[1:])
-    return mix((total[offsets[1:]] - total[offsets[:-1]]) * powers(inv, n + 1)[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * GOLD)
+def text_hash(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of a digest of each whole text, as two numbers a row."""
+    found = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices starts[0], starts[0] + 1, ... of lengths[0] in number, then those of the next."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)

@@ -110,7 +110,8 @@ ENTITY = "array<struct<start:int,end:int,text:string,type:string,pattern:string,
 def extract(docs: DataFrame, patterns: tuple[Pattern, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, type, pattern, rank, start, end, text) of all patterns' spans of LEAST_LENGTH or more; one pass over the texts, without a shuffle."""
     found = [_named(spans(F.col(text_col), p.regex, p.fold, p.group), p, i) for i, p in enumerate(patterns)]
-    rows = docs.select(id_col, F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("e")).select(id_col, "e.type", "e.pattern", "e.rank", "e.start", "e.end", "e.text")
+    # outer, since the planner would filter by the size of an inner generator's array, and so scan every text twice
+    rows = docs.select(id_col, F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("e")).where("e is not null").select(id_col, "e.type", "e.pattern", "e.rank", "e.start", "e.end", "e.text")
     return rows.where(F.length("text") >= LEAST_LENGTH)
 
 

@@ -73,3 +73,9 @@ def small_batches(df: DataFrame) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
+
+
+def exploded(df: DataFrame, array: Column, name: str, *columns: Column | str) -> DataFrame:
+    """columns, and a row for each element of array that isn't null. The generator is an outer one: for an inner one the planner
+    adds a filter by the array's size, and so works the array out twice."""
+    return df.select(*columns, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

@@ -13,7 +13,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import row_key, table
+from spanloom.llm.common import exploded, row_key, table
 
 
 @dataclass(frozen=True)
@@ -156,9 +156,10 @@ def _holds(query: tuple, at: dict[str, int]) -> Column:
 
 def postings(docs: DataFrame, key: Column, text: str, trigrams: list[str]) -> DataFrame:
     """The inverted index, of the trigrams asked for: a row (trigram, key) for each that a text has."""
-    low = F.lower(F.col(text))
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return docs.select(key.alias("key"), F.explode(found).alias("trigram"))
+    # columns of their own: within a generator the planner would lower the text once for each trigram
+    rows = docs.select(key.alias("key"), F.lower(F.col(text)).alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    return exploded(rows.select("key", found.alias("found")), F.col("found"), "trigram", "key")
 
 
 def spans_of(text: Column, rule: Rule, kind: int) -> Column:

@@ -27,7 +27,7 @@ def _lines(text: Column) -> Column:
 
 def _line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """A row for each line that isn't blank: two hashes of the trimmed line, its place, its site's hash."""
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.xxhash64(site_col).alias("site"), F.col(site_col).isNotNull().alias("sited"), F.posexplode(_lines(F.col(text_col))).alias("pos", "raw"))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.xxhash64(site_col).alias("site"), F.col(site_col).isNotNull().alias("sited"), F.posexplode_outer(_lines(F.col(text_col))).alias("pos", "raw"))
     rows = rows.withColumn("line", F.btrim("raw", F.lit(BLANKS))).where("line <> ''")
     return rows.select("key", "id", "pos", "site", "sited", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ascii_lower, bounded, row_key, settled, table
+from spanloom.llm.common import ascii_lower, bounded, exploded, row_key, settled, table
 
 #: Words of a window; a document word inside a shared window is a hit.
 SPAN = 13
@@ -84,9 +84,9 @@ def measured(keyed: DataFrame, items: DataFrame, text_col: str, item_col: str, i
     texts = keyed.select("__key", words_of(F.col(text_col)).alias("words")).select("__key", F.expr(_grams("words", str(k))).alias("grams"))
     pairs = []
     if span in lengths:
-        pairs.append((texts.select("__key", F.explode(F.expr(_winnowed("grams", window))).alias("fp")), longs))
+        pairs.append((exploded(texts, F.expr(_winnowed("grams", window)), "fp", "__key"), longs))
     if min(lengths) < span:
-        pairs.append((texts.select("__key", F.explode(F.array_distinct("grams")).alias("fp")), shorts))
+        pairs.append((exploded(texts, F.array_distinct("grams"), "fp", "__key"), shorts))
     found = None
     for probe, side in pairs:
         hits = probe.join(bounded(side, MOST_BROADCAST), "fp").select("__key", "item_id").distinct()

@@ -19,6 +19,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     e = settled(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -262,11 +262,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left, classes = members.withColumn("class", F.col("id")), members.select("id", F.col("id").alias("class")).distinct()
     for turn in range(ROUNDS):
         pairs = settled(_with_leader(left, turn), "pairs")
+        if pairs.isEmpty():
+            continue
         classes, left = _regrouped(members, classes, settled(_confirm(pairs, rows), "links"))
-    prints = left.join(stands.select("id", "print"), "id")
-    edges = _in_blocks(prints, "band", F.lit(1), BLOCK_ROWS, _plausible, "c long, d long").distinct()
-    edges = settled(edges, "plausible")
-    if not edges.isEmpty():
+    edges = None
+    if not left.isEmpty():
+        prints = left.join(stands.select("id", "print"), "id")
+        edges = settled(_in_blocks(prints, "band", F.lit(1), BLOCK_ROWS, _plausible, "c long, d long").distinct(), "plausible")
+    if edges is not None and not edges.isEmpty():
         clusters = connected_components(edges, "c", "d").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
         some = classes.join(clusters, "class").join(stands.select("id", "size"), "id")
         texts = rows.join(bounded(some.select("id"), MOST_BROADCAST), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))

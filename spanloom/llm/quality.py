@@ -196,7 +196,7 @@ def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 2000, rate:
             if not len(batch):
                 continue
             sizes = np.array([len(rows[i][0]) for i in batch])
-            at = np.concatenate([rows[i][0] for i in batch]) if sizes.sum() else np.zeros(0, np.int64)
+            at = np.concatenate([rows[i][0] for i in batch]).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
             x = np.where(at < BUCKETS, np.repeat(1 / np.sqrt(np.maximum(sizes - 1, LEAST_FEATURES)), sizes), 1.0)
             text = np.repeat(np.arange(len(batch)), sizes)
             z = np.bincount(text, w[at] * x, len(batch)) + w[-1]
@@ -279,7 +279,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels:
     for t in TASKS:
         at = [names.index(x) for x in t.labellers]
         bad = models[t.name].posterior(np.array([[chosen[k][x] for x in at] for k, _ in first], np.int64).reshape(-1, len(at)))
-        out.append(Scorer(t, models[t.name], train([(flat[off[i] : off[i + 1]].astype(np.int64), p, x) for (_, i), p, x in zip(first, bad, weight, strict=True)])))
+        out.append(Scorer(t, models[t.name], train([(flat[off[i] : off[i + 1]], p, x) for (_, i), p, x in zip(first, bad, weight, strict=True)])))
+    del gathered, lists, flat, keys, first, chosen, some
+    tv.trim()
     return out
 
 

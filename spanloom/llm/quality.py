@@ -23,6 +23,8 @@ from spanloom.llm.common import settled, small_batches, table
 SAMPLE = 6_000
 #: Of them, so many are chosen among those that some labeller finds bad, if there are.
 SAMPLE_BAD = 2_000
+#: Rows of a training step.
+AT_ONCE = 256
 #: Hash buckets of a scorer.
 BUCKETS = 1 << 18
 #: Further places of a scorer: the tenths of repeated words, and one for short texts.
@@ -186,13 +188,13 @@ class VoteModel:
         return model
 
 
-def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 2000, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
-    """Weights, and a bias at last, of a logistic scorer: about so many adaptive steps, each over 64 rows of (distinct buckets, chance that it is bad, weight)."""
+def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+    """Weights, and a bias at last, of a logistic scorer: about so many adaptive steps, each over AT_ONCE rows of (distinct buckets, chance that it is bad, weight)."""
     size = BUCKETS + TENTHS + 1
     w, g = np.zeros(size), np.full(size, 1e-8)
     order = np.random.default_rng(0)
-    for _ in range(-(-steps * 64 // max(len(rows), 64))):
-        for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 64)):
+    for _ in range(-(-steps * AT_ONCE // max(len(rows), AT_ONCE))):
+        for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // AT_ONCE)):
             if not len(batch):
                 continue
             sizes = np.array([len(rows[i][0]) for i in batch])

@@ -26,7 +26,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct segments that a worker keeps; beyond, it starts anew.
-MOST_KEPT = 400_000
+MOST_KEPT = 300_000
 #: Segments that are encoded in one call, and threads that share it.
 AT_ONCE, THREADS = 2_000, 2
 
@@ -279,16 +279,16 @@ class Codec:
         return out
 
 
-_codecs: dict[bytes, Codec] = {}
+KEEP = "codec"
 
 
 def codec_for(data: bytes) -> Codec:
-    """The worker's codec of a model; a worker that is used again keeps it, and its segments, for its next task."""
+    """The worker's codec of a model; a worker that is used again keeps it, and its segments, until another operator's task."""
     key = hashlib.sha256(data).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data)
-    return _codecs[key]
+    had = tv.kept.get(KEEP)
+    if had is None or had[0] != key:
+        tv.kept[KEEP] = had = (key, Codec(data))
+    return had[1]
 
 
 def _model_bytes(path: str) -> bytes:
@@ -309,7 +309,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
             ids, off = codec.encode(b.column(text_col))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))], [*b.schema.names, ids_col])
 
-    return small_batches(kept).mapInArrow(tv.trimmed(run), kept.selectExpr("*", f"cast(null as array<int>) as `{ids_col}`").schema)
+    return small_batches(kept).mapInArrow(tv.trimmed(run, KEEP), kept.selectExpr("*", f"cast(null as array<int>) as `{ids_col}`").schema)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -325,7 +325,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
             texts = codec.decode(np.asarray(lists.values.fill_null(0))[off[0] : off[-1]], off - off[0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
 
-    return small_batches(kept).mapInArrow(tv.trimmed(run), kept.selectExpr("*", f"cast(null as string) as `{text_col}`").schema)
+    return small_batches(kept).mapInArrow(tv.trimmed(run, KEEP), kept.selectExpr("*", f"cast(null as string) as `{text_col}`").schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -346,7 +346,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [id_col, "n_tokens", "ids", "decoded_sha256", "exact"],
             )
 
-    return small_batches(rows).mapInArrow(tv.trimmed(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
+    return small_batches(rows).mapInArrow(tv.trimmed(run, KEEP), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

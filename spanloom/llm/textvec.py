@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,10 +29,24 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run over batches, with a trim() at the end of the task."""
+#: What a worker keeps from one task to the next, by operator.
+kept: dict[str, object] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drops what other operators have kept in this worker."""
+    if others := [k for k in kept if k != but]:
+        for k in others:
+            del kept[k]
+        gc.collect()
+        trim()
+
+
+def trimmed(run: Callable[[Iterator], Iterator], own: str = "") -> Callable[[Iterator], Iterator]:
+    """run over batches, without what other operators than own have kept, and with a trim() at the end of the task."""
 
     def whole(batches: Iterator) -> Iterator:
+        forget(own)
         try:
             yield from run(batches)
         finally:
@@ -44,6 +59,7 @@ def trimmed_pair(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa
     """work on two tables, then a trim()."""
 
     def one(a: pa.Table, b: pa.Table) -> pa.Table:
+        forget()
         try:
             return work(a, b)
         finally:
@@ -56,6 +72,7 @@ def trimmed_one(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa
     """work on a table, then a trim()."""
 
     def one(a: pa.Table) -> pa.Table:
+        forget()
         try:
             return work(a)
         finally:

@@ -3,7 +3,8 @@
 Overlapping heuristic labellers vote on every document, or abstain. Expectation-maximisation over the counts of all
 vote patterns estimates how often each labeller says what in either class. The posterior labels of a bounded sample
 train a logistic scorer on hashed words and byte trigrams, which then judges every document. Two such models stand side by side:
-one for junk, one for insults; a document that either finds bad is rejected.
+one for junk, one for insults; a document that either finds bad is rejected. Few words make a document toxic, whatever its length, so the
+second also learns from the marks which words and trigrams tell by themselves, in any language.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ TENTHS = 11
 REJECT_JUNK, REJECT_TOXIC = 0.5, 0.5
 #: A text's weights have unit length from so many features on; a shorter text's are less, for it says less.
 LEAST_FEATURES = 150
+#: A bucket tells by itself if so many bad rows of the sample hold it, and so much more often (logarithm) than good ones.
+LEAST_BAD, LEAST_RATIO = 6, 1.5
 
 ABSTAIN, GOOD, BAD = -1, 0, 1
 
@@ -49,17 +52,24 @@ SYMBOLS = "#$%&*|!<>{}=~^@+\\"
 
 @dataclass(frozen=True)
 class Task:
-    """kinds: for each kind of bad document, the labellers that see it; the others may find it good."""
+    """kinds: for each kind of bad document, the labellers that see it; the others may find it good. wrong: how often a labeller
+    finds a good document bad, at first. sure: the labeller whose votes are always right, if any. silent: what a row weighs in training,
+    if neither sure nor any labeller that finds it bad tells about it. telling: whether buckets that tell by themselves are learned."""
 
     name: str
     labellers: tuple[str, ...]
     kinds: tuple[tuple[str, ...], ...]
     prior: float
     reject: float
+    wrong: float = 0.02
+    sure: str = ""
+    silent: float = 1.0
+    telling: bool = False
 
 
 JUNK = Task("junk", ("symbols", "shouting", "repeats", "phrases", "prose", "marked_low"), (("symbols", "prose", "marked_low"), ("shouting", "symbols", "marked_low"), ("repeats", "phrases", "marked_low")), 0.1, REJECT_JUNK)
-TOXIC = Task("toxic", ("insults", "insult_rate", "insult_kinds", "marked_toxic"), (("insults", "insult_rate", "insult_kinds", "marked_toxic"),), 0.05, REJECT_TOXIC)
+#: A text without a listed insult may be toxic in other words or another language, so it hardly trains unless it is marked.
+TOXIC = Task("toxic", ("insults", "marked_toxic"), (("insults", "marked_toxic"),), 0.05, REJECT_TOXIC, 0.001, "marked_toxic", 0.1, True)
 TASKS = (JUNK, TOXIC)
 
 
@@ -112,7 +122,6 @@ def heuristic_votes(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
     prose = np.bincount(doc[np.isin(words.hash, _known(FUNCTION_WORDS))], minlength=n) / np.maximum(count, 1)
     rude = np.isin(words.hash, _known(INSULTS))
     hits = np.bincount(doc[rude], minlength=n)
-    kinds = _distinct(doc[rude], words.hash[rude], n)
     return {
         "symbols": _vote(symbols, 0.02, 0.06, some),
         "shouting": _vote(upper / np.maximum(letters, 1), 0.2, 0.6, letters >= 10),
@@ -120,8 +129,6 @@ def heuristic_votes(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
         "phrases": _vote(phrases, 0.2, 0.6, many),
         "prose": _vote(1 - prose, 0.93, 0.995, many),
         "insults": _vote(hits, 0, 1, some),
-        "insult_rate": _vote(hits / np.maximum(count, 1), 0.0, 0.004, some),
-        "insult_kinds": _vote(kinds, 0, 2, some),
     }
 
 
@@ -150,16 +157,20 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @dataclass
 class VoteModel:
     """shares[c]: of the documents that are in class c; class 0 is good, each further class a kind of bad.
-    rates[l, c]: how often labeller l, if it votes, votes bad in class c."""
+    rates[l, c]: how often labeller l, if it votes, votes bad in class c. sure: the labeller whose votes decide, or -1."""
 
     shares: np.ndarray
     rates: np.ndarray
+    sure: int = -1
 
     def by_class(self, votes: np.ndarray) -> np.ndarray:
         """The chance of each class, for documents with such votes (-1, 0, 1 by labeller). Abstaining says nothing."""
         logs = np.log(self.shares)[None, :] + np.zeros((len(votes), 1))
         for i, rate in enumerate(self.rates):
             logs += np.where((votes[:, i] == BAD)[:, None], np.log(rate), np.where((votes[:, i] == GOOD)[:, None], np.log1p(-rate), 0.0))
+        if self.sure >= 0:
+            logs[votes[:, self.sure] == BAD, 0] = -np.inf
+            logs[votes[:, self.sure] == GOOD, 1:] = -np.inf
         chance = np.exp(logs - logs.max(1, keepdims=True))
         return chance / chance.sum(1, keepdims=True)
 
@@ -170,11 +181,12 @@ class VoteModel:
     @classmethod
     def fit(cls, task: Task, votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteModel:
         """Expectation-maximisation over vote patterns and how many documents have each. It starts from labellers that see
-        nine of ten documents of their kinds, one of ten of other kinds, and are wrong on one of fifty good ones, and weighs
+        nine of ten documents of their kinds, one of ten of other kinds, and are wrong on task.wrong of the good ones, and weighs
         that as much as ten documents."""
-        first = np.array([[0.02, *(0.9 if x in kind else 0.1 for kind in task.kinds)] for x in task.labellers])
+        sure = task.labellers.index(task.sure) if task.sure else -1
+        first = np.array([[task.wrong, *(0.9 if x in kind else 0.1 for kind in task.kinds)] for x in task.labellers])
         shares = np.array([1 - task.prior, *[task.prior / len(task.kinds)] * len(task.kinds)])
-        model = cls(shares, first)
+        model = cls(shares, first, sure)
         for _ in range(rounds):
             weight = model.by_class(votes) * counts[:, None]
             new = (weight.sum(0) + 10 * shares) / (counts.sum() + 10)
@@ -182,14 +194,15 @@ class VoteModel:
             said = np.stack([((votes[:, i] != ABSTAIN)[:, None] * weight).sum(0) for i in range(len(first))])
             rates = np.clip((bad + 10 * first) / (said + 10), 1e-3, 1 - 1e-3)
             done = np.abs(new - model.shares).max() < 1e-9 and np.abs(rates - model.rates).max() < 1e-9
-            model = cls(new, rates)
+            model = cls(new, rates, sure)
             if done:
                 break
         return model
 
 
-def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
-    """Weights, and a bias at last, of a logistic scorer: about so many adaptive steps, each over AT_ONCE rows of (distinct buckets, chance that it is bad, weight)."""
+def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: float = 0.5, decay: float = 1e-6, flat: bool = False) -> np.ndarray:
+    """Weights, and a bias at last, of a logistic scorer: about so many adaptive steps, each over AT_ONCE rows of (distinct buckets, chance that it is bad, weight).
+    flat: a bucket counts one, however many the row has."""
     size = BUCKETS + TENTHS + 1
     w, g = np.zeros(size), np.full(size, 1e-8)
     order = np.random.default_rng(0)
@@ -199,7 +212,7 @@ def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: f
                 continue
             sizes = np.array([len(rows[i][0]) for i in batch])
             at = np.concatenate([rows[i][0] for i in batch]).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-            x = np.where(at < BUCKETS, np.repeat(1 / np.sqrt(np.maximum(sizes - 1, LEAST_FEATURES)), sizes), 1.0)
+            x = np.ones(len(at)) if flat else np.where(at < BUCKETS, np.repeat(1 / np.sqrt(np.maximum(sizes - 1, LEAST_FEATURES)), sizes), 1.0)
             text = np.repeat(np.arange(len(batch)), sizes)
             z = np.bincount(text, w[at] * x, len(batch)) + w[-1]
             err = (1 / (1 + np.exp(-z)) - np.array([rows[i][1] for i in batch])) * np.array([rows[i][2] for i in batch])
@@ -211,8 +224,21 @@ def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: f
     return w
 
 
+def train_telling(rows: list[tuple[np.ndarray, float, float]], told: np.ndarray) -> np.ndarray:
+    """Weights, and a bias at last, of a scorer on those buckets alone that tell by themselves, as the told rows have them."""
+    bad, good, n = np.zeros(BUCKETS + TENTHS), np.zeros(BUCKETS + TENTHS), np.zeros(2)
+    for (at, p, _), known in zip(rows, told, strict=True):
+        if known:
+            bad[at] += p
+            good[at] += 1 - p
+            n += (p, 1 - p)
+    tells = (bad >= LEAST_BAD) & (np.log((bad + 0.5) / (n[0] + 1)) - np.log((good + 0.5) / (n[1] + 1)) > LEAST_RATIO)
+    tells[BUCKETS:] = False
+    return train([(at[tells[at]], p, x) for at, p, x in rows], steps=100, flat=True)
+
+
 def votes_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame | None) -> DataFrame:
-    """(id, h, one column for each labeller): votes on each row; marks of labels(doc_id, quality, toxic) count as two labellers, of
+    """(id, h, one column for each labeller): votes on each row; marks of labels(doc_id, quality, toxic) are two labellers, of
     several rows of one id the worst."""
     names = [x for t in TASKS for x in t.labellers if not x.startswith("marked")]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -237,6 +263,7 @@ class Scorer:
     task: Task
     votes: VoteModel
     weights: np.ndarray
+    telling: np.ndarray | None = None
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None, sample: int = SAMPLE) -> list[Scorer]:
@@ -280,20 +307,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels:
     weight = np.where(seen, share / max(seen.mean(), 1e-9), (1 - share) / max(1 - seen.mean(), 1e-9)) if len(first) else np.zeros(0)
     for t in TASKS:
         at = [names.index(x) for x in t.labellers]
-        bad = models[t.name].posterior(np.array([[chosen[k][x] for x in at] for k, _ in first], np.int64).reshape(-1, len(at)))
-        out.append(Scorer(t, models[t.name], train([(flat[off[i] : off[i + 1]], p, x) for (_, i), p, x in zip(first, bad, weight, strict=True)])))
+        said = np.array([[chosen[k][x] for x in at] for k, _ in first], np.int64).reshape(-1, len(at))
+        bad = models[t.name].posterior(said)
+        told = (said == BAD).any(1) | (said[:, models[t.name].sure] != ABSTAIN if t.sure else False)
+        weighs = weight * np.where(told, 1.0, t.silent)
+        known = [(flat[off[i] : off[i + 1]], p, x) for (_, i), p, x in zip(first, bad, weighs, strict=True)]
+        out.append(Scorer(t, models[t.name], train(known), train_telling(known, told) if t.telling else None))
     del gathered, lists, flat, keys, first, chosen, some
     tv.trim()
     return out
 
 
 def score(docs: DataFrame, scorers: list[Scorer], text_col: str = "text") -> DataFrame:
-    """docs with a column <task>_score (double, 0 to 1) for each scorer, and rejected: whether one reaches its limit. Null and
+    """docs with a column <task>_score (double, 0 to 1) for each scorer, the higher one where it has telling buckets too, and
+    rejected: whether one reaches its limit. Null and
     empty texts score 0 and are kept: nothing speaks against them. Columns of these names are replaced."""
     spark = docs.sparkSession
     names = [f"{s.task.name}_score" for s in scorers]
     limits = [s.task.reject for s in scorers]
     weights = spark.sparkContext.broadcast(np.stack([s.weights for s in scorers]).astype(np.float32))
+    telling = spark.sparkContext.broadcast([None if s.telling is None else s.telling.astype(np.float32) for s in scorers])
     kept = docs.drop(*names, "rejected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +336,9 @@ def score(docs: DataFrame, scorers: list[Scorer], text_col: str = "text") -> Dat
             for i, j in tv.chunks(offsets):
                 text, bucket, x = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 z = np.stack([np.bincount(text, w[bucket] * x, j - i) + w[-1] for w in weights.value])
+                for k, w in enumerate(telling.value):
+                    if w is not None:
+                        z[k] = np.maximum(z[k], np.bincount(text, w[bucket], j - i) + w[-1])
                 parts.append(np.where(np.diff(offsets[i : j + 1]) > 0, 1 / (1 + np.exp(-z)), 0.0))
             scores = np.concatenate(parts, 1)
             rejected = np.any([s >= at for s, at in zip(scores, limits, strict=True)], axis=0) if len(limits) else np.zeros(len(b), bool)

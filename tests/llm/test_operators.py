@@ -167,6 +167,24 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.rejected for r in clean) <= 0.01 * len(clean)
 
 
+def test_marked_toxic_documents_without_a_listed_insult(spark):
+    votes = np.array([[quality.GOOD, quality.BAD], [quality.GOOD, quality.GOOD], [quality.BAD, quality.ABSTAIN], [quality.GOOD, quality.ABSTAIN]])
+    chance = quality.VoteModel.fit(quality.TOXIC, votes, np.array([188, 3500, 600, 5700])).posterior(votes)
+    assert chance[0] == 1 and chance[1] == 0 and chance[2] > 0.9 and 0.01 < chance[3] < 0.1
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", x) for x in ("documents", "labels"))
+    found = quality.classify(docs, labels=labels).join(labels, "doc_id").where("lang <> 'en' and toxic = 1 and quality = 1").collect()
+    assert len(found) > 5 and all(r.toxic_score >= 0.5 and r.rejected for r in found)
+
+
+def test_insults_of_another_language_are_learned_from_marks(spark):
+    rng = np.random.default_rng(0)
+    made = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) + (" zorgul blefnak" if i % 10 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in made], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    rejected = {r.doc_id for r in quality.classify(docs, labels=marks).collect() if r.rejected}
+    assert {i for i in range(600) if i % 10 == 0} == rejected
+
+
 def test_quality_on_odd_rows(spark, docs, empty):
     rows = quality.classify(docs).collect()
     assert len(rows) == len(ROWS) and not any(r.rejected for r in rows if not r.text)

@@ -51,9 +51,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in the text, hash) of each closed syncmer of many texts. A text shorter than k has itself as its only
-    anchor, at place 0; an empty one has none."""
+    """(text, place in the text, hash) of each closed syncmer of many texts. A text without any, as each shorter than k,
+    has itself as its only anchor, at place 0; an empty one has none."""
     length = np.diff(offsets)
+    without = length > 0
     parts = []
     if len(raw) >= k:
         inner = _runs(raw, s)
@@ -63,10 +64,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> tup
         text = np.searchsorted(offsets, chosen, "right") - 1
         fits = chosen + k <= offsets[text + 1]
         chosen, text = chosen[fits], text[fits]
+        without[text] = False
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE_HASH[raw] * tv.powers(tv._KBASE, len(raw)), out=total[1:])
         parts.append((text, chosen - offsets[text], tv.mix((total[chosen + k] - total[chosen]) * tv.powers(tv._KBASE_INV, len(raw))[chosen] + np.uint64(k))))
-    short = np.flatnonzero((length > 0) & (length < k))
+    short = np.flatnonzero(without)
     if len(short):
         ends = offsets[short + 1]
         parts.append((short, np.zeros(len(short), np.int64), np.array([int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=8).digest()) for a, b in zip(offsets[short], ends, strict=True)], np.uint64)))

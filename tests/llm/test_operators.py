@@ -224,6 +224,14 @@ def test_syncmers_are_context_free():
     assert a == b and len(a) > 100
 
 
+def test_every_text_has_an_anchor():
+    texts = ["Therti onor theasthe.", "Edstou reinan ed for.", *(LONG[i : i + n] for n in range(1, 45) for i in range(0, 300, 7)), ""]
+    hashes, places = fingerprint.sketch_texts(texts)
+    assert ((places >= 0).any(1) == [t != "" for t in texts]).all()
+    like = lambda i, j: fingerprint.likeness(hashes[[i]], places[[i]], hashes[[j]], places[[j]])[0]
+    assert like(0, 1) == 0 and like(0, -1) == 0 and like(0, 0) == 1
+
+
 def test_likeness_bounds():
     hashes, places = fingerprint.sketch_texts([LONG[:3000], LONG[:3000], "", "quite another text, with nothing in common at all", LONG[:1500] + LONG[9000:10500]])
     like = lambda i, j: fingerprint.likeness(hashes[i : i + 1], places[i : i + 1], hashes[j : j + 1], places[j : j + 1])[0]

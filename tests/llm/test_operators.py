@@ -185,6 +185,13 @@ def test_insults_of_another_language_are_learned_from_marks(spark):
     assert {i for i in range(600) if i % 10 == 0} == rejected
 
 
+def test_chance_buckets_find_no_told_good_row_bad():
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 60, 25)), float(i < 12), 1.0) for i in range(80)]
+    w = quality.train_telling(rows, np.ones(80, bool))
+    assert all(w[at].sum() + w[-1] < 0 for at, p, _ in rows if not p)
+
+
 def test_quality_on_odd_rows(spark, docs, empty):
     rows = quality.classify(docs).collect()
     assert len(rows) == len(ROWS) and not any(r.rejected for r in rows if not r.text)

@@ -6,7 +6,7 @@ import inspect
 
 import duckdb
 import pytest
-from test_operators import brute_contamination, brute_lines, near_classes
+from test_llm_operators import brute_contamination, brute_lines, near_classes
 
 import corpus_pipeline
 from spanloom.llm import queries

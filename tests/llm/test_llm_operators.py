@@ -100,6 +100,46 @@ def test_codec_equals_the_library_and_round_trips(spark, docs, empty):
         c.decode(np.array([10**6]), np.array([0, 1]))
 
 
+def test_a_wrong_rebuild_is_found(monkeypatch):
+    c = codec.Codec(codec._model_bytes(codec.MODEL), verify_one_of=1)
+    c.model.scores = [-x for x in c.model.scores]
+    with pytest.raises(codec.ParityError):
+        c.encode(pa.array(["the quick brown fox jumps over the lazy dog"]))
+
+
+def test_every_segment_has_the_librarys_ids(spark):
+    texts = pa.array([r.text for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()])
+    c = codec.Codec(codec._model_bytes(codec.MODEL), verify_one_of=1)
+    ids, off = c.encode(texts)
+    assert c.verified > 50_000
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == c.judge.encode([t or "" for t in texts.to_pylist()])
+
+
+def test_unigram_model_with_charsmap_and_byte_fallback():
+    import struct
+
+    from sentencepiece import SentencePieceNormalizer
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def text(n, s):
+        return varint(n << 3 | 2) + varint(len(s)) + s
+
+    normaliser = next(v for n, v in codec._fields(SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()) if n == 3)
+    charsmap = dict(codec._fields(normaliser))[2]
+    pieces = [("<unk>", 0.0, codec.UNKNOWN), ("<s>", 0.0, codec.CONTROL), *((f"<0x{i:02X}>", 0.0, codec.BYTE) for i in range(256))]
+    pieces += [(p, -3.0 - i / 7, codec.NORMAL) for i, p in enumerate(["▁", "e", "a", "n", "f", "fi", "ne", "▁fi", "fine", "▁a", "t", "▁the", "th", "he", "é", "1", "2", "/", "x", "kg", "ア", "▁ア"])]
+    data = b"".join(text(1, text(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([k])) for p, s, k in pieces)
+    data += text(2, b"\x18\x01" + varint(35 << 3) + b"\x01") + text(3, text(2, charsmap) + b"\x18\x01\x20\x01\x28\x01")
+    c = codec.Codec(data, verify_one_of=1)
+    texts = ["ﬁne the  fine", "  a ", "", "ｔｈｅ é e\u0301 ½ ㎏", "x😀y the", "ｱ ア\u200b\tfi\nne", "the theth" * 20, None]
+    ids, off = c.encode(pa.array(texts))
+    assert c.model.byte_fallback and c.model.squeeze and not c.by_segment and c.verified == len(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == c.judge.encode([t or "" for t in texts])
+    assert c.decode(ids, off) == c.judge.decode(c.judge.encode([t or "" for t in texts]))
+
+
 def test_unigram_model_is_rebuilt():
     def field(n, kind, body):
         return bytes([n << 3 | kind]) + body
@@ -426,6 +466,53 @@ def test_substring_dedup_against_brute_force(spark, docs, empty, monkeypatch, ho
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == brute_cut(rows, substring_dedup.SPAN)
     assert all(sum(s.length for s in r.spans) == r.n_removed for r in found)
     assert substring_dedup.dedup_substrings(empty).count() == 0
+    odd = [(None, COPY), (-(1 << 63), COPY), (5, COPY), (5, "other " + COPY), (5, "more " + COPY), (5, COPY)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sum(r.n_removed == 0 for r in got) == 1 and [r.n_removed for r in got if r.doc_id is None] == [0]
+
+
+def greedy(words, source, n_windows, ends):
+    """(begin, windows) of factors by plain loops: words of all texts in a row, each window's first place, the windows' number in each text."""
+    out = []
+    for first, n in zip(ends, n_windows, strict=True):
+        p = first
+        while p < first + n:
+            s = source[p]
+            if s == p:
+                p += 1
+                continue
+            k = 0
+            while p + k < first + n and source.get(s + k) is not None and words[s + k : s + k + substring_dedup.SPAN] == words[p + k : p + k + substring_dedup.SPAN]:
+                k += 1
+            out.append((p, k))
+            p += k
+    return out
+
+
+def test_factors_are_greedy():
+    rng = np.random.default_rng(9)
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    texts = [a, b, [], a[:30] + b[25:], ["x"] * 70, c + a[10:] + c[5:40], b, c[:19], [f"r{x}" for x in rng.integers(0, 2, 300)], [f"r{x}" for x in rng.integers(0, 2, 300)]]
+    rows = pa.table({"block": np.zeros(len(texts), np.int32), "some": np.ones(len(texts), np.int8), "id": np.arange(len(texts)), "h": np.zeros(len(texts), np.int64), "text": pa.array([" ".join(t) for t in texts])})
+    block = substring_dedup.Block(rows)
+    words = [w for t in texts for w in t]
+    firsts = np.cumsum([0] + [len(t) for t in texts])[:-1].tolist()
+    windows = [max(0, len(t) - substring_dedup.SPAN + 1) for t in texts]
+    seen, source = {}, {}
+    for f, n in zip(firsts, windows, strict=True):
+        for p in range(f, f + n):
+            source[p] = seen.setdefault(tuple(words[p : p + substring_dedup.SPAN]), p)
+    begin, size = substring_dedup.factors_of(block)
+    assert sorted(zip(begin.tolist(), size.tolist(), strict=True)) == greedy(words, source, windows, firsts)
+
+
+def test_passages_are_factored_greedily():
+    n = np.array([3, 5, 2, 4, 4])
+    key = np.array([1, 1, 1, 1, 2], np.uint64)
+    window = np.array([10, 11, 12, 9, 10, 11, 12, 13, 12, 13, 11, 12, 13, 14, 10, 11, 12, 13], np.uint64)
+    found = list(zip(*(x.tolist() for x in substring_dedup.factored(key, n, window)), strict=True))
+    # the second goes on along the first until it ends; the third has its first window there and goes on in the second
+    assert found == [(1, 1, 3), (2, 0, 1), (2, 1, 1), (3, 0, 2), (3, 2, 1)]
 
 
 # --- 10

@@ -1,10 +1,11 @@
-"""Quality classifier: a weak-label model and a hashed linear scorer.
+"""Quality classifier: a weak-label model and hashed linear scorers.
 
 Overlapping heuristic labellers vote on every document, or abstain. Expectation-maximisation over the counts of all
 vote patterns estimates how often each labeller says what in either class. The posterior labels of a bounded sample
-train a logistic scorer on hashed words and byte trigrams, which then judges every document. Two such models stand side by side:
-one for junk, one for insults; a document that either finds bad is rejected. Few words make a document toxic, whatever its length, so the
-second also learns from the marks which words and trigrams tell by themselves, in any language.
+train two scorers, which then judge every document: one for junk, logistic, on hashed words and byte trigrams; one for insults, on
+hashed beginnings of words. Few words make a document toxic, whatever its length, and insults are stems with any ending in any language; so the
+second learns which beginnings of words stand more often in toxic documents than in others, and weighs how many words have
+them against how many words there are. A document that either finds bad is rejected.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from spanloom.llm.common import settled, small_batches, table
 #: Documents that train the scorers, at most; chosen by the least hashes of their ids.
 SAMPLE = 6_000
 #: Of them, so many are chosen among those that some labeller finds bad, if there are.
-SAMPLE_BAD = 2_000
+SAMPLE_BAD = 3_000
+#: Bytes of text of the sample, at most; a document that would pass it is left out.
+SAMPLE_BYTES = 64 << 20
 #: Rows of a training step.
 AT_ONCE = 256
 #: Hash buckets of a scorer.
@@ -31,11 +34,15 @@ BUCKETS = 1 << 18
 #: Further places of a scorer: the tenths of repeated words, and one for short texts.
 TENTHS = 11
 #: Scores from here on reject.
-REJECT_JUNK, REJECT_TOXIC = 0.5, 0.5
+REJECT_JUNK, REJECT_TOXIC = 0.5, 0.95
 #: A text's weights have unit length from so many features on; a shorter text's are less, for it says less.
 LEAST_FEATURES = 150
-#: A bucket tells by itself if so many bad rows of the sample hold it, and so much more often (logarithm) than good ones.
-LEAST_BAD, LEAST_RATIO = 6, 1.5
+#: Lengths in bytes of a word's beginnings; a shorter or longer word counts as a whole too.
+BEGINNINGS = range(4, 13)
+#: A beginning tells if so many toxic documents of the sample have it, and so much more often (logarithm) than others.
+LEAST_BAD, LEAST_RATIO = 5, 1.5
+#: What a listed insult weighs at least, and the shares of telling words in toxic and other documents that stand in where the sample has none.
+LISTED_WEIGHT, USUAL_RATES = 7.0, (0.025, 0.001)
 
 ABSTAIN, GOOD, BAD = -1, 0, 1
 
@@ -53,8 +60,8 @@ SYMBOLS = "#$%&*|!<>{}=~^@+\\"
 @dataclass(frozen=True)
 class Task:
     """kinds: for each kind of bad document, the labellers that see it; the others may find it good. wrong: how often a labeller
-    finds a good document bad, at first. sure: the labeller whose votes are always right, if any. silent: what a row weighs in training,
-    if neither sure nor any labeller that finds it bad tells about it. telling: whether buckets that tell by themselves are learned."""
+    finds a good document bad, at first. sure: the labeller whose votes are always right, if any. by_words: whether it is scored by the
+    beginnings of words."""
 
     name: str
     labellers: tuple[str, ...]
@@ -63,13 +70,12 @@ class Task:
     reject: float
     wrong: float = 0.02
     sure: str = ""
-    silent: float = 1.0
-    telling: bool = False
+    by_words: bool = False
 
 
 JUNK = Task("junk", ("symbols", "shouting", "repeats", "phrases", "prose", "marked_low"), (("symbols", "prose", "marked_low"), ("shouting", "symbols", "marked_low"), ("repeats", "phrases", "marked_low")), 0.1, REJECT_JUNK)
-#: A text without a listed insult may be toxic in other words or another language, so it hardly trains unless it is marked.
-TOXIC = Task("toxic", ("insults", "marked_toxic"), (("insults", "marked_toxic"),), 0.05, REJECT_TOXIC, 0.001, "marked_toxic", 0.1, True)
+#: A text without a listed insult may be toxic in other words or another language; only marks tell.
+TOXIC = Task("toxic", ("insults", "marked_toxic"), (("insults", "marked_toxic"),), 0.05, REJECT_TOXIC, 0.001, "marked_toxic", True)
 TASKS = (JUNK, TOXIC)
 
 
@@ -200,9 +206,8 @@ class VoteModel:
         return model
 
 
-def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: float = 0.5, decay: float = 1e-6, flat: bool = False) -> np.ndarray:
-    """Weights, and a bias at last, of a logistic scorer: about so many adaptive steps, each over AT_ONCE rows of (distinct buckets, chance that it is bad, weight).
-    flat: a bucket counts one, however many the row has."""
+def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+    """Weights, and a bias at last, of a logistic scorer: about so many adaptive steps, each over AT_ONCE rows of (distinct buckets, chance that it is bad, weight)."""
     size = BUCKETS + TENTHS + 1
     w, g = np.zeros(size), np.full(size, 1e-8)
     order = np.random.default_rng(0)
@@ -212,7 +217,7 @@ def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: f
                 continue
             sizes = np.array([len(rows[i][0]) for i in batch])
             at = np.concatenate([rows[i][0] for i in batch]).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-            x = np.ones(len(at)) if flat else np.where(at < BUCKETS, np.repeat(1 / np.sqrt(np.maximum(sizes - 1, LEAST_FEATURES)), sizes), 1.0)
+            x = np.where(at < BUCKETS, np.repeat(1 / np.sqrt(np.maximum(sizes - 1, LEAST_FEATURES)), sizes), 1.0)
             text = np.repeat(np.arange(len(batch)), sizes)
             z = np.bincount(text, w[at] * x, len(batch)) + w[-1]
             err = (1 / (1 + np.exp(-z)) - np.array([rows[i][1] for i in batch])) * np.array([rows[i][2] for i in batch])
@@ -224,26 +229,122 @@ def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 500, rate: f
     return w
 
 
-def train_telling(rows: list[tuple[np.ndarray, float, float]], told: np.ndarray) -> np.ndarray:
-    """Weights, and a bias at last, of a scorer on those buckets alone that tell by themselves, as the told rows have them. The bias is lowered until
-    at most one of a thousand told good rows is found bad: few marks make chance buckets tell."""
-    bad, good, n = np.zeros(BUCKETS + TENTHS), np.zeros(BUCKETS + TENTHS), np.zeros(2)
-    for (at, p, _), known in zip(rows, told, strict=True):
-        if known:
-            bad[at] += p
-            good[at] += 1 - p
-            n += (p, 1 - p)
-    tells = (bad >= LEAST_BAD) & (np.log((bad + 0.5) / (n[0] + 1)) - np.log((good + 0.5) / (n[1] + 1)) > LEAST_RATIO)
-    tells[BUCKETS:] = False
-    w = train([(at[tells[at]], p, x) for at, p, x in rows], steps=100, flat=True)
-    clean = [w[at[tells[at]]].sum() + w[-1] for (at, p, _), known in zip(rows, told, strict=True) if known and p < 0.5]
-    if clean:
-        w[-1] -= max(0.0, np.quantile(clean, 0.999, method="higher") + 1e-3)
-    return w
+def beginnings(words: tv.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, hash) of the words' beginnings, one length after the other, and of whole words of other lengths at last. So the last hash that a
+    word has here is that of all of it."""
+    length = words.ends - words.starts
+    at, h = np.arange(len(length)), np.full(len(length), tv.GOLD)
+    for k in range(1, BEGINNINGS[-1] + 1):
+        on = length[at] >= k
+        at = at[on]
+        h = (h[on] ^ words.raw[words.starts[at] + (k - 1)]) * tv._BASE
+        if k >= BEGINNINGS[0]:
+            yield at, tv.mix(h + tv.gold(k))
+    at = np.flatnonzero((length < BEGINNINGS[0]) | (length > BEGINNINGS[-1]))
+    yield at, tv.mix(words.hash[at] + tv.GOLD)
+
+
+@dataclass
+class Telling:
+    """hashes, weights: of the beginnings that tell, by ascending hash. start: the score of a text without words. drift: what each word takes from
+    it, which is how much likelier a word in a toxic text is to be a telling one."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
+    start: float
+    drift: float
+
+    def __post_init__(self) -> None:
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def word_weights(self, words: tv.Words) -> np.ndarray:
+        """The weight of each word's most telling beginning, 0 if none tells."""
+        out = np.zeros(len(words.starts))
+        if not len(self.hashes):
+            return out
+        for at, h in beginnings(words):
+            some = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+            where = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            hit = self.hashes[where] == h[some]
+            out[at[some[hit]]] = np.maximum(out[at[some[hit]]], self.weights[where[hit]])
+        return out
+
+    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each text's logarithm of how much likelier it is toxic than not."""
+        words = tv.words_of(_LOWER[raw], offsets, _EDGES)
+        return self.start + _per_text(self.word_weights(words), words.first) - self.drift * np.diff(words.first)
+
+
+def _listed() -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the listed insults, as whole words, and their weights."""
+    words = tv.words_of(*tv.text_bytes(pa.array(INSULTS)), _EDGES)
+    whole = np.zeros(len(words.starts), np.uint64)
+    for at, h in beginnings(words):
+        whole[at] = h
+    return np.unique(whole), np.full(len(np.unique(whole)), LISTED_WEIGHT)
+
+
+def _sums(raw: np.ndarray, offsets: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, documents that have such a beginning by their chance to be bad and to be good, words by the same) of a few texts; hash 0 stands for
+    all documents and words."""
+    words = tv.words_of(_LOWER[raw], offsets, _EDGES)
+    at, h = (np.concatenate(x) for x in zip(*beginnings(words), strict=True))
+    doc = words.doc[at]
+    by = np.lexsort((h, doc))
+    doc, h = doc[by], h[by]
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(doc)))
+    doc, h = np.append(doc[new], np.arange(len(bad))), np.append(h[new], np.zeros(len(bad), np.uint64))
+    times = np.append(times, np.diff(words.first))
+    kinds, back = np.unique(h, return_inverse=True)
+    p = bad[doc]
+    return kinds, *(np.bincount(back, x, len(kinds)) for x in (p, 1 - p, p * times, (1 - p) * times))
+
+
+def fit_telling(told: DataFrame, share: float) -> Telling:
+    """Which beginnings of words tell, and how much, from told: (text, p), documents and their chance to be toxic. Documents and words are counted
+    by beginning where the rows are; only the beginnings that tell come to the driver, and then two sums."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = tv.text_bytes(b.column(0))
+            p = b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in tv.chunks(offsets):
+                kinds, *sums = _sums(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), *map(pa.array, sums)], ["h", *names])
+
+    names = ["bad", "good", "bad_words", "good_words"]
+    counts = small_batches(told.select("text", "p")).mapInArrow(tv.trimmed(counted), "h long, " + ", ".join(f"{n} double" for n in names))
+    counts = settled(counts.groupBy("h").agg(*[F.sum(n).alias(n) for n in names]), "beginnings")
+    whole = counts.where("h = 0").first() or dict.fromkeys(names, 0.0)
+    ratio = F.log((F.col("bad") + 0.5) / (whole["bad"] + 1)) - F.log((F.col("good") + 0.5) / (whole["good"] + 1))
+    weight = F.log((F.col("bad_words") + 0.5) / (whole["bad_words"] + 1)) - F.log((F.col("good_words") + 0.5) / (whole["good_words"] + 1))
+    tell = counts.where((F.col("h") != 0) & (F.col("bad") >= LEAST_BAD) & (ratio > LEAST_RATIO) & (weight > 0)).select("h", weight.alias("w")).collect()
+    h, w = _listed()
+    h = np.concatenate([np.array([r["h"] for r in tell], np.int64).view(np.uint64), h])
+    w = np.concatenate([np.array([r["w"] for r in tell], np.float64), w])
+    by = np.lexsort((-w, h))
+    h, at = np.unique(h[by], return_index=True)
+    found = Telling(h, w[by][at], float(np.log(share / (1 - share))), 0.0)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = tv.text_bytes(b.column(0))
+            p = b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in tv.chunks(offsets):
+                words = tv.words_of(_LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], _EDGES)
+                n = _per_text(found.word_weights(words) > 0, words.first)
+                yield pa.RecordBatch.from_arrays([pa.array([float(n @ p[i:j])]), pa.array([float(n @ (1 - p[i:j]))])], ["bad", "good"])
+
+    n = small_batches(told.select("text", "p")).mapInArrow(tv.trimmed(hits), "bad double, good double").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    toxic, other = ((n["bad"] or 0.0) / whole["bad_words"], (n["good"] or 0.0) / max(whole["good_words"], 1.0)) if whole["bad"] >= LEAST_BAD and whole["bad_words"] else USUAL_RATES
+    found.drift = max(toxic - other, 0.0)
+    return found
 
 
 def votes_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame | None) -> DataFrame:
-    """(id, h, one column for each labeller): votes on each row; marks of labels(doc_id, quality, toxic) are two labellers, of
+    """(id, h, size in bytes, one column for each labeller): votes on each row; marks of labels(doc_id, quality, toxic) are two labellers, of
     several rows of one id the worst."""
     names = [x for t in TASKS for x in t.labellers if not x.startswith("marked")]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -253,9 +354,9 @@ def votes_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame | No
             raw, offsets = tv.text_bytes(b.column(2))
             for i, j in tv.chunks(offsets):
                 found = heuristic_votes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(found[x]) for x in names)], ["id", "h", *names])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), *(pa.array(found[x]) for x in names)], ["id", "h", "size", *names])
 
-    out = small_batches(rows).mapInArrow(tv.trimmed(run), "id string, h long, " + ", ".join(f"{x} byte" for x in names))
+    out = small_batches(rows).mapInArrow(tv.trimmed(run), "id string, h long, size long, " + ", ".join(f"{x} byte" for x in names))
     if labels is None:
         return out.withColumns({"marked_low": F.lit(ABSTAIN).cast("byte"), "marked_toxic": F.lit(ABSTAIN).cast("byte")})
     marks = labels.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
@@ -265,15 +366,17 @@ def votes_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame | No
 
 @dataclass
 class Scorer:
+    """weights: of the logistic scorer, or telling: of the one by words."""
+
     task: Task
     votes: VoteModel
-    weights: np.ndarray
-    telling: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    telling: Telling | None = None
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None, sample: int = SAMPLE) -> list[Scorer]:
     """A scorer for each task. The vote patterns of all rows are counted (3 ** labellers at most, whatever the rows); the
-    linear scorers learn from sample rows at most, whose hashed features the driver gathers, weighed as the corpus has them."""
+    scorers learn from sample rows of SAMPLE_BYTES together at most, weighed as the corpus has them."""
     spark = docs.sparkSession
     names = [x for t in TASKS for x in t.labellers]
     votes = settled(votes_of(docs, id_col, text_col, labels), "votes")
@@ -288,50 +391,68 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels:
     suspect = F.greatest(*[F.col(x) for x in names]) == BAD
     some = keyed.where(suspect).orderBy("r").limit(min(SAMPLE_BAD, sample)).collect()
     some += keyed.orderBy("r").limit(sample - len(some)).collect()
-    chosen = {(r["id"], r["h"]): [r[x] for x in names] for r in some}
-    wanted = spark.createDataFrame([(i, h) for i, h in chosen], "id string, h long")
+    chosen: dict[tuple, list[int]] = {}
+    left = SAMPLE_BYTES
+    for r in some:
+        if (r["id"], r["h"]) not in chosen and r["size"] <= left:
+            chosen[r["id"], r["h"]] = [r[x] for x in names]
+            left -= r["size"]
+    order = sorted(chosen, key=lambda k: (k[1], k[0] or ""))
+    said = np.array([chosen[k] for k in order], np.int64).reshape(-1, len(names))
+    of = {t.name: said[:, [names.index(x) for x in t.labellers]] for t in TASKS}
+    bad = {t.name: models[t.name].posterior(of[t.name]) for t in TASKS}
+    # where there are marks, only marked rows teach about insults: the others show but those that are listed
+    told = {t.name: np.ones(len(order), bool) for t in TASKS}
+    for t in TASKS:
+        if t.sure and (marks := of[t.name][:, models[t.name].sure])[marks == BAD].size >= LEAST_BAD:
+            told[t.name] = marks != ABSTAIN
+    columns = [x for t in TASKS for x in (f"p_{t.name} double", f"told_{t.name} boolean")]
+    facts = zip(*[x.tolist() for t in TASKS for x in (bad[t.name], told[t.name])], strict=True)
+    wanted = spark.createDataFrame([(*k, i, *f) for i, (k, f) in enumerate(zip(order, facts, strict=True))], "id string, h long, at int, " + ", ".join(columns))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rows = rows.alias("d").join(F.broadcast(wanted.alias("w")), F.expr("d.h = w.h and d.id <=> w.id"), "left_semi")
+    rows = rows.alias("d").join(F.broadcast(wanted.alias("w")), F.expr("d.h = w.h and d.id <=> w.id")).select("w.*", "text").dropDuplicates(["at"])
+    rows = settled(rows, "sample")
+    share = counts[(table_ == BAD).any(1)].sum() / max(counts.sum(), 1)
+    seen = (said == BAD).any(1)
+    weight = np.where(seen, share / max(seen.mean(), 1e-9), (1 - share) / max(1 - seen.mean(), 1e-9)) if len(order) else np.zeros(0)
+    out = []
+    buckets = None
+    for t in TASKS:
+        model = models[t.name]
+        if t.by_words:
+            p = rows.where(f"told_{t.name}").select("text", F.col(f"p_{t.name}").alias("p"))
+            out.append(Scorer(t, model, telling=fit_telling(p, float(np.clip(1 - model.shares[0], 0.01, 0.5)))))
+            continue
+        buckets = _buckets(rows) if buckets is None else buckets
+        out.append(Scorer(t, model, train([(buckets[i], p, x) for i, (p, x) in enumerate(zip(bad[t.name], weight, strict=True)) if i in buckets])))
+    tv.trim()
+    return out
+
+
+def _buckets(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The buckets of each text of the sample (at, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = tv.text_bytes(b.column(2))
+            raw, offsets = tv.text_bytes(b.column(1))
             for i, j in tv.chunks(offsets):
                 text, bucket, _ = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = np.searchsorted(text, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))], ["id", "h", "at"])
+                ends = np.searchsorted(text, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))], ["at", "buckets"])
 
-    gathered = small_batches(rows).mapInArrow(tv.trimmed(run), "id string, h long, at array<int>").toArrow()
-    keys = list(zip(gathered.column("id").to_pylist(), gathered.column("h").to_pylist(), strict=True))
-    first = sorted({k: i for i, k in reversed(list(enumerate(keys)))}.items(), key=lambda x: (x[0][1], x[0][0] or ""))
-    lists = gathered.column("at").combine_chunks()
+    found = small_batches(rows.select("at", "text")).mapInArrow(tv.trimmed(run), "at int, buckets array<int>").toArrow()
+    lists = found.column("buckets").combine_chunks()
     off, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    out = []
-    seen = np.array([max(chosen[k]) == BAD for k, _ in first])
-    share = counts[(table_ == BAD).any(1)].sum() / max(counts.sum(), 1)
-    weight = np.where(seen, share / max(seen.mean(), 1e-9), (1 - share) / max(1 - seen.mean(), 1e-9)) if len(first) else np.zeros(0)
-    for t in TASKS:
-        at = [names.index(x) for x in t.labellers]
-        said = np.array([[chosen[k][x] for x in at] for k, _ in first], np.int64).reshape(-1, len(at))
-        bad = models[t.name].posterior(said)
-        told = (said == BAD).any(1) | (said[:, models[t.name].sure] != ABSTAIN if t.sure else False)
-        weighs = weight * np.where(told, 1.0, t.silent)
-        known = [(flat[off[i] : off[i + 1]], p, x) for (_, i), p, x in zip(first, bad, weighs, strict=True)]
-        out.append(Scorer(t, models[t.name], train(known), train_telling(known, told) if t.telling else None))
-    del gathered, lists, flat, keys, first, chosen, some
-    tv.trim()
-    return out
+    return {k: flat[off[i] : off[i + 1]] for i, k in enumerate(found.column("at").to_pylist())}
 
 
 def score(docs: DataFrame, scorers: list[Scorer], text_col: str = "text") -> DataFrame:
-    """docs with a column <task>_score (double, 0 to 1) for each scorer, the higher one where it has telling buckets too, and
-    rejected: whether one reaches its limit. Null and
+    """docs with a column <task>_score (double, 0 to 1) for each scorer, and rejected: whether one reaches its limit. Null and
     empty texts score 0 and are kept: nothing speaks against them. Columns of these names are replaced."""
     spark = docs.sparkSession
     names = [f"{s.task.name}_score" for s in scorers]
     limits = [s.task.reject for s in scorers]
-    weights = spark.sparkContext.broadcast(np.stack([s.weights for s in scorers]).astype(np.float32))
-    telling = spark.sparkContext.broadcast([None if s.telling is None else s.telling.astype(np.float32) for s in scorers])
+    models = spark.sparkContext.broadcast([s.telling or s.weights.astype(np.float32) for s in scorers])
     kept = docs.drop(*names, "rejected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,12 +460,8 @@ def score(docs: DataFrame, scorers: list[Scorer], text_col: str = "text") -> Dat
             raw, offsets = tv.text_bytes(b.column(text_col))
             parts = [np.zeros((len(limits), 0))]
             for i, j in tv.chunks(offsets):
-                text, bucket, x = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                z = np.stack([np.bincount(text, w[bucket] * x, j - i) + w[-1] for w in weights.value])
-                for k, w in enumerate(telling.value):
-                    if w is not None:
-                        z[k] = np.maximum(z[k], np.bincount(text, w[bucket], j - i) + w[-1])
-                parts.append(np.where(np.diff(offsets[i : j + 1]) > 0, 1 / (1 + np.exp(-z)), 0.0))
+                part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                parts.append(np.where(np.diff(off) > 0, 1 / (1 + np.exp(-np.clip(scored(models.value, part, off), -500, 500))), 0.0))
             scores = np.concatenate(parts, 1)
             rejected = np.any([s >= at for s, at in zip(scores, limits, strict=True)], axis=0) if len(limits) else np.zeros(len(b), bool)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s) for s in scores), pa.array(rejected)], [*b.schema.names, *names, "rejected"])
@@ -353,6 +470,13 @@ def score(docs: DataFrame, scorers: list[Scorer], text_col: str = "text") -> Dat
     return small_batches(kept).mapInArrow(tv.trimmed(run), schema)
 
 
+def scored(models: list[Telling | np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of scores of many texts, as logarithms of odds, for each model."""
+    n = len(offsets) - 1
+    text, bucket, x = features(raw, offsets)
+    return np.stack([m.score(raw, offsets) if isinstance(m, Telling) else np.bincount(text, m[bucket] * x, n) + m[-1] for m in models]) if models else np.zeros((0, n))
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:
     """docs with junk_score, toxic_score and rejected, by scorers fitted on these docs.
 

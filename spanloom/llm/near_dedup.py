@@ -9,10 +9,11 @@ Jaccard similarity. Bands of the signature give candidates, which the multisets
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
@@ -28,8 +29,10 @@ SIZE = BANDS * ROWS
 ROUNDS = 3
 #: Equal places of two signatures (by one byte each) from which bags may be similar: five standard deviations below LEAST * SIZE.
 PLAUSIBLE = int(LEAST * SIZE - 5 * (LEAST * (1 - LEAST) * SIZE) ** 0.5)
-#: Signatures in a block, bytes of text in a block, and ids (8 bytes each) that are broadcast.
-BLOCK_ROWS, BLOCK_BYTES, MOST_BROADCAST = 4096, 1 << 19, 500_000
+#: Signatures in a block, from the least for small groups to the most for large ones, and bytes of text in a block.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 512, 4096, 1 << 19
+#: Rows of a few numbers that are broadcast, at most.
+MOST_BROADCAST = 500_000
 
 
 def shingles_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,11 +127,11 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, a, b, size, bands, print) of (id, text): two hashes of the text, how many shingles it has, its bands and a
+    """(id, h, a, b, size, bands, print) of (id, h, text): two more hashes of the text, how many shingles it has, its bands and a
     byte of each place of its signature."""
     for batch in batches:
-        raw, offsets = tv.text_bytes(batch.column(1))
-        for i, j in tv.chunks(offsets, 1 << 20):
+        raw, offsets = tv.text_bytes(batch.column(2))
+        for i, j in tv.chunks(offsets):
             part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             doc, shingle, count = shingles_of(part, off)
             n = j - i
@@ -140,8 +143,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = size > 0
             ends = np.concatenate([[0], np.cumsum(some * BANDS)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[some].ravel().view(np.int64))), pa.array([x.tobytes() for x in prints], pa.binary())],
-                ["id", "a", "b", "size", "bands", "print"],
+                [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[some].ravel().view(np.int64))), pa.array([x.tobytes() for x in prints], pa.binary())],
+                ["id", "h", "a", "b", "size", "bands", "print"],
             )
 
 
@@ -161,17 +164,29 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in at], pa.int64()), pa.array([v[k] for k in at], pa.int64()), pa.array(found, pa.float64())], ["u", "v", "similarity"])
 
 
-def _confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Similar pairs of (u, v). Both texts come by joins on their ids; a much-paired one's rows may be split."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = rows.join(bounded(ids, MOST_BROADCAST), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+@dataclass(frozen=True)
+class _Texts:
+    """rows: (id, h, text) of all rows. nodes: (node, id, h) of each distinct text. Texts are read again where they are wanted."""
+
+    rows: DataFrame
+    nodes: DataFrame
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(node, text) of the nodes of wanted; a text once for each repeated row."""
+        keys = self.nodes.join(bounded(wanted.select("node").distinct(), MOST_BROADCAST), "node", "left_semi")
+        return self.rows.join(bounded(keys, MOST_BROADCAST), ["id", "h"]).select("node", "text")
+
+
+def _confirm(pairs: DataFrame, texts: _Texts) -> DataFrame:
+    """Similar pairs of (u, v). Both texts come by joins on their nodes; a much-paired one's rows may be split."""
+    found = texts.of(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))))
+    both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
     return small_batches(both.select("u", "v", "tu", "tv")).mapInArrow(tv.trimmed(_verified), "u long, v long, similarity double")
 
 
 def _asked(queries: pa.Table, block: pa.Table) -> tuple[np.ndarray, ...]:
-    ids, classes, sizes = (block.column(c).to_numpy() for c in ("id", "class", "size"))
-    return ids, classes, sizes, *(queries.column(c).to_numpy() for c in ("id", "class", "size"))
+    ids, classes, sizes = (block.column(c).to_numpy() for c in ("node", "class", "size"))
+    return ids, classes, sizes, *(queries.column(c).to_numpy() for c in ("node", "class", "size"))
 
 
 def _plausible(queries: pa.Table, block: pa.Table) -> pa.Table:
@@ -228,16 +243,63 @@ def _compared(queries: pa.Table, block: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], schema=schema)
 
 
-def _in_blocks(members: DataFrame, key: str, weight, most: int, work, schema: str) -> DataFrame:
-    """work(queries, block) over members, of a group each (key), in blocks of members of at most about so much weight: the queries are
-    all members but those of the group's largest class, and go to each block."""
+def _in_blocks(members: DataFrame, key: str, weight: Column, most: Column, work, schema: str) -> DataFrame:
+    """work(queries, block) over members, of a group each (key). Both sides are dealt into parts of about most of weight (a column over
+    n, the group's members): the blocks hold all members, the queries are all but those of the group's largest class, and each part of the
+    queries meets each block in a task of its own. So a task holds two parts, whatever the group's size."""
     sizes = members.groupBy(key, "class").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
-    sizes = sizes.groupBy(key).agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.ceil(F.sum("w") / most).cast("int").alias("blocks"))
+    sizes = sizes.groupBy(key).agg(F.max(F.struct("n", "class", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    parts = lambda w: F.greatest(F.lit(1), F.ceil(w / most)).cast("int")
+    sizes = sizes.select(key, F.col("top.class").alias("main"), parts(F.col("w")).alias("blocks"), parts(F.col("w") - F.col("top.w")).alias("asks"))
+    columns = [F.col(c).alias(c) for c in members.columns]
     rows = members.join(sizes, key)
-    columns = [F.col(c).alias(c) for c in (key, *(c for c in members.columns if c != key))]
-    blocks = rows.select(*columns, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    queries = rows.where("class <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return queries.alias("q").groupBy(key, "block").cogroup(blocks.alias("b").groupBy(key, "block")).applyInArrow(tv.trimmed_pair(work), schema)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
+    blocks = rows.select(*columns, own(1, F.col("blocks")).alias("block"), each(F.col("asks")).alias("ask"))
+    queries = rows.where("class <> main").select(*columns, each(F.col("blocks")).alias("block"), own(2, F.col("asks")).alias("ask"))
+    return queries.groupBy(key, "block", "ask").cogroup(blocks.groupBy(key, "block", "ask")).applyInArrow(tv.trimmed_pair(work), schema)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(id, h, class) of rows (id, h, text): class stands for the texts that are joined by links, and is one of their nodes. A text's node is
+    the least id that has it, or, if that id has other texts too, a hash of the text."""
+    sketches = settled(small_batches(rows.select("id", "h", "text")).mapInArrow(tv.trimmed(_sketched), "id long, h long, a long, b long, size long, bands array<long>, print binary"), "sketches")
+    stands = sketches.groupBy("a", "b").agg(F.min_by(F.struct("id", "h", "size", "bands", "print"), F.struct("id", "h")).alias("s"))
+    stands = stands.select("a", "b", "s.*")
+    several = settled(sketches.groupBy("id").agg(F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high")).where("low <> high").select("id"), "several")
+    if several.isEmpty():
+        stands = stands.withColumn("node", F.col("id"))
+    else:
+        stands = stands.join(bounded(several.withColumn("several", F.lit(True)), MOST_BROADCAST), "id", "left").withColumn("node", F.when(F.col("several"), F.xxhash64("a", "b")).otherwise(F.col("id"))).drop("several")
+    stands = settled(stands, "texts")
+    texts = _Texts(rows, stands.select("node", "id", "h"))
+    bands = settled(stands.select("node", "size", F.explode("bands").alias("band")), "bands")
+    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = settled(bands.join(shared.select("band"), "band", "left_semi").distinct(), "members")
+    left, classes = members.withColumn("class", F.col("node")), members.select("node", F.col("node").alias("class")).distinct()
+    for turn in range(ROUNDS):
+        pairs = settled(_with_leader(left, turn), "pairs")
+        if pairs.isEmpty():
+            continue
+        classes, left = _regrouped(members, classes, settled(_confirm(pairs, texts), "links"))
+    edges = None
+    if not left.isEmpty():
+        prints = left.join(stands.select("node", "print"), "node")
+        most = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), 16 * F.sqrt("n")))
+        edges = settled(_in_blocks(prints, "band", F.lit(1), most, _plausible, "c long, d long").distinct(), "plausible")
+    if edges is not None and not edges.isEmpty():
+        clusters = connected_components(edges, "c", "d").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+        some = classes.join(clusters, "class").join(stands.select("node", "size"), "node")
+        found = texts.of(some).dropDuplicates(["node"])
+        found = _in_blocks(some.join(found, "node"), "cluster", F.octet_length("text") + 1, F.lit(BLOCK_BYTES), _compared, "u long, v long, similarity double")
+        classes, _ = _regrouped(members, classes, settled(found, "links"))
+    named = stands.select("a", "b", "node").join(classes, "node", "left").select("a", "b", F.coalesce("class", "node").alias("class"))
+    return sketches.select("id", "h", "a", "b").join(named, ["a", "b"]).select("id", "h", "class")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
+    return rows.select("id", F.xxhash64("text").alias("h"), "text")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,80 +312,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class are compared exactly with all its members, in blocks. So no group is expanded into pairs, and a link that
     a band shows is lost only if signatures agree in fewer than PLAUSIBLE of SIZE places (a chance of about 1e-6 at LEAST, less above).
     Null and empty texts have no shingles and equal each other; rows with a null id have a null class. Rows of one id and
-    different texts share their classes. The working tables are written to the shared folder.
+    different texts are texts of their own. An empty table gives no rows; further columns don't matter. The working tables are written to
+    the shared folder.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
-    sketches = settled(small_batches(rows).mapInArrow(tv.trimmed(_sketched), "id long, a long, b long, size long, bands array<long>, print binary"), "sketches")
-    stands = sketches.groupBy("a", "b").agg(F.min_by(F.struct("id", "size", "bands", "print"), "id").alias("s"))
-    stands = settled(stands.select("a", "b", "s.*"), "texts")
-    bands = settled(stands.select("id", "size", F.explode("bands").alias("band")), "bands")
-    shared = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    members = settled(bands.join(shared.select("band"), "band", "left_semi").distinct(), "members")
-    left, classes = members.withColumn("class", F.col("id")), members.select("id", F.col("id").alias("class")).distinct()
-    for turn in range(ROUNDS):
-        pairs = settled(_with_leader(left, turn), "pairs")
-        if pairs.isEmpty():
-            continue
-        classes, left = _regrouped(members, classes, settled(_confirm(pairs, rows), "links"))
-    edges = None
-    if not left.isEmpty():
-        prints = left.join(stands.select("id", "print"), "id")
-        edges = settled(_in_blocks(prints, "band", F.lit(1), BLOCK_ROWS, _plausible, "c long, d long").distinct(), "plausible")
-    if edges is not None and not edges.isEmpty():
-        clusters = connected_components(edges, "c", "d").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-        some = classes.join(clusters, "class").join(stands.select("id", "size"), "id")
-        texts = rows.join(bounded(some.select("id"), MOST_BROADCAST), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        found = _in_blocks(some.join(texts, "id"), "cluster", F.octet_length("text") + 1, BLOCK_BYTES, _compared, "u long, v long, similarity double")
-        classes, _ = _regrouped(members, classes, settled(found, "links"))
-    named = stands.select("a", "b", "id").join(classes, "id", "left").select("a", "b", F.coalesce("class", "id").alias("class_id"))
-    out = sketches.select("id", "a", "b").join(named, ["a", "b"]).select(F.col("id").alias(id_col), "class_id")
+    found = settled(_classes(_keyed(docs, id_col, text_col)), "classes")
+    least = found.groupBy("class").agg(F.min("id").alias("class_id"))
+    out = found.join(least, "class").select(F.col("id").alias(id_col), "class_id")
     nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(nulls)
 
 
 def _regrouped(members: DataFrame, classes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, class) of all members after new links between the classes so far, and members with their class of those bands that still
+    """(node, class) of all members after new links between the classes so far, and members with their class of those bands that still
     have several."""
-    of = lambda end, name: classes.select(F.col("id").alias(end), F.col("class").alias(name))
+    of = lambda end, name: classes.select(F.col("node").alias(end), F.col("class").alias(name))
     edges = links.select("u", "v").join(of("u", "c"), "u").join(of("v", "d"), "v").where("c <> d").select(F.greatest("c", "d").alias("c"), F.least("c", "d").alias("d")).distinct()
-    groups = connected_components(edges, "c", "d").withColumnRenamed("node", "class")
-    classes = settled(classes.join(groups, "class", "left").select("id", F.coalesce("component", "class").alias("class")), "classes")
-    here = members.join(classes, "id")
+    groups = connected_components(edges, "c", "d").select(F.col("node").alias("class"), "component")
+    classes = settled(classes.join(groups, "class", "left").select("node", F.coalesce("component", "class").alias("class")), "classes")
+    here = members.join(classes, "node")
     mixed = here.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
     return classes, settled(here.join(mixed, "band", "left_semi"), "left")
 
 
 def _with_leader(left: DataFrame, turn: int) -> DataFrame:
     """Distinct pairs (u > v) of a band's members with its leader, without pairs of one class and those whose sizes rule a similarity of
-    LEAST out. The leader is the band's least id, and in the last round the least id of its greatest class. In the first round each
+    LEAST out. The leader is the band's least node, and in the last round the least node of its greatest class. In the first round each
     member meets but one of its bands' leaders, that of the most bands; what that joins needn't be compared again."""
-    first = F.struct(F.lit(0), F.col("id")) if turn < ROUNDS - 1 else F.struct(-F.col("class"), F.col("id"))
-    leader = left.groupBy("band").agg(F.min_by(F.struct("id", "size", "class"), first).alias("l"))
+    first = F.struct(F.lit(0).cast("long"), F.col("node")) if turn < ROUNDS - 1 else F.struct(-F.col("class"), F.col("node"))
+    leader = left.groupBy("band").agg(F.min_by(F.struct("node", "size", "class"), first).alias("l"))
     pairs = left.join(leader, "band").where("class <> l.class")
     fits = F.least("size", "l.size") >= LEAST * F.greatest("size", "l.size") - 1e-9
-    pairs = pairs.where(fits).groupBy("id", F.col("l.id").alias("other")).agg(F.count("*").alias("n"))
+    pairs = pairs.where(fits).groupBy("node", F.col("l.node").alias("other")).agg(F.count("*").alias("n"))
     if turn == 0:
-        pairs = pairs.groupBy("id").agg(F.max_by("other", F.struct(F.col("n"), -F.col("other"))).alias("other"))
-    return pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+        pairs = pairs.groupBy("node").agg(F.max_by("other", F.struct(F.col("n"), -F.col("other"))).alias("other"))
+    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: of its least id, and of several rows of that id the one with the least hash of its text
-    (rows with null ids all stay). Columns stay as they are. Only ids and hashes are worked on; the rows that go are then
+    """docs with one row of each class: of its least id, and of that id's texts the one with the least hash (rows with null ids all stay;
+    of repeated rows one stays). Columns stay as they are. Only ids and hashes are worked on; the rows that go are then
     taken out by an anti join, which shuffles no text unless they are many."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull())
-    first = found.groupBy("class_id").agg(F.min(id_col).alias("id")).select("id")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).where("id is not null").groupBy("id", "h").agg(F.count("*").alias("n"))
-    best = rows.groupBy("id").agg(F.min("h").alias("best")).join(first, "id", "left_semi")
-    rows = settled(rows.join(best, "id", "left").withColumn("stays", F.coalesce(F.col("h") == F.col("best"), F.lit(False))).select("id", "h", "n", "stays"), "kept")
+    found = settled(_classes(_keyed(docs, id_col, text_col)), "classes")
+    rows = found.groupBy("class", "id", "h").agg(F.count("*").alias("n"))
+    best = rows.groupBy("class").agg(F.min(F.struct("id", "h")).alias("best"))
+    rows = settled(rows.join(best, "class").select("id", "h", "n", (F.struct("id", "h") == F.col("best")).alias("stays")), "kept")
     gone = bounded(rows.where("not stays").select("id", "h"), MOST_BROADCAST)
-    keyed = docs.withColumn("__h", F.xxhash64(text_col))
+    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     at = lambda df: (keyed[id_col] == df["id"]) & (keyed["__h"] == df["h"])
     kept = keyed.join(gone, at(gone), "left_anti")
     twice = rows.where("stays and n > 1").select("id", "h")
     if not twice.isEmpty():
         more = bounded(twice, MOST_BROADCAST)
-        kept = kept.join(more, at(more), "left_anti").unionByName(keyed.join(more, at(more), "left_semi").dropDuplicates([id_col]))
+        kept = kept.join(more, at(more), "left_anti").unionByName(keyed.join(more, at(more), "left_semi").dropDuplicates([id_col, "__h"]))
     return kept.select(docs.columns)
 
 

@@ -23,8 +23,9 @@ from spanloom.llm.common import small_batches, table
 K, S = 20, 5
 #: Slots of a fingerprint; each holds the least anchor whose hash falls into it.
 SLOTS = 64
-#: Range bounds that the driver holds, so many partitions at most.
-MOST_RANGES = 20_000
+#: Bytes of text in a range of ids, about, and ranges whose bounds the driver holds, at most; beyond, ranges grow. A task streams
+#: through its range, so its memory doesn't.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000
 
 _BYTE_HASH = tv.mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -145,6 +146,18 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", out_col: str
     return small_batches(kept).mapInArrow(tv.trimmed(run), kept.selectExpr("*", f"'' as `{out_col}`").schema)
 
 
+def range_of(ids: np.ndarray, known: np.ndarray, h: np.ndarray, bounds: np.ndarray, null_ranges: int) -> np.ndarray:
+    """The range of each row, ascending in the order of rows: by descending id, nulls (not known) last, equal ids by their hash h. bounds: ascending ids, which cut
+    the rows into about equal parts; an id that is several bounds holds as many parts, and its rows are dealt to them by h."""
+    part = (h.view(np.uint64) ^ np.uint64(1 << 63)).astype(np.float64) / 2.0**64
+    low = np.searchsorted(bounds, ids, "left")
+    times = np.searchsorted(bounds, ids, "right") - low
+    own = np.maximum(times - 1, 1)
+    at = low + np.where(times > 0, own - np.minimum((part * own).astype(np.int64), own - 1), 0)
+    last = len(bounds) + 1 + np.minimum((part * null_ranges).astype(np.int64), null_ranges - 1)
+    return np.where(known, len(bounds) - at, last).astype(np.int32)
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list, list[str], list[str]], pa.RecordBatch], schema: str) -> DataFrame:
     """work(ids, texts, next texts) over all rows; a row's next is the one after it by descending id, nulls last, equal ids
     by hashes of the text; after the last comes the first.
@@ -153,29 +166,31 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list,
     range is also sent to the range before it, so no range waits for another.
     """
     spark = docs.sparkSession
-    n = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = np.unique(np.array(docs.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [], np.float64))
+    docs = docs.select("id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g"))
+    total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.count("id").alias("known")).first()
+    n = max(1, min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["bytes"] or 0) // RANGE_BYTES))))
+    cuts = docs.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 and total["known"] else []
+    bounds = np.sort(np.array(cuts, np.float64).astype(np.int64))
+    null_ranges = max(1, round(n * (total["n"] - total["known"]) / max(total["n"], 1)))
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        values = pd.to_numeric(ids, errors="coerce")
-        at = len(bounds) - np.searchsorted(bounds, values.fillna(-np.inf).to_numpy(np.float64), "right")
-        return pd.Series(np.where(values.isna(), len(bounds) + 1, at).astype(np.int32))
-
-    heads = docs.select("id", range_of("id").alias("range")).groupBy("range").agg(F.max("id").alias("head")).orderBy("range").collect()
-    firsts = {r["range"]: r["head"] for r in heads}
-    order = list(firsts)
-    before = {b: a for a, b in zip([*order[-1:], *order[:-1]], order, strict=True)}
-    lone = F.create_map(*[F.lit(x) for k, v in firsts.items() if v is not None for x in (k, v)]) if any(v is not None for v in firsts.values()) else None
-    is_head = F.col("id").isNull() if lone is None else F.when(F.col("id").isNull(), F.lit(True)).otherwise(F.col("id") == lone[F.col("range")])
-    to = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]) if before else F.create_map(F.lit(0), F.lit(0))
-    rows = docs.withColumn("range", range_of("id"))
+    def ranged(ids: pd.Series, known: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_of(ids.to_numpy(), known.to_numpy(bool), h.to_numpy(), bounds, null_ranges))
+
+    key = ranged(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), F.col("h"))
+    rows = docs.withColumn("range", key)
+    heads = rows.select("range", "id", "h").groupBy("range").agg(F.max(F.struct("id", (-1 - F.col("h")).alias("h"))).alias("head")).orderBy("range").collect()
+    order = [r["range"] for r in heads]
+    before = dict(zip(order, [*order[-1:], *order[:-1]], strict=True))
+    known = spark.createDataFrame([(r["range"], before[r["range"]], r["head"]["id"], -1 - r["head"]["h"]) for r in heads], "range int, to int, head_id long, head_h long")
+    rows = rows.join(F.broadcast(known), "range")
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("copy"))
-    sent = F.struct(to[F.col("range")].alias("range"), F.lit(1).alias("copy"))
+    sent = F.struct(F.col("to").alias("range"), F.lit(1).alias("copy"))
+    is_head = F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
     rows = rows.withColumn("at", F.explode(F.when(is_head, F.array(own, sent)).otherwise(F.array(own))))
-    rows = rows.select("at.range", "at.copy", "id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g"))
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "copy", F.col("id").desc_nulls_last(), "h", "g").select("range", "copy", "id", "text")
+    rows = rows.select("at.range", "at.copy", "id", "text", "h", "g").repartitionById(len(bounds) + 1 + null_ranges, "range")
+    rows = rows.sortWithinPartitions("range", "copy", F.col("id").desc_nulls_last(), "h", "g").select("range", "copy", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -198,8 +213,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list,
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its text's fingerprint, that of its edited text (the last half of its code points gives way to the first
     as many of the next document's), the edited text's digest, and the likeness of the fingerprint to the edited text's and to the next
-    document's. Null texts are empty; an empty table gives no rows; repeated ids and rows each have their row. Other columns don't
-    matter."""
+    document's. Null texts are empty; an empty table gives no rows; repeated ids and rows each have their row, and may be any share of the table. A
+    single row's next is itself. Other columns don't matter."""
 
     def work(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts, strict=True)]

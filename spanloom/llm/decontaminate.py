@@ -13,12 +13,12 @@ from spanloom.llm.common import ascii_lower, bounded, exploded, row_key, settled
 
 #: Words of a window; a document word inside a shared window is a hit.
 SPAN = 13
-#: Words of a k-gram, unless an item is shorter. Any shared window has SPAN - K + 1 of them, one of which is the least.
+#: Words of a k-gram. Any shared window of SPAN words has SPAN - K + 1 of them, one of which is the least.
 K = 6
 #: A document is contaminated if it has hits and SHARE * hits >= words.
 SHARE = 20
-#: Fingerprints (about 24 bytes each) up to which the benchmark's side is broadcast; beyond, the join shuffles.
-MOST_BROADCAST = 200_000
+#: Rows of one or two hashes up to which a table is broadcast; beyond, the join shuffles.
+MOST_BROADCAST = 500_000
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,13 +32,35 @@ def _grams(words: str, k: str) -> str:
     return f"if(size({words}) >= {k}, transform(sequence(1, size({words}) - {k} + 1), i -> xxhash64(slice({words}, i, {k}))), array())"
 
 
-def _winnowed(grams: str, window: int) -> str:
-    """SQL for the least hash of every window of so many k-grams."""
-    return f"if(size({grams}) >= {window}, array_distinct(transform(sequence(1, size({grams}) - {window} + 1), i -> array_min(slice({grams}, i, {window})))), array())"
+def _beside(values: str, step: int, width: int, both: str) -> str:
+    """SQL for both(x, y) of each two values that are step apart; values is an array that covers width of its source's places each."""
+    n = f"size({values}) - {step}"
+    return f"if({n} > 0, zip_with(slice({values}, 1, greatest(0, {n})), slice({values}, {step + 1}, greatest(0, {n})), (x, y) -> {both}), array())"
+
+
+def _run_widths(k: int) -> list[tuple[int, int]]:
+    """(width so far, step) by which runs of one place grow to runs of k places, doubling."""
+    out, have = [], 1
+    while have < k:
+        out.append((have, min(have, k - have)))
+        have += out[-1][1]
+    return out
+
+
+def _with_fingerprints(df: DataFrame, words: str, k: int, window: int) -> DataFrame:
+    """df with __fp, the distinct least hashes of every window of k-grams of words. Hashes of runs, and then least ones, grow by doubling, so a
+    word takes a few steps, whatever k and window; each step is a column of its own, which is worked out once."""
+    at = "__w0"
+    df = df.withColumn(at, F.expr(f"transform({words}, x -> xxhash64(x))"))
+    steps = [(w, s, "xxhash64(x, y)") for w, s in _run_widths(k)] + [(w, s, "least(x, y)") for w, s in _run_widths(window)]
+    for i, (width, step, both) in enumerate(steps):
+        df = df.withColumn(f"__w{i + 1}", F.expr(_beside(at, step, width, both))).drop(at)
+        at = f"__w{i + 1}"
+    return df.withColumn("__fp", F.array_distinct(at)).drop(at)
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
-    """(item_id, len, windows): hashes of the item's windows, which are all of len words; items without words have no row."""
+    """(item_id, len, words, windows): hashes of the item's windows, which are all of len words; items without words have no row."""
     rows = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).where("size(words) > 0")
     rows = rows.withColumn("len", F.least(F.lit(span), F.size("words")))
     return rows.select("item_id", "len", "words", F.expr(f"array_distinct({_grams('words', 'len')})").alias("windows"))
@@ -48,16 +70,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """docs with n_words, n_hit, n_items (long), items (array of item ids as strings, sorted) and contaminated.
 
     Candidates come from fingerprints. An item with span words or more shares a whole window with a document only if
-    they share a winnowed k-gram; a shorter one, its own only window, is looked up by its least k-gram among all k-grams of a
-    document. So no shared window is missed. Candidates' texts are then searched whole, window by window. Null and empty
-    texts have no words, no hits and aren't contaminated; items without words are in no document. Rows of one item id
-    are one item; repeated documents each get their own row. Further columns stay, but those named here are replaced.
+    they share a winnowed k-gram; a shorter one, its own only window, is looked up as it is, by the runs of its length. So no shared
+    window is missed, and short items make no more documents candidates than hold them. Candidates' texts are then searched whole, window by
+    window. Null and empty texts have no words, no hits and aren't contaminated; items without words are in no document. Rows of one item id
+    are one item; repeated documents each get their own row. Tables without rows give no rows or no hits. Further columns stay, but those
+    named here are replaced, as is __key.
     """
-    bench = settled(benchmark_windows(items, item_col, item_text, span), "benchmark")
-    lengths = [r[0] for r in bench.select("len").distinct().limit(span).collect()]
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    keyed = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated").withColumn("__key", row_key(id_col, text_col))
     found = measured(keyed, items, text_col, item_col, item_text, span)
-    out = keyed.drop("n_words", "n_hit", "n_items", "items", "contaminated").join(bounded(found, MOST_BROADCAST), "__key", "left")
+    out = keyed.join(bounded(found, MOST_BROADCAST // 10), "__key", "left")
     out = out.withColumns({"n_words": F.size(words_of(F.col(text_col))).cast("long"), "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.coalesce("contaminated", F.lit(False))})
     return out.withColumn("n_items", F.size("items").cast("long")).drop("__key")
 
@@ -71,43 +92,44 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def measured(keyed: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text: str, span: int = SPAN) -> DataFrame:
     """(__key, n_hit, items, contaminated) of the documents with hits, from rows with a __key; a table in the shared folder.
-    Only the texts of candidates are searched, and only they are shuffled, if at all."""
+    Only the texts of candidates are searched, and only they are shuffled, if at all. Windows and items meet by equal hashes; what a
+    document has of an item is never gathered but as places and ids."""
     bench = settled(benchmark_windows(items, item_col, item_text, span), "benchmark")
-    lengths = [r[0] for r in bench.select("len").distinct().limit(span).collect()]
+    lengths = sorted(r[0] for r in bench.select("len").distinct().limit(span).collect())
     if not lengths:
         return keyed.sparkSession.createDataFrame([], "__key struct<a:long,b:long>, n_hit long, items array<string>, contaminated boolean")
-    k = min(K, *lengths) if len(lengths) > 1 else min(K, lengths[0])
-    window = span - k + 1
-    bench = bench.withColumn("grams", F.expr(_grams("words", str(k))))
-    longs = bench.where(F.col("len") == span).select("item_id", F.explode(F.expr(_winnowed("grams", window))).alias("fp"))
-    shorts = bench.where(F.col("len") < span).select("item_id", F.array_min("grams").alias("fp"))
-    texts = keyed.select("__key", words_of(F.col(text_col)).alias("words")).select("__key", F.expr(_grams("words", str(k))).alias("grams"))
-    pairs = []
+    windows = settled(exploded(bench, F.col("windows"), "g", "item_id", "len").distinct(), "windows")
+    sought = settled(windows.select("len", "g").distinct(), "sought")
+    k = min(K, span)
+    texts = keyed.select("__key", words_of(F.col(text_col)).alias("words"))
+    found = []
     if span in lengths:
-        pairs.append((exploded(texts, F.expr(_winnowed("grams", window)), "fp", "__key"), longs))
-    if min(lengths) < span:
-        pairs.append((exploded(texts, F.array_distinct("grams"), "fp", "__key"), shorts))
-    found = None
-    for probe, side in pairs:
-        hits = probe.join(bounded(side, MOST_BROADCAST), "fp").select("__key", "item_id").distinct()
-        found = hits if found is None else found.union(hits)
-    found = settled(found.distinct(), "candidates")
-    windows = bench.select("item_id", "len", "windows")
-    per_doc = found.join(windows, found["item_id"].eqNullSafe(windows["item_id"])).drop(windows["item_id"])
-    per_doc = per_doc.groupBy("__key").agg(F.collect_list(F.struct("item_id", "len", "windows")).alias("__items"))
-    some = keyed.select("__key", F.col(text_col).alias("__text")).join(bounded(found.select("__key").distinct(), MOST_BROADCAST), "__key", "left_semi").dropDuplicates(["__key"])
-    out = settled(some.join(per_doc, "__key").select("__key", "__items", words_of(F.col("__text")).alias("__words")), "words")
-    shared = f"transform(__items, it -> named_struct('item', it.item_id, 'len', it.len, 'shared', array_intersect(it.windows, if(it.len = {span}, __grams, {_grams('__words', 'it.len')}))))"
-    out = out.withColumn("__grams", F.expr(_grams("__words", str(span))))
-    # written out, so that what follows reads the hits instead of working them out wherever it names them
-    out = settled(out.withColumn("__hits", F.expr(f"filter({shared}, it -> size(it.shared) > 0)")).drop("__items"), "hits")
-    lens = "array_distinct(transform(__hits, it -> it.len))"
-    of_len = "array_distinct(flatten(transform(filter(__hits, it -> it.len = n), it -> it.shared)))"
-    starts = f"flatten(transform({lens}, n -> transform(filter(transform(if(n = {span}, __grams, {_grams('__words', 'n')}), (g, i) -> named_struct('g', g, 'i', i)), x -> array_contains({of_len}, x.g)), x -> named_struct('s', x.i, 'e', x.i + n))))"
-    covered = f"aggregate(array_sort({starts}), named_struct('to', 0, 'n', 0L), (a, x) -> named_struct('to', greatest(a.to, x.e), 'n', a.n + greatest(0, x.e - greatest(a.to, x.s))), a -> a.n)"
-    names = "array_sort(array_distinct(transform(__hits, it -> coalesce(string(it.item), ''))))"
-    out = out.where("size(__hits) > 0").select("__key", F.expr(covered).alias("n_hit"), F.expr(names).alias("items"), F.size("__words").alias("n"))
-    return settled(out.select("__key", "n_hit", "items", (F.col("n_hit") * SHARE >= F.col("n")).alias("contaminated")), "contaminated")
+        prints = lambda df: _with_fingerprints(df, "words", k, span - k + 1)
+        longs = prints(bench.where(F.col("len") == span).select("words")).select(F.explode("__fp").alias("fp")).distinct()
+        found.append(exploded(prints(texts), F.col("__fp"), "fp", "__key").join(bounded(settled(longs, "fingerprints"), MOST_BROADCAST), "fp", "left_semi"))
+    for n in (x for x in lengths if x < span):
+        short = sought.where(F.col("len") == n).select("g")
+        found.append(exploded(texts, F.array_distinct(F.expr(_grams("words", str(n)))), "g", "__key").join(bounded(short, MOST_BROADCAST), "g", "left_semi"))
+    candidates = None
+    for rows in found:
+        rows = rows.select("__key").distinct()
+        candidates = rows if candidates is None else candidates.union(rows)
+    candidates = settled(candidates.distinct(), "candidates")
+    some = keyed.select("__key", F.col(text_col).alias("__text")).join(bounded(candidates, MOST_BROADCAST), "__key", "left_semi").dropDuplicates(["__key"])
+    some = settled(some.select("__key", words_of(F.col("__text")).alias("words")), "words")
+    hits = None
+    for n in lengths:
+        # an outer generator, as in exploded()
+        rows = some.select("__key", F.size("words").alias("n"), F.lit(n).alias("len"), F.posexplode_outer(F.expr(_grams("words", str(n)))).alias("at", "g")).where("g is not null")
+        hits = rows if hits is None else hits.union(rows)
+    hits = settled(hits.join(bounded(sought, MOST_BROADCAST), ["len", "g"], "left_semi"), "hits")
+    covered = "aggregate(array_sort(starts), named_struct('to', 0, 'n', 0L), (a, x) -> named_struct('to', greatest(a.to, x.e), 'n', a.n + greatest(0, x.e - greatest(a.to, x.s))), a -> a.n)"
+    starts = F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("len")).alias("e")))
+    per_doc = hits.groupBy("__key").agg(F.max("n").alias("n"), starts.alias("starts")).select("__key", "n", F.expr(covered).alias("n_hit"))
+    names = hits.select("__key", "len", "g").distinct().join(windows, ["len", "g"]).select("__key", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"))
+    names = names.distinct().groupBy("__key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = per_doc.join(names, "__key").select("__key", "n_hit", "items", (F.col("n_hit") * SHARE >= F.col("n")).alias("contaminated"))
+    return settled(out, "contaminated")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import common, decontaminate, fingerprint, line_dedup, near_dedup, quality, secret_scan, substring_dedup, textvec, url_filter, warc
 from spanloom.llm import sentencepiece_codec as codec
@@ -341,6 +342,60 @@ def test_fingerprints_and_edits(spark, docs, empty):
     assert fingerprint.compare_with_edits(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", ["id", "null", "none"])
+def test_next_document_with_hot_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 256)
+    rng = np.random.default_rng(6)
+    ids = {"id": [7] * 60, "null": [None] * 60, "none": []}[hot] + [int(x) for x in rng.permutation(90)] + [(1 << 62) + i for i in range(9)] + [-(1 << 63)]
+    rows = [(i, f"text {k % 50} of {i} " + "word " * int(rng.integers(0, 20))) for k, i in enumerate(ids)]
+
+    def work(own, texts, nexts):
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(texts), pa.array(nexts)], ["id", "t", "n"])
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = [tuple(r) for r in fingerprint.with_next(df, "doc_id", "text", work, "id long, t string, n string").collect()]
+    keyed = [(r.doc_id, r.h, r.text) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    order = sorted(keyed, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert Counter(found) == Counter((a[0], a[2], b[2]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+
+
+def plain_anchors(data, k, s):
+    """Closed syncmers by plain loops: (place, k-mer), by the operator's hash of s-mers."""
+    inner = [int(fingerprint._runs(np.frombuffer(data[i : i + s], np.uint8), s)[0]) for i in range(len(data) - s + 1)]
+    return [(i, data[i : i + k]) for i in range(len(data) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+
+
+def plain_likeness(a, b):
+    def kept(data):
+        slots = {}
+        for place, kmer in plain_anchors(data, fingerprint.K, fingerprint.S) or ([(0, None)] if data else []):
+            h = int(fingerprint.anchors(np.frombuffer(kmer, np.uint8), np.array([0, len(kmer)]))[2][0]) if kmer else int.from_bytes(hashlib.blake2b(data, digest_size=8).digest())
+            best = slots.setdefault(h >> 58, (h & ((1 << 58) - 1), place))
+            slots[h >> 58] = min(best, (h & ((1 << 58) - 1), place))
+        return slots
+
+    x, y = kept(a), kept(b)
+    pairs = sorted((x[k][1], y[k][1]) for k in x if k in y and x[k][0] == y[k][0])
+    best = []
+    for i, (_, q) in enumerate(pairs):
+        best.append(1 + max((best[j] for j in range(i) if pairs[j][0] < pairs[i][0] and pairs[j][1] < q), default=0))
+    return max(best, default=0) / len(x.keys() | y.keys()) if x or y else 1.0
+
+
+def test_anchors_and_likeness_against_plain_loops():
+    texts = ["", "short", LONG[:25], LONG[:700], LONG[300:1100], "x" * 90, LONG[:300] + "é😀" * 40 + LONG[500:900], LONG[500:900] + LONG[:300]]
+    raw, off = textvec.text_bytes(pa.array(texts))
+    text, place, h = fingerprint.anchors(raw, off)
+    for i, t in enumerate(texts):
+        want = plain_anchors(t.encode(), fingerprint.K, fingerprint.S)
+        assert sorted(place[text == i].tolist()) == ([p for p, _ in want] or ([0] if t else []))
+    hashes, places = fingerprint.sketch_texts(texts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            like = fingerprint.likeness(hashes[[i]], places[[i]], hashes[[j]], places[[j]])[0]
+            assert np.isclose(like, plain_likeness(a.encode(), b.encode())), (i, j)
+
+
 def test_syncmers_are_context_free():
     body = LONG[:4000]
     raw, off = textvec.text_bytes(pa.array(["zzz " + body, "another head, " + body]))
@@ -384,10 +439,29 @@ def test_warc_round_trip(spark, empty):
         assert (r.record_type, r.refers_to) == (("response", None) if i == largest[h or ""] else ("revisit", largest[h or ""]))
     again = warc.read_archives(spark, path).where("type = 'response'").collect()
     assert Counter(bytes(r.payload) for r in again) == Counter((h or "").encode() for i, _, h in pages if i == largest[h or ""])
+    assert len({r.record_id for r in warc.read_archives(spark, path, payloads=False).collect()}) == len(pages)
+    assert {r.date[:2] for r in again} == {"20"} and len({r.date for r in again}) == 1
+    assert Counter(bytes(r.payload) for r in warc.read_other_archives(spark, path).where("type = 'response'").collect()) == Counter(bytes(r.payload) for r in again)
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_pages(none, common.fresh_path(spark, "warc-test")).count() == 0
 
 
+def test_large_archives_are_split_at_records(spark):
+    rng = np.random.default_rng(8)
+    big = ["".join(chr(c) for c in rng.integers(32, 0x2000, int(n))) for n in rng.integers(0, 60_000, 40)] + ["y" * 3_000_000]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in enumerate(big)], "page_id long, url string, html string").coalesce(1)
+    path = common.fresh_path(spark, "warc-test")
+    warc.write_archives(warc.deduplicated(pages), path)
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9973")
+    try:
+        found = warc.read_archives(spark, path)
+        assert found.rdd.getNumPartitions() > 50
+        assert {r.page_id: bytes(r.payload) for r in found.collect()} == {i: t.encode() for i, t in enumerate(big)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+
+
 def test_warc_reader_takes_plain_and_member_wise_gzip():
     import gzip
 
@@ -430,6 +504,16 @@ def test_contamination_against_brute_force(spark, docs, short):
     assert Counter(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated)) for r in found) == brute_contamination([(i, t) for i, t, _ in ROWS], items)
 
 
+def test_short_items_make_no_candidates(spark, docs, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(decontaminate, "settled", lambda df, what: seen.setdefault(what, common.settled(df, what)))
+    clash = docs.withColumns({"n_hit": F.lit("x"), "items": F.lit("y"), "__key": F.lit(1)})
+    items = spark.createDataFrame([(1, COPY), (2, "zwölf"), (3, "x y z")], "item_id long, text string")
+    found = decontaminate.contamination(clash, items).collect()
+    assert {r.doc_id for r in found if r.n_hit} == {1, 2, 5, None} and seen["candidates"].count() == 4
+    assert seen["candidates"].count() == sum(1 for _ in {(r.doc_id, r.text) for r in found if r.n_hit})
+
+
 def test_contamination_without_rows(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).where("contaminated or n_hit > 0").count() == 0
@@ -512,8 +596,42 @@ def test_url_rules_and_aliases(spark):
 
 def test_declared_links(spark):
     html = '<link href="http://b/x" rel="canonical"><meta http-equiv="Refresh" content="0; URL=http://c/">'
-    pages = spark.createDataFrame([("http://a/", html), ("http://d/", None), (None, html), ("http://b/x", html)], "url string, html string")
-    assert {tuple(r) for r in url_filter.declared_links(pages).collect()} == {("http://a/", "http://b/x"), ("http://a/", "http://c/"), ("http://b/x", "http://c/")}
+    more = "<LINK rel=canonical href='../up?a=1&amp;b=2'><link rel='canonical'><link rel=canonical href=//other.org/z><link rel='canonical' href='#top'><link rel=canonical href='mailto:a@b'>"
+    pages = spark.createDataFrame([("http://a/", html), ("http://d/", None), (None, html), ("http://b/x", html), ("https://E.org/p/q/r", more), ("nowhere", more)], "url string, html string")
+    found = {tuple(r) for r in url_filter.declared_links(pages).collect()}
+    assert found == {("http://a/", "http://b/x"), ("http://a/", "http://c/"), ("http://b/x", "http://c/"), ("https://E.org/p/q/r", "https://E.org/p/q/../up?a=1&b=2"), ("https://E.org/p/q/r", "https://other.org/z")}
+
+
+def test_urls_are_resolved_and_normal(spark):
+    cases = {"HTTP://A.org": "http://a.org/", "http://a.org/x/../y/./z#f": "http://a.org/y/z", "http://a.org/../..": "http://a.org/", "http://a.org/b/..": "http://a.org/", "http://a.org/b/.?q=/../": "http://a.org/b/?q=/../", "no url": "no url", None: None, "http://a.org?x=1": "http://a.org/?x=1"}
+    rows = spark.createDataFrame([(k,) for k in cases], "u string").select("u", url_filter.normal_url(F.col("u"))).collect()
+    assert {r[0]: r[1] for r in rows} == cases
+    links = [("http://a.org/b/c?d#e", "x", "http://a.org/b/x"), ("http://a.org", "x", "http://a.org/x"), ("http://a.org/b/c", "?q", "http://a.org/b/c?q"), ("http://a.org/b", "/r", "http://a.org/r"), ("u", "/r", None), ("http://a.org/", "", None), ("http://a.org/", None, None)]
+    rows = spark.createDataFrame(links, "b string, t string, want string").select("want", url_filter.resolved(F.col("b"), F.col("t"))).collect()
+    assert all(r[0] == r[1] for r in rows)
+
+
+def test_components_decide_in_the_query(spark, tmp_path):
+    import duckdb
+
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [(1, "http://a.org/1", link("/2")), (2, "http://A.org/2#x", link("//bad.net/es/page")), (3, "http://a.org/3/x", link("../2")), (4, "http://c.org/", '<meta http-equiv=refresh content="0;url=http://c.org/k?a=1&amp;b=2">'), (5, "http://c.org/k?a=1&b=2", link("http://x.net/fr/")), (6, "http://d.com/", link("http://x.net/fr/")), (7, "http://e.org/", None), (8, None, link("http://x.net/fr/")), (9, "http://x.net/fr/", "<p>"), (10, "http://f.org/1", link("http://y.net/es/")), (11, "http://f.org/1", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.op8_url_filter(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    by = con.execute(url_filter.ORACLE).fetchall()
+    assert found == {r[0]: (r[3], r[4]) for r in by}
+    # d.com/ is expressly allowed, so what it shares a component with isn't blocked by it
+    assert {i for i, (_, v) in found.items() if v == "block"} == {1, 2, 3, 9, 10, 11}
+
+
+def test_url_filter_on_no_rows(spark):
+    none, links = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([("http://a.org/", "http://x.net/fr/")], "src string, dst string")
+    assert url_filter.filter_urls(none, links).count() == 0
+    one = spark.createDataFrame([(1, "http://a.org", "h", "p", "__")], "page_id long, url string, host string, path string, __spread string")
+    assert [r.verdict for r in url_filter.filter_urls(one, links).collect()] == ["block"]
+    assert [r.verdict for r in url_filter.filter_urls(one, links.limit(0)).collect()] == ["allow"]
 
 
 # --- 9

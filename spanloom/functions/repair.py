@@ -19,6 +19,57 @@ MERGED = [
 CODE = [r"function\s+\w+\s*\(", r"class\s+\w+", r"import\s+.+from", r"const\s+\w+\s*=", r"let\s+\w+\s*=", r"var\s+\w+\s*=", r"(?s)\{.*\}", r"\[\s*\]"]
 
 
+# Words that extraction has broken, accents and elisions that it has torn off, endings that a word's last piece makes, and short words that stay apart.
+BROKEN = [("mes dames", "mesdames"), ("mes sie urs", "messieurs"), ("da mes", "dames"), ("sie urs", "sieurs")]
+TORN = [
+    (r"([a-zà-öø-ÿ])\s+([éèêëàâäùûüôöïî][a-zà-öø-ÿ]+)", r"\1\2", True), (r"\b([dlncmtsqjDLNCMTSQJ])\s*['\x{2019}\x{02BC}]\s*([a-zA-Zà-öø-ÿÀ-ÖØ-Ÿ])", r"\1'\2", False),
+    (r"\b(qu|Qu|QU)\s*['\x{2019}\x{02BC}]\s*([a-zA-Zà-öø-ÿÀ-ÖØ-Ÿ])", r"\1'\2", False),
+]
+ENDINGS = ["ment", "tion", "sion", "eurs", "ieurs", "teur", "trice", "ance", "ence", "elle", "esse", "ante", "ente", "able", "ible"]
+APART = [
+    "le", "la", "de", "du", "un", "et", "ou", "en", "au", "à", "ne", "se", "ce", "me", "te", "es", "je", "tu", "il", "par", "sur", "pour", "dans", "avec", "sans", "sous", "vous", "nous", "elle", "pas", "est", "sont",
+    "der", "die", "das", "den", "dem", "des", "ein", "und", "von", "mit", "für", "bei", "aus",
+]
+PAIR_LONG, PAIR_SHORT = r"\b[a-zà-öø-ÿ]{2,}\s+[a-zà-öø-ÿ]{1,5}\b", r"\b[a-zà-öø-ÿ]{2,4}\s+[a-zà-öø-ÿ]{2,4}\b"
+
+
+def map_matches(text: Column, pattern: str, change) -> Column:
+    """text with change(match) for each match of pattern, leftmost and not overlapping."""
+    p = spark_regex(pattern)
+    hits = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), change)
+    return F.array_join(F.zip_with(F.split(text, p, -1), F.array_append(hits, F.lit("")), lambda a, b: F.concat(a, b)), "")
+
+
+def map_matches_sql(text: str, pattern: str, change: str) -> str:
+    """The same in SQL; change is an expression of m."""
+    p = sql_regex(pattern)
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({text}, {p}), list_append(list_transform(regexp_extract_all({text}, {p}), lambda m: {change}), '')), lambda z: z[1] || z[2]), '')"
+
+
+def join_broken(text: Column) -> Column:
+    """Words that extraction has broken in two are joined again: known ones, torn accents and elisions, pieces that make a common ending, and two short pieces none of which
+    is a word that stands alone."""
+    for broken, whole in BROKEN:
+        text = F.regexp_replace(text, spark_regex(broken.replace(" ", r"\s+"), fold=True), whole)
+    for pattern, new, fold in TORN:
+        text = F.regexp_replace(text, spark_regex(pattern, fold), new.replace("\\", "$"))
+    joined = lambda m: F.regexp_replace(m, spark_regex(r"\s+"), "")
+    text = map_matches(text, PAIR_LONG, lambda m: F.when(joined(m).rlike("(?:" + "|".join(ENDINGS) + ")$"), joined(m)).otherwise(m))
+    parts = lambda m: F.split(m, spark_regex(r"\s+"), -1)
+    return map_matches(text, PAIR_SHORT, lambda m: F.when(F.exists(parts(m), lambda w: w.isin(*APART)), m).otherwise(joined(m)))
+
+
+def join_broken_sql(text: str) -> list[str]:
+    """The steps of join_broken as expressions of text, to be nested as subqueries."""
+    steps = [f"regexp_replace(text, {sql_regex(broken.replace(' ', chr(92) + 's+'), fold=True)}, '{whole}', 'g')" for broken, whole in BROKEN]
+    steps += [f"regexp_replace(text, {sql_regex(pattern, fold)}, '{new.replace(chr(39), chr(39) * 2)}', 'g')" for pattern, new, fold in TORN]
+    joined = f"regexp_replace(m, {sql_regex(chr(92) + 's+')}, '', 'g')"
+    steps.append(map_matches_sql("text", PAIR_LONG, f"case when regexp_matches({joined}, '(?:{'|'.join(ENDINGS)})$') then {joined} else m end"))
+    listed = ", ".join(f"'{w}'" for w in APART)
+    steps.append(map_matches_sql("text", PAIR_SHORT, f"case when len(list_filter(regexp_split_to_array(m, {sql_regex(chr(92) + 's+')}), lambda w: w in ({listed}))) > 0 then m else {joined} end"))
+    return steps
+
+
 def split_merged(text: Column) -> Column:
     """Spaces where words, numbers and signs have run together, none within addresses of pages and mails."""
     for pattern, new, fold in MERGED:

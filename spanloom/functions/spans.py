@@ -10,28 +10,37 @@ from spanloom.functions.regex import spark_regex, sql_regex
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
-def spans(text: Column, pattern: str, fold: bool = False, group: bool = False) -> Column:
+def spans(text: Column, pattern: str, fold: bool = False, group: bool = False, any_of: tuple[str, ...] = ()) -> Column:
     """The pattern's matches, leftmost and not overlapping: an array of (start, end, text) in code points, end exclusive.
 
-    With group, pattern has one capturing group, and the spans are the group's. The text is cut into gaps and matches, each tied to the end of the one
-    before by \\G, so offsets are sums of lengths and a text without a match costs one search. Null text: null.
+    With group, pattern has one capturing group, and the spans are the group's. Matches and the gaps between them are cut out of the text by the same
+    search, so offsets are sums of lengths; a text without a match costs one search, and one that holds none of any_of, of which every match has
+    one, costs none. Null text: null.
     """
-    p = spark_regex(pattern)
-    flags = "(?iu)" if fold else ""
-    whole = F.lit(rf"{flags}\G((?s:.*?))({p})")
-    gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
-    inner = F.regexp_extract_all(text, whole, F.lit(3)) if group else hits
-    rows = F.arrays_zip(gaps.alias("g"), hits.alias("m"), inner.alias("v"))
+    p = ("(?iu)" if fold else "") + spark_regex(pattern)
+    hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    # taken only where there are hits
+    gaps = F.split(text, p, -1)
+    inner = F.regexp_extract_all(text, F.lit(p), F.lit(1)) if group else None
 
     def step(acc: Column, x: Column) -> Column:
+        value = x["v"] if group else x["m"]
         begin = acc["at"] + F.length(x["g"])
-        start = begin + (F.instr(x["m"], x["v"]) - 1 if group else F.lit(0))
-        one = F.struct(start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("text"))
+        start = begin + (F.instr(x["m"], value) - 1 if group else F.lit(0))
+        one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"))
         return F.struct((begin + F.length(x["m"])).alias("at"), F.array_append(acc["out"], one).alias("out"))
 
     none = F.array().cast(SPAN)
+    parts = [gaps.alias("g"), hits.alias("m"), *([inner.alias("v")] if group else [])]
+    rows = F.filter(F.arrays_zip(*parts), lambda x: x["m"].isNotNull())
     found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(text.rlike(flags + p), found).when(text.isNotNull(), none)
+    there = text.rlike(p)
+    if any_of:
+        listed = F.contains(text, F.lit(any_of[0]))
+        for x in any_of[1:]:
+            listed = listed | F.contains(text, F.lit(x))
+        there = listed & there
+    return F.when(there, found).when(text.isNotNull(), none)
 
 
 def spans_sql(source: str, key: str, text: str, pattern: str, fold: bool = False, group: bool = False) -> str:

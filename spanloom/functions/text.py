@@ -194,3 +194,37 @@ def regex_risk(pattern: Column) -> Column:
     """A score of how slow a pattern may be: nested and unbounded quantifiers, repeated classes, alternatives, length."""
     count = lambda p: F.regexp_count(pattern, F.lit(p))
     return 10 * count(r"\([^)]*[+*][^)]*\)[+*]") + 5 * count(r"[+*](?!\?)") + 3 * count(r"\[[^\]]+\][+*]") + 2 * count(r"\|") + F.length(pattern) / 50
+
+
+# Titles before a name, in the order in which they are taken off; a full stop stands for any sign.
+TITLES = ["mr", "mr.", "herr", "m.", "monsieur", "mister", "mrs", "mrs.", "frau", "mme", "mme.", "madame", "ms", "ms.", "fräulein", "mlle", "mademoiselle", "dr", "dr.", "doktor", "docteur", "prof", "prof.", "professor", "professeur"]
+
+
+def title_key(text: Column) -> Column:
+    """The text's key without titles before it."""
+    key = text_key(text)
+    for title in TITLES:
+        key = F.regexp_replace(key, spark_regex(rf"^{title}\s+", fold=True), "")
+    return F.btrim(key)
+
+
+def title_key_sql(key: str) -> str:
+    for title in TITLES:
+        key = f"regexp_replace({key}, {sql_regex(rf'^{title}{chr(92)}s+', fold=True)}, '')"
+    return f"trim({key})"
+
+
+def regex_escaped(text: Column) -> Column:
+    """The text with a backslash before each sign that patterns read."""
+    return F.regexp_replace(text, r"[.*+?^${}()|\[\]\\]", r"\\$0")
+
+
+#: Characters of a text that a guarded pattern looks at, at most; a longer text has an error instead of an answer.
+GUARD = 10_000
+
+
+def guarded(text: Column, pattern: str, most: int = GUARD) -> Column:
+    """(success, value, error): whether the pattern stands in a text of most characters or fewer; longer texts aren't searched."""
+    fits = F.length(text) <= most
+    error = F.when(~fits, F.concat(F.lit("Input exceeds maximum length ("), F.length(text).cast("string"), F.lit(f" > {most})")))
+    return F.struct(fits.alias("success"), F.when(fits, text.rlike(spark_regex(pattern))).alias("value"), error.alias("error"))

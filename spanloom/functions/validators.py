@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,3 +188,38 @@ def postal_code(text: Column) -> Column:
 
 #: The validator of each type of entity; types without one stay unchecked.
 VALIDATORS = {"SWISS_AVS": swiss_avs, "IBAN": iban, "EMAIL": email, "PHONE": phone, "DATE": date, "VAT_NUMBER": vat, "SWISS_ADDRESS": swiss_address}
+
+
+class ValidatorRegistry:
+    """Validators by type; one takes the place of another only with a higher priority, and none after freeze()."""
+
+    def __init__(self) -> None:
+        self._known: dict[str, tuple[Callable[[Column], Column], int]] = {}
+        self._frozen = False
+
+    def register(self, kind: str, validator: Callable[[Column], Column], priority: int = 0) -> bool:
+        if self._frozen:
+            raise RuntimeError(f"the registry is frozen; {kind} can't be registered")
+        if kind in self._known and priority <= self._known[kind][1]:
+            return False
+        self._known[kind] = (validator, priority)
+        return True
+
+    def get(self, kind: str) -> Callable[[Column], Column] | None:
+        return self._known.get(kind, (None, 0))[0]
+
+    def freeze(self) -> None:
+        self._frozen = True
+
+    def check(self, kind: Column, text: Column) -> Column:
+        """(valid, confidence) of the type's validator; null for types without one."""
+        out = F.lit(None)
+        for name, (validator, _) in self._known.items():
+            out = F.when(kind == name, validator(text)).otherwise(out)
+        return out
+
+    def __contains__(self, kind: str) -> bool:
+        return kind in self._known
+
+    def __len__(self) -> int:
+        return len(self._known)

@@ -139,3 +139,34 @@ def score_of(pattern: Column, types: Column, texts: Column) -> Column:
         F.when(has("COUNTRY"), 0.1).otherwise(0.0),
     ]
     return F.round(sum(parts[1:], parts[0]) / 1.7, 6)
+
+
+SWISS_CODE = r"^[1-9]\d{3}$"
+# What names Switzerland in a country.
+SWISS_NAMES = ("schweiz", "suisse", "switzerland")
+
+
+def address_type(postal: Column, country: Column) -> Column:
+    """SWISS_ADDRESS for a Swiss code or country, EU_ADDRESS for another code or country, else ADDRESS; postal and country may be null."""
+    name = F.lower(F.coalesce(country, F.lit("")))
+    swiss = F.coalesce(postal, F.lit("")).rlike(SWISS_CODE) | (name == "ch")
+    for n in SWISS_NAMES:
+        swiss = swiss | F.contains(name, F.lit(n))
+    return F.when(swiss, "SWISS_ADDRESS").when(postal.isNotNull() | country.isNotNull(), "EU_ADDRESS").otherwise("ADDRESS")
+
+
+def plausible_groups(entities: DataFrame) -> DataFrame:
+    """entities (with grouped) without grouped Swiss and EU addresses that are longer than 100 characters, hold a # or have two blank lines or more."""
+    odd = (F.length("text") > 100) | F.contains("text", F.lit("#")) | (F.regexp_count("text", F.lit("\n\n")) > 1)
+    return entities.where(~(F.col("type").isin("SWISS_ADDRESS", "EU_ADDRESS") & F.coalesce("grouped", F.lit(False)) & odd))
+
+
+CITY_AFTER, CITY_WITHIN = r"^[ \t]*([A-ZÄÖÜ][a-zäöüéèàâêîôûç]+(?:[ \t]+[a-zäöüéèàâêîôûç]+)?)", 50
+
+
+def cities_after(found: DataFrame) -> DataFrame:
+    """(doc_id, start, end, text): the capitalised word, and a small one after it, that follows a postal code of found (doc_id, end, full) in its line, within CITY_WITHIN characters."""
+    after = F.substring("full", F.col("end") + 1, F.lit(CITY_WITHIN))
+    rows = found.select("doc_id", F.col("end").alias("code_end"), after.alias("after")).withColumn("text", F.regexp_extract("after", CITY_AFTER, 1)).where("text <> ''")
+    start = (F.col("code_end") + F.instr("after", F.col("text")) - 1).cast("int")
+    return rows.select("doc_id", start.alias("start"), (start + F.length("text")).alias("end"), "text")

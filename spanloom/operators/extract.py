@@ -12,21 +12,24 @@ from spanloom.functions.spans import spans, spans_sql
 
 @dataclass(frozen=True)
 class Pattern:
+    """any_of: strings of which every match holds one; texts without them aren't searched."""
+
     type: str
     name: str
     regex: str
     fold: bool = False
     group: bool = False
+    any_of: tuple[str, ...] = ()
 
 
 # The high-recall patterns, in their order.
 HIGH_RECALL = (
-    Pattern("SWISS_AVS", "avs", r"756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}"),
+    Pattern("SWISS_AVS", "avs", r"756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}", any_of=("756",)),
     Pattern("IBAN", "iban", r"\b[A-Z]{2}\d{2}[ ]?(?:[A-Z0-9]{1,4}[ ]?){3,8}[A-Z0-9]{0,4}\b"),
-    Pattern("EMAIL", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    Pattern("EMAIL", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", any_of=("@",)),
     Pattern("PHONE", "phone", r"(?:\+|00)?(?:41|49|33|39|43)[\s.-]?(?:\(?\d{1,4}\)?[\s.-]?)?\d{2,4}[\s.-]?\d{2,4}[\s.-]?\d{2,4}"),
     Pattern("VAT_NUMBER", "vat_ch", r"\bCHE[-\s]?\d{3}[.\s]?\d{3}[.\s]?\d{3}(?:\s*(?:MWST|TVA|IVA))?\b", fold=True),
-    Pattern("VAT_NUMBER", "vat_eu", r"\b(?:DE|FR|IT|AT)\s?\d{8,11}\b"),
+    Pattern("VAT_NUMBER", "vat_eu", r"\b(?:DE|FR|IT|AT)\s?\d{8,11}\b", any_of=("DE", "FR", "IT", "AT")),
     Pattern("PAYMENT_REF", "payment_ref", r"\b\d{2}[\s]?\d{5}[\s]?\d{5}[\s]?\d{5}[\s]?\d{5}[\s]?\d{5,6}\b"),
     Pattern("SWISS_ADDRESS", "address_ch", r"\b(?:CH[-\s]?)?[1-9]\d{3}[ \t]+[A-ZÄÖÜ][a-zäöüé]{2,}(?:-[A-Za-zäöüé]+){0,2}\b"),
     Pattern("EU_ADDRESS", "address_de", r"\b(?:D[-\s]?|A[-\s]?)?\d{5}[ \t]+[A-ZÄÖÜ][a-zäöüß]{2,}(?:-[A-Za-zäöüß]+){0,2}\b"),
@@ -38,8 +41,8 @@ HIGH_RECALL = (
     Pattern("DATE", "date", r"\b(?:0?[1-9]|[12]\d|3[01])[\s./-](?:0?[1-9]|1[0-2])[\s./-](?:19|20)?\d{2}\b"),
     Pattern("DATE", "date_de", r"\b(?:0?[1-9]|[12]\d|3[01])\.?\s*(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\s*(?:19|20)?\d{2,4}\b", fold=True),
     Pattern("DATE", "date_fr", r"\b(?:0?[1-9]|[12]\d|3[01])\s*(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)\s*(?:19|20)?\d{2,4}\b", fold=True),
-    Pattern("ORGANIZATION", "organization", r"\b[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿA-Z]+(?:[\s-]+[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿA-Z]+)*\s+(?:AG|SA|GmbH|Ltd|Inc|Corp|LLC|Sàrl|SARL|Cie|KG|SE|Plc)\.?\b"),
-    Pattern("ORGANIZATION", "acronym", r"\b[A-Z]{2,6}\s+(?:AG|SA|GmbH|Ltd|Inc|Corp|LLC|SE|Plc)\.?\b"),
+    Pattern("ORGANIZATION", "organization", r"\b[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿA-Z]+(?:[\s-]+[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿA-Z]+)*\s+(?:AG|SA|GmbH|Ltd|Inc|Corp|LLC|Sàrl|SARL|Cie|KG|SE|Plc)\.?\b", any_of=("AG", "SA", "GmbH", "Ltd", "Inc", "Corp", "LLC", "Sàrl", "SARL", "Cie", "KG", "SE", "Plc")),
+    Pattern("ORGANIZATION", "acronym", r"\b[A-Z]{2,6}\s+(?:AG|SA|GmbH|Ltd|Inc|Corp|LLC|SE|Plc)\.?\b", any_of=("AG", "SA", "GmbH", "Ltd", "Inc", "Corp", "LLC", "SE", "Plc")),
     Pattern("PERSON_NAME", "person", r"\b[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]{2,}[ ]+[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]{2,}\b"),
 )
 
@@ -47,23 +50,23 @@ HIGH_RECALL = (
 DETECTOR = (
     Pattern("IBAN", "iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{1,30}\b"),
     Pattern("IBAN", "iban_formatted", r"\b[A-Z]{2}[\s-]?[0-9]{2}(?:[\s-]?[A-Z0-9]{4}){2,7}(?:[\s-]?[A-Z0-9]{1,3})?\b"),
-    Pattern("SWISS_AVS", "avs", r"\b756\.\d{4}\.\d{4}\.\d{2}\b"),
-    Pattern("SWISS_AVS", "avs_nodots", r"\b756\d{10}\b"),
+    Pattern("SWISS_AVS", "avs", r"\b756\.\d{4}\.\d{4}\.\d{2}\b", any_of=("756",)),
+    Pattern("SWISS_AVS", "avs_nodots", r"\b756\d{10}\b", any_of=("756",)),
     Pattern("SWISS_AVS", "avs_masked", r"\b756\.(?:\d{4}|X{4}|\*{4})\.(?:\d{4}|X{4}|\*{4})\.(?:\d{2}|X{2}|\*{2})\b", fold=True),
     Pattern("SWISS_BANK_ACCOUNT", "bank_account", r"\b\d{2}-\d{5,6}-\d\b"),
     Pattern("EU_VAT", "eu_vat", r"\b(?:AT|BE|BG|CY|CZ|DE|DK|EE|EL|ES|FI|FR|HR|HU|IE|IT|LT|LU|LV|MT|NL|PL|PT|RO|SE|SI|SK)U?[0-9A-Z]{8,12}\b"),
-    Pattern("SWISS_UID", "uid", r"\bCHE-\d{3}\.\d{3}\.\d{3}(?:\s+(?:MWST|TVA|IVA))?\b"),
+    Pattern("SWISS_UID", "uid", r"\bCHE-\d{3}\.\d{3}\.\d{3}(?:\s+(?:MWST|TVA|IVA))?\b", any_of=("CHE-",)),
     Pattern("PASSPORT", "passport", r"\b[A-Z]\d{7}\b"),
     Pattern("LICENSE_PLATE", "plate", r"\b(?:AG|AI|AR|BE|BL|BS|FR|GE|GL|GR|JU|LU|NE|NW|OW|SG|SH|SO|SZ|TG|TI|UR|VD|VS|ZG|ZH)\s?\d{1,6}\b"),
     Pattern("PHONE", "phone", r"(?:\+41|0041|0)[\s-]?\(?\d{2}\)?[\s-]?\d{3}[\s-]?\d{2}[\s-]?\d{2}|(?:\+|00)\d{1,3}[\s-]?\(?\d{1,4}\)?[\s-]?\d{1,4}[\s-]?\d{1,4}(?:[\s-]?\d{1,4})?"),
     Pattern("PHONE", "phone_masked", r"(?:\+41|0041|0)[\s-]?\(?\d{2}\)?[\s-]?(?:\d{3}|X{3}|\*{3})[\s-]?(?:\d{2}|X{2}|\*{2})[\s-]?(?:\d{2}|X{2}|\*{2})", fold=True),
-    Pattern("EMAIL", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-    Pattern("EMAIL", "email_multiline", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]\s*[\r\n]+\s*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    Pattern("EMAIL", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", any_of=("@",)),
+    Pattern("EMAIL", "email_multiline", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]\s*[\r\n]+\s*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", any_of=("@",)),
     Pattern("EMAIL", "email_masked", r"\b[A-Za-z0-9._%+-]*(?:\*{3,}|X{3,})[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", fold=True),
     Pattern("DATE", "date", r"\b(?:0?[1-9]|[12][0-9]|3[01])\.(?:0?[1-9]|1[012])\.(?:19|20)\d{2}\b"),
     Pattern("ADDRESS", "address", r"\b\d{4}[ \t]+[A-ZÀ-ÖØ-Ýa-zà-öø-ÿ][A-ZÀ-ÖØ-Ýa-zà-öø-ÿ\-']+(?:[ \t]+[A-ZÀ-ÖØ-Ýa-zà-öø-ÿ][A-ZÀ-ÖØ-Ýa-zà-öø-ÿ\-']+)?\b"),
     Pattern("ADDRESS", "street", r"\b(?:Rue|Route|Rte|Chemin|Ch\.|Avenue|Av\.|Boulevard|Bd|Allée|Place|Platz|Strasse|Str\.|Via|Viale|Corso|Piazza)(?:\s+(?:de\s+la|du|de|des|dell[ao']?|della|degli|dei))?\s+[A-ZÀ-ÖØ-Ýa-zà-öø-ÿ][A-ZÀ-ÖØ-Ýa-zà-öø-ÿ\s\-']{1,30}\s+\d{1,4}[A-Za-z]?\b", fold=True),
-    Pattern("ORG", "company", r"\b[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-Ýà-öø-ÿ\s&\-']{2,}\s+(?:SA|GmbH|AG|Sàrl|SARL|Ltd|Inc|Corp|SAS|EURL)\b"),
+    Pattern("ORG", "company", r"\b[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-Ýà-öø-ÿ\s&\-']{2,}\s+(?:SA|GmbH|AG|Sàrl|SARL|Ltd|Inc|Corp|SAS|EURL)\b", any_of=("SA", "GmbH", "AG", "Sàrl", "SARL", "Ltd", "Inc", "Corp", "SAS", "EURL")),
     Pattern("ID_NUMBER", "id_number", r"\b\d{2,3}'?\d{3}'?\d{3}\b"),
     Pattern("PERSON_NAME", "person_tel", r"([A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]+(?:\s+[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]+){1,3}),?\s*(?:[Tt][ée]l\.?|[Tt]éléphone)", group=True),
     Pattern("PERSON_NAME", "person_ref", r"(?:[Rr][ée]f[ée]rence|[Cc]ontact)\s+([A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]+(?:\s+[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]+){1,3})", group=True),
@@ -107,12 +110,12 @@ def is_person_name_sql(text: str) -> str:
 ENTITY = "array<struct<start:int,end:int,text:string,type:string,pattern:string,rank:int>>"
 
 
-def extract(docs: DataFrame, patterns: tuple[Pattern, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, type, pattern, rank, start, end, text) of all patterns' spans of LEAST_LENGTH or more; one pass over the texts, without a shuffle."""
-    found = [_named(spans(F.col(text_col), p.regex, p.fold, p.group), p, i) for i, p in enumerate(patterns)]
+def extract(docs: DataFrame, patterns: tuple[Pattern, ...], id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LENGTH) -> DataFrame:
+    """(id_col, type, pattern, rank, start, end, text) of all patterns' spans of least characters or more; one pass over the texts, without a shuffle."""
+    found = [_named(spans(F.col(text_col), p.regex, p.fold, p.group, p.any_of), p, i) for i, p in enumerate(patterns)]
     # outer, since the planner would filter by the size of an inner generator's array, and so scan every text twice
     rows = docs.select(id_col, F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("e")).where("e is not null").select(id_col, "e.type", "e.pattern", "e.rank", "e.start", "e.end", "e.text")
-    return rows.where(F.length("text") >= LEAST_LENGTH)
+    return rows.where(F.length("text") >= least)
 
 
 def _named(found: Column, p: Pattern, rank: int) -> Column:

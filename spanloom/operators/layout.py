@@ -53,3 +53,38 @@ def detect_tables(items: DataFrame, tolerance: float = 5.0, least: int = 2) -> D
     full = F.col("cells") / (F.col("rows") * F.col("columns"))
     sure = 0.65 + F.when(F.col("rows") >= 3, 0.08).otherwise(0.0) + F.when(F.col("columns") >= 3, 0.08).otherwise(0.0) + F.when(full > 0.8, 0.1).otherwise(0.0) + F.when(F.col("numeric") > 0.3, 0.05).otherwise(0.0)
     return found.select("page_id", "rows", "columns", "cells", F.round(F.least(F.lit(1.0), sure), 4).alias("confidence"))
+
+
+# What a letter's page holds.
+DATED, REFERRED = r"(?i)\b(?:Date|Datum)\b|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}", r"(?i)\b(?:référence|Referenz|reference|Réf|Ref|Notre\s+référence)\b"
+SALUTED = r"(?i)\b(?:Mesdames|Messieurs|Madame|Monsieur|Sehr geehrte|Dear)\b"
+LEAST_ITEMS, LEAST_WIDTH, QUARTER, EDGE, LEAST_COLUMN = 20, 200.0, 0.25, 10.0, 5
+
+
+def page_layouts(items: DataFrame) -> DataFrame:
+    """(page_id, letter, columns, split) of pages of items (page_id, item_id, str, x). A letter has LEAST_ITEMS items, a page wider than LEAST_WIDTH, between a tenth and 35 % of its items in the
+    left quarter, a date or reference, and a salutation. Two columns part 20 before the edge, by tens, at which most items begin, over 50 from the left; each has LEAST_COLUMN
+    items or more. Pages are aggregates; nothing of a page is gathered but counts by edge."""
+    from spanloom.functions.regex import spark_regex
+
+    has = lambda p: F.max(F.col("str").rlike(spark_regex(p.replace("(?i)", ""), fold=True)))
+    page = items.groupBy("page_id").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), has(DATED).alias("dated"), has(REFERRED).alias("referred"), has(SALUTED).alias("saluted"))
+    wide = F.col("high") - F.col("low") >= LEAST_WIDTH
+    edges = items.join(page.where(wide).select("page_id", "low"), "page_id").withColumn("edge", F.floor(F.col("x") / EDGE + 0.5) * EDGE)
+    edges = edges.where(F.col("edge") > F.col("low") + 50).groupBy("page_id", "edge").agg(F.count("*").alias("m"), F.min("item_id").alias("first"))
+    main = edges.groupBy("page_id").agg(F.max_by("edge", F.struct("m", -F.col("first"))).alias("edge"))
+    rows = page.join(main, "page_id", "left").withColumn("split", F.when(wide, F.coalesce(F.col("edge"), F.col("low")) - 20))
+    left = items.join(rows.select("page_id", "low", "high", "split"), "page_id").groupBy("page_id").agg(F.count(F.when(F.col("x") < F.col("low") + (F.col("high") - F.col("low")) * QUARTER, 1)).alias("quarter"), F.count(F.when(F.col("x") < F.col("split"), 1)).alias("side"))
+    rows = rows.join(left, "page_id")
+    share = F.col("quarter") / F.col("n")
+    letter = (F.col("n") >= LEAST_ITEMS) & wide & (share > 0.1) & (share < 0.35) & (F.col("dated") | F.col("referred")) & F.col("saluted")
+    two = wide & (F.col("side") >= LEAST_COLUMN) & (F.col("n") - F.col("side") >= LEAST_COLUMN)
+    return rows.select("page_id", letter.alias("letter"), F.when(two, 2).otherwise(1).alias("columns"), F.when(two, F.col("split")).alias("split"))
+
+
+def raw_text(items: DataFrame) -> DataFrame:
+    """(page_id, text): items in their order, with a line's end where the height changes and a space elsewhere."""
+    w = Window.partitionBy("page_id").orderBy("item_id")
+    before = F.lag("y").over(w)
+    rows = items.withColumn("piece", F.concat(F.when(before.isNull(), "").when(before != F.col("y"), "\n").otherwise(" "), F.col("str")))
+    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "piece"))), lambda s: s["piece"]), "").alias("text"))

@@ -1,15 +1,15 @@
-"""Rules for kinds of documents, recognisers with their registry, and scoring by context words."""
+"""Rules for kinds of documents, recognisers with their registry, and the deny list."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.regex import spark_regex
-from spanloom.functions.text import lemma
+from spanloom.functions.regex import spark_regex, sql_regex
 from spanloom.operators.extract import Pattern, extract
 
 _NAME = r"([A-Z][a-zA-ZÀ-ÿ'-]+(?:[ ]+[A-Z][a-zA-ZÀ-ÿ'-]+)*)"
@@ -61,6 +61,10 @@ def amount_of(text: Column) -> Column:
     return F.struct(kind.alias("currency"), value.alias("value"))
 
 
+#: What weakness leaves of a score.
+WEAK = 0.4
+
+
 @dataclass(frozen=True)
 class Recognizer:
     """Patterns with scores; where it applies; what it must not find; and a validator of its finds."""
@@ -72,8 +76,10 @@ class Recognizer:
     priority: int = 0
     specificity: int = 0
     deny: tuple[str, ...] = ()
+    deny_patterns: tuple[str, ...] = ()
     validator: Callable[[Column], Column] | None = None
     weak: bool = False
+    global_deny: bool = False
 
 
 @dataclass
@@ -89,15 +95,18 @@ class Registry:
         return True
 
     def load(self, config: list[dict]) -> list[str]:
-        """Recognisers of a configuration: entries with name, type, regex and score; the names of those that aren't well formed are given back."""
-        import re
-
+        """Recognisers of a configuration: entries with name, type, regex and a score from 0 to 1; the names of those that aren't well formed are given back, and the
+        others are registered all the same."""
         bad = []
         for entry in config:
             try:
                 re.compile(entry["regex"])
-                p = Pattern(entry["type"], entry["name"], entry["regex"], bool(entry.get("fold", False)))
-                self.register(Recognizer(entry["name"], ((p, float(entry["score"])),), tuple(entry.get("countries", ())), tuple(entry.get("languages", ())), int(entry.get("priority", 0)), int(entry.get("specificity", 0)), tuple(entry.get("deny", ()))))
+                score = float(entry["score"])
+                if not (0 <= score <= 1 and str(entry["name"]) and str(entry["type"])):
+                    raise ValueError(entry)
+                p = Pattern(entry["type"], entry["name"], entry["regex"])
+                listed = {k: tuple(entry.get(k, ())) for k in ("countries", "languages", "deny", "deny_patterns")}
+                self.register(Recognizer(entry["name"], ((p, score),), priority=int(entry.get("priority", 0)), specificity=int(entry.get("specificity", 0)), weak=bool(entry.get("weak", False)), **listed))
             except (KeyError, TypeError, ValueError, re.error):
                 bad.append(str(entry.get("name", "")))
         return bad
@@ -107,59 +116,25 @@ class Registry:
         fits = [r for r in self.known.values() if (not countries or not r.countries or set(countries) & set(r.countries)) and (not language or not r.languages or language in r.languages)]
         return sorted(fits, key=lambda r: (-r.priority, -r.specificity, r.name))
 
-    def analyze(self, docs: DataFrame, countries: tuple[str, ...] = (), language: str | None = None, least: float = 0.0) -> DataFrame:
-        """All applying recognisers' finds with score: a validator's failure sets it to 0.4 of itself, as does weakness; denied texts are dropped."""
-        out = None
-        for rank, r in enumerate(self.chosen(countries, language)):
-            for p, score in r.patterns:
-                found = extract(docs, (p,)).withColumn("recognizer", F.lit(r.name)).withColumn("rank", F.lit(rank))
-                if r.deny:
-                    found = found.where(~F.lower("text").isin(*[d.lower() for d in r.deny]))
-                value = F.lit(score * (0.4 if r.weak else 1.0))
-                if r.validator is not None:
-                    value = F.when(r.validator(F.col("text"))["valid"], value).otherwise(value * 0.4)
-                found = found.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4)).where(F.col("score") >= least)
-                out = found if out is None else out.unionByName(found)
-        return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, type string, pattern string, rank int, start int, end int, text string, recognizer string, score double")
-
-
-# Words that speak for a type, or (with a negative weight) against it; a parameter of the enhancer.
-CONTEXT_WORDS = {
-    "EMAIL": {"email": 1.0, "e-mail": 1.0, "mail": 0.8, "contact": 0.7, "example": -0.8},
-    "IBAN": {"iban": 1.0, "account": 0.9, "bank": 0.8, "konto": 0.9},
-    "SWISS_AVS": {"avs": 1.0, "ahv": 1.0, "numéro avs": 1.0},
-    "PERSON_NAME": {"name": 0.9, "contact": 0.8, "mr": 1.0, "gmbh": -1.0, "group": -0.9},
-}
-WINDOWS = {"PERSON_NAME": 150, "IBAN": 40, "EMAIL": 50, "SWISS_AVS": 60}
-WINDOW, BEFORE, AFTER, FACTOR, FLOOR = 100, 1.2, 0.8, 0.35, 0.4
-
-
-def enhance(found: DataFrame, words: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """found (with full, the whole text, and confidence) with enhanced: words of the type in the windows before and after the span, as
-    such or by their English lemma, raise or lower the confidence, those before more than those after; a raise ends at FLOOR at least."""
-    words = CONTEXT_WORDS if words is None else words
-    window = F.coalesce(F.create_map(*[F.lit(x) for kv in WINDOWS.items() for x in kv])[F.col("type")], F.lit(WINDOW))
-    before = F.lower(F.substring(F.col("full"), F.greatest(F.lit(1), F.col("start") - window + 1), F.least(window, F.col("start"))))
-    after = F.lower(F.substring(F.col("full"), F.col("end") + 1, window))
-    lemmas = lambda c: F.transform(F.regexp_extract_all(c, F.lit("[a-zà-ÿ]+"), F.lit(0)), lambda w: lemma(w))
-    rows = found.withColumns({"__b": before, "__a": after, "__lb": lemmas(before), "__la": lemmas(after)})
-    table = [F.struct(F.lit(k).alias("type"), F.lit(w).alias("word"), F.lit(float(v)).alias("weight")) for k, ws in words.items() for w, v in ws.items()]
-
-    def part(sign: int) -> Column:
-        def step(acc: Column, w: Column) -> Column:
-            stem = lemma(w["word"])
-            pre = F.contains(F.col("__b"), w["word"]) | F.array_contains(F.col("__lb"), stem)
-            post = F.contains(F.col("__a"), w["word"]) | F.array_contains(F.col("__la"), stem)
-            worth = F.least(F.abs(w["weight"]) * (F.when(pre, BEFORE).otherwise(0.0) + F.when(post, AFTER).otherwise(0.0)), F.abs(w["weight"]) * 2)
-            mine = (w["type"] == F.col("type")) & (F.signum(w["weight"]) == sign)
-            return acc + F.when(mine, worth).otherwise(0.0)
-
-        return F.least(F.lit(FACTOR), F.aggregate(F.array(*table), F.lit(0.0), step) / BEFORE * FACTOR)
-
-    rows = rows.withColumns({"__up": part(1), "__down": part(-1)})
-    moved = F.col("confidence") + F.col("__up") - F.col("__down")
-    moved = F.when(F.col("__up") > F.col("__down"), F.greatest(moved, F.lit(FLOOR))).otherwise(moved)
-    return rows.withColumn("enhanced", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)), 6)).drop("__b", "__a", "__lb", "__la", "__up", "__down")
+    def analyze(self, docs: DataFrame, countries: tuple[str, ...] = (), language: str | None = None, least: float = 0.0, types: tuple[str, ...] = (), low_types: tuple[str, ...] = ()) -> DataFrame:
+        """All applying recognisers' finds with score, from one scan of the texts; patterns match in either case. What a recogniser or the global deny list denies is
+        dropped, as is what its validator refuses. Weak recognisers' scores, and those of low_types, are multiplied by WEAK. types: only these."""
+        order = [(r, p, score) for r in self.chosen(countries, language) for p, score in r.patterns if not types or p.type in types]
+        ranks = {r.name: i for i, r in enumerate(self.chosen(countries, language))}
+        if not order:
+            return docs.sparkSession.createDataFrame([], "doc_id long, type string, pattern string, rank int, start int, end int, text string, recognizer string, score double")
+        found = extract(docs, tuple(replace(p, fold=True) for _, p, _ in order), least=1)
+        keep = F.lit(True)
+        for i, (r, _, _) in enumerate(order):
+            own = (is_denied(F.col("type"), F.col("text"), tuple(d.lower() for d in r.deny), {}) if r.deny else F.lit(False)) | (is_denied(F.col("type"), F.col("text")) if r.global_deny else F.lit(False))
+            for p in r.deny_patterns:
+                own = own | F.col("text").rlike(spark_regex(p))
+            valid = F.coalesce(r.validator(F.col("text"))["valid"], F.lit(False)) if r.validator is not None else F.lit(True)
+            keep = keep & F.when(F.col("rank") == i, ~own & valid).otherwise(F.lit(True))
+        pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("rank") + 1)
+        scores = [max(0.0, min(1.0, x * (WEAK if r.weak else 1.0) * (WEAK if p.type in low_types else 1.0))) for r, p, x in order]
+        rows = found.where(keep).withColumns({"recognizer": pick([r.name for r, _, _ in order]), "score": F.round(pick(scores), 4), "rank": pick([ranks[r.name] for r, _, _ in order])})
+        return rows.where(F.col("score") >= least)
 
 
 # Words that are denied for all types, and patterns for some.
@@ -168,7 +143,27 @@ DENIED = (
     "beschreibung", "betrag", "menge", "preis", "summe", "mwst", "zwischensumme", "rabatt", "referenz", "nummer", "rechnung", "kunde", "lieferant", "bezeichnung", "einheit", "netto", "brutto", "amount", "quantity", "price",
     "subtotal", "tax", "discount", "reference", "number", "invoice", "customer", "supplier", "unit", "net", "gross", "date", "datum",
 )
-DENIED_PATTERNS = {"PERSON_NAME": [r"^[A-Z]{2,4}$", r"^\d+$", r"(?i)^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)$", r"(?i)^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)$"]}
+DENIED_PATTERNS = {
+    "PERSON_NAME": [
+        r"^[A-Z]{2,4}$", r"^\d+$", r"(?i)^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)$", r"(?i)^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)$", r"(?i)^(?:Janv|Févr|Mars|Avr|Mai|Juin|Juil|Août|Sept|Oct|Nov|Déc)$",
+        r"(?i)^(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez)$",
+    ],
+}
+
+
+def is_denied(type_: Column, text: Column, words: tuple[str, ...] = DENIED, patterns: dict[str, list[str]] | None = None) -> Column:
+    """Whether the deny list has the text, in lower case and without outer space, or a pattern of the type fits it."""
+    out = F.lower(F.btrim(text)).isin(*words) if words else F.lit(False)
+    for kind, listed in (DENIED_PATTERNS if patterns is None else patterns).items():
+        for p in listed:
+            out = out | ((type_ == kind) & text.rlike(spark_regex(p.replace("(?i)", ""), fold="(?i)" in p)))
+    return out
+
+
+def is_denied_sql(type_: str, text: str, words: tuple[str, ...] = DENIED, patterns: dict[str, list[str]] | None = None) -> str:
+    listed = ", ".join("'" + w.replace("'", "''") + "'" for w in words) or "''"
+    parts = [f"({type_} = '{kind}' and regexp_matches({text}, {sql_regex(p.replace('(?i)', ''), fold='(?i)' in p)}))" for kind, ps in (DENIED_PATTERNS if patterns is None else patterns).items() for p in ps]
+    return f"(lower(trim({text})) in ({listed}) or {' or '.join(parts) or 'false'})"
 
 
 def not_denied(found: DataFrame, words: tuple[str, ...] = DENIED, patterns: dict[str, list[str]] | None = None) -> DataFrame:
@@ -176,25 +171,24 @@ def not_denied(found: DataFrame, words: tuple[str, ...] = DENIED, patterns: dict
     spark = found.sparkSession
     denied = spark.createDataFrame([(w,) for w in words], "__denied string")
     rows = found.join(F.broadcast(denied), F.lower(F.btrim("text")) == F.col("__denied"), "left_anti")
-    for kind, listed in (DENIED_PATTERNS if patterns is None else patterns).items():
-        for p in listed:
-            rows = rows.where(~((F.col("type") == kind) & F.col("text").rlike(spark_regex(p))))
-    return rows
+    return rows.where(~is_denied(F.col("type"), F.col("text"), (), patterns))
 
 
 def expand_occurrences(marked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every exact occurrence of the marked texts (doc_id, type, text) in their documents, steps overlapping included, that isn't marked: (doc_id, type, text, start, end)."""
-    rows = marked.select("doc_id", "type", "text").distinct().join(docs.select("doc_id", F.col("text").alias("full")), "doc_id")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("full") - F.length("text") + 1)), lambda i: F.substring(F.col("full"), i, F.length("text")) == F.col("text"))
-    found = rows.where(F.length("text") > 0).select("doc_id", "type", "text", F.explode(at).alias("i")).select("doc_id", "type", "text", (F.col("i") - 1).alias("start"), (F.col("i") - 1 + F.length("text")).alias("end"))
+    """Every exact occurrence of the marked texts (doc_id, type, text) in their documents, steps overlapping included, that isn't marked: (doc_id, type, text, start, end).
+    One search over the text finds each place by a look-ahead, so overlapping ones too."""
+    rows = marked.select("doc_id", "type", "text").where(F.length("text") > 0).distinct().join(docs.select("doc_id", F.col("text").alias("full")), "doc_id")
+    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("text"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    gaps = F.regexp_extract_all("full", F.concat(F.lit(r"\G((?s:.*?))(?="), quoted, F.lit(r")(?s:.)")), F.lit(1))
+    # each gap ends before a place, and the search goes on one character after it
+    places = F.aggregate(gaps, F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, g: F.struct((a["at"] + F.length(g) + 1).alias("at"), F.array_append(a["out"], a["at"] + F.length(g) + 1).alias("out")), lambda a: a["out"])
+    found = rows.where(F.contains("full", "text")).select("doc_id", "type", "text", F.explode(places).alias("start")).select("doc_id", "type", "text", "start", (F.col("start") + F.length("text")).alias("end"))
     return found.join(marked.select("doc_id", "start", "end").distinct(), ["doc_id", "start", "end"], "left_anti").select("doc_id", "type", "text", "start", "end")
 
 
 def fuzzy_replace(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     """docs with replaced: every entry of the document's mapping (doc_id, original, token), found with up to two other signs between its letters, gives way to
     its token, longer originals first. Each document has patterns of its own, so its text is rewritten in Python."""
-    import re
-
     import pandas as pd
 
     def run(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from spanloom.functions.regex import spark_regex
 
 MOST_GAP = 5
+#: Least score of a model's prediction.
+LEAST_SCORE = 0.3
 # Abbreviations after which no sentence ends.
 ABBREVIATIONS = ["dr", "mr", "mrs", "ms", "prof", "etc", "vs", "nr", "no", "str", "st", "av", "ch", "bzw", "inc"]
 
@@ -67,23 +70,94 @@ def chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, look: int = 20
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, chunk int, start int, end int, text string")
 
 
-def predictions(pieces: DataFrame, model: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int, float]]]]], id_col: str = "doc_id") -> DataFrame:
-    """(id_col, type, start, end, score) of a model over chunks: model() is called once for each worker's task and gives a function from texts to predictions.
-    A chunk that fails twice has none."""
+# Abbreviations after which the chunker's sentences go on, in either case; a full stop stands for itself.
+SHORTENED = r"(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|e\.g|i\.e|Inc|Ltd|Corp|Co)\.$"
+CAPITALS = "A-ZÄÖÜÀÂÇÉÈÊËÎÏÔÛÙŸŒÆ"
+MOST_TOKENS, OVERLAP_TOKENS = 512, 50
+
+
+def sentence_bounds(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the chunker's sentences; the space after one belongs to neither, but none stands alone."""
+    out, start = [], 0
+    for m in _SENTENCE_END.finditer(text):
+        if m.start() < start:
+            continue
+        end = m.start() + 1
+        if not _SHORTENED.search(text, max(start, end - 6), end):
+            out.append((start, end))
+            start = end
+            while start < len(text) and text[start].isspace():
+                start += 1
+    if text[start:].strip():
+        out.append((start, len(text)))
+    return out
+
+
+_SENTENCE_END = re.compile(rf"[.!?](?=\Z|\n|\s[{CAPITALS}])")
+_SHORTENED = re.compile(SHORTENED, re.I)
+
+
+def estimated_tokens(text: str) -> int:
+    """A quarter of the characters, or the words if they are more."""
+    return max(-(-len(text) // 4), len(text.split()))
+
+
+def token_chunks(text: str, most: int = MOST_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[int, int]]:
+    """(start, end) of chunks of whole sentences, of at most so many estimated tokens unless one sentence has more; each begins with the sentences that end the one before
+    and have overlap tokens together, or the first few more. A text that fits is one chunk; an empty one has none."""
+    if not text:
+        return []
+    found = sentence_bounds(text) if estimated_tokens(text) > most else []
+    if not found:
+        return [(0, len(text))]
+    sizes = [estimated_tokens(text[a:b]) for a, b in found]
+    # a sentence reaches to the next one
+    ends = [*(b for b, _ in found[1:]), found[-1][1]]
+    out, first, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if held + size > most and i > first:
+            out.append((found[first][0], ends[i - 1]))
+            back, held = i, 0
+            while back > first and held < overlap:
+                back -= 1
+                held += sizes[back]
+            first = back
+        held += size
+    out.append((found[first][0], ends[-1]))
+    return out
+
+
+def sentence_chunks(docs: DataFrame, most: int = MOST_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, chunk, start, end, text): token_chunks of each text. Where one chunk ends depends on where it began, so a text is walked in Python, by itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(doc, i, a, b, text[a:b]) for doc, text in zip(pdf[id_col], pdf[text_col].fillna(""), strict=True) for i, (a, b) in enumerate(token_chunks(text, most, overlap))]
+            yield pd.DataFrame(out, columns=[id_col, "chunk", "start", "end", "text"])
+
+    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, chunk int, start int, end int, text string")
+
+
+def predictions(pieces: DataFrame, model: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int, float]]]]], id_col: str = "doc_id", least: float = LEAST_SCORE, types: dict[str, str] | None = None) -> DataFrame:
+    """(id_col, type, start, end, score) of a model over chunks: model() is called once for each worker's task and gives a function from texts to predictions. Those under
+    least are dropped; types renames the model's. Where a batch fails, its texts are tried one by one, and RuntimeError names what still fails: a result is whole or none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model()
         for pdf in batches:
             out = []
             texts = pdf["text"].tolist()
-            for _ in range(2):
-                try:
-                    found = predict(texts)
-                    break
-                except Exception:
-                    found = [[] for _ in texts]
+            try:
+                found = predict(texts)
+            except Exception:
+                found = []
+                for doc, text in zip(pdf[id_col], texts, strict=True):
+                    try:
+                        found += predict([text])
+                    except Exception as why:
+                        raise RuntimeError(f"the model fails on a chunk of {doc}: {why}") from why
             for doc, base, hits in zip(pdf[id_col], pdf["start"], found, strict=True):
-                out += [(doc, kind, int(base) + a, int(base) + b, float(s)) for kind, a, b, s in hits]
+                out += [(doc, (types or {}).get(kind, kind), int(base) + a, int(base) + b, float(s)) for kind, a, b, s in hits if s >= least]
             yield pd.DataFrame(out, columns=[id_col, "type", "start", "end", "score"])
 
     return pieces.select(id_col, "start", "text").mapInPandas(run, f"{id_col} long, type string, start int, end int, score double")

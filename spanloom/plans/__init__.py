@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import analytics, detection, entities, more, texts
+from spanloom.plans import added, analytics, detection, entities, more, texts
 
 
 def all_queries() -> dict:
     """name: (query, SQL that gives the same rows, or None)."""
-    return detection.QUERIES | entities.QUERIES | analytics.QUERIES | texts.QUERIES | more.QUERIES
+    return detection.QUERIES | entities.QUERIES | analytics.QUERIES | texts.QUERIES | more.QUERIES | added.QUERIES

@@ -19,10 +19,6 @@ def _scan(patterns: tuple[x.Pattern, ...]) -> Query:
     return lambda spark, d: x.extract(texts(spark, d), patterns)
 
 
-def _scan_documents(patterns: tuple[x.Pattern, ...]) -> Query:
-    return lambda spark, d: x.extract(table(spark, d, "documents"), patterns)
-
-
 def _validated(column: str, validator: Callable[[Column], Column]) -> Query:
     return lambda spark, d: ids(spark, d).select("doc_id", F.col(column).alias("text"), validator(F.col(column)).alias("r")).select("doc_id", "text", "r.valid", "r.confidence")
 
@@ -108,11 +104,9 @@ def validated(found: DataFrame) -> DataFrame:
 
 _FOUND_SQL = x.extract_sql("t", x.HIGH_RECALL)
 _names = lambda source: x.extract_sql(source, x.HIGH_RECALL[-1:])
-_SOME = tuple(p for p in x.HIGH_RECALL if p.name in ("email", "phone", "date", "person", "organization", "address_de"))
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "x1_high_recall": (_scan(x.HIGH_RECALL), f"with t as {TEXTS_SQL} select * from {_FOUND_SQL}"),
-    "x1_documents": (_scan_documents(_SOME), f"select * from {x.extract_sql('documents', _SOME)}"),
     "x2_person_names": (x2_person_names, f"with t as {TEXTS_SQL} select doc_id, start, text, {x.is_person_name_sql('text')} as is_name from (select * from {_names('t')} union all select * from {_names('documents')})"),
     "x3_detector": (_scan(x.DETECTOR), f"with t as {TEXTS_SQL} select * from {x.extract_sql('t', x.DETECTOR)}"),
     "v1_swiss_avs": (_validated("avs", v.swiss_avs), _AVS_SQL),

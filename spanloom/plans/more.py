@@ -48,25 +48,6 @@ n as (select *, case when contains(r, '''') then replace(replace(r, '''', ''), '
 select doc_id, case when regexp_matches(lower(text), 'chf|sfr') then 'CHF' when regexp_matches(lower(text), 'eur|€') then 'EUR' when regexp_matches(lower(text), 'usd|\\$') then 'USD' when regexp_matches(lower(text), 'gbp|£') then 'GBP' else 'UNKNOWN' end as currency,
   try_cast(regexp_extract(trim(z), '^(\\d+(?:\\.\\d+)?|\\.\\d+)', 1) as double) as value from n"""
 
-AVS = rules.Recognizer("swiss_avs", ((Pattern("SWISS_AVS", "dots", r"\b756\.\d{4}\.\d{4}\.\d{2}\b"), 0.7), (Pattern("SWISS_AVS", "plain", r"\b756\d{10}\b"), 0.6)), ("CH",), (), 10, 5, (), v.swiss_avs)
-MAIL = rules.Recognizer("email", ((Pattern("EMAIL", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"), 0.8),), (), (), 5, 1, ("x@mail1.ch",), v.email)
-
-
-def x10_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Two recognisers and one of a configuration over the texts."""
-    r = rules.Registry()
-    r.register(AVS)
-    r.register(MAIL)
-    r.load([{"name": "plate", "type": "LICENSE_PLATE", "regex": r"\bTI\s?\d{1,6}\b", "score": 0.9, "countries": ["CH"]}, {"name": "bad", "regex": "("}])
-    return r.analyze(texts(spark, d), ("CH",)).select("doc_id", "recognizer", "start", "text", "score")
-
-
-def c9_enhanced(spark: SparkSession, d: str) -> DataFrame:
-    t = texts(spark, d)
-    found = extract(t, HIGH_RECALL).join(t.select("doc_id", F.col("text").alias("full")), "doc_id").withColumn("confidence", F.lit(0.5))
-    return rules.enhance(found).select("doc_id", "pattern", "start", "enhanced")
-
-
 def v13_deny_list(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").unionByName(texts(spark, d), allowMissingColumns=True).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zäöüé]{2,}"), F.lit(0))).alias("text")).distinct()
     return rules.not_denied(words.withColumn("type", F.lit("PERSON_NAME"))).select("text")
@@ -176,7 +157,7 @@ def p14_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p26_markdown(spark: SparkSession, d: str) -> DataFrame:
-    c = F.substring("text", 1, 60)
+    c = F.col("text")
     return table(spark, d, "documents").select("doc_id", repair.heading(c, (F.col("doc_id") % 9).cast("int")).alias("heading"), repair.quoted(c).alias("quote"), repair.looks_like_code(F.concat(F.when(F.col("doc_id") % 2 == 0, "let a = 1").otherwise(""), c)).alias("code"), repair.ending(F.concat(F.lit("A."), F.col("lang"), F.when(F.col("doc_id") % 3 == 0, ".MD").otherwise(""))).alias("ending"))
 
 
@@ -262,9 +243,8 @@ QUERIES = {
     "j11_matching": (j11_matching, None),
     "k4_statistics": (k4_statistics, f"with {E}, c as (select * from e where confidence >= 0.6) select '- **Total entities detected**: ' || count(*) as line from e union all select '- **Entities anonymized**: ' || count(*) from c union all select '- **Entities skipped**: ' || count(*) filter (confidence < 0.6) from e union all select '- **' || type || '**: ' || count(*) from c group by type union all select '- **' || source || '**: ' || count(*) from c group by source"),
     "p14_repair": (p14_repair, f"with {T} select doc_id, {repair.split_merged_sql(_MERGED_IN)} as text from t"),
-    "p26_markdown": (p26_markdown, f"with c as (select *, left(text, 60) as s from documents) select doc_id, repeat('#', greatest(1, least(6, doc_id % 9))::int) || ' ' || s || chr(10) || chr(10) as heading, array_to_string(list_transform(string_split(s, chr(10)), lambda x: '> ' || x), chr(10)) || chr(10) || chr(10) as quote, {repair.looks_like_code_sql("(case when doc_id % 2 = 0 then 'let a = 1' else '' end || s)")} as code, case when doc_id % 3 = 0 then '.md' else '.' || lang end as ending from c"),
+    "p26_markdown": (p26_markdown, f"with c as (select *, text as s from documents) select doc_id, repeat('#', greatest(1, least(6, doc_id % 9))::int) || ' ' || s || chr(10) || chr(10) as heading, array_to_string(list_transform(string_split(s, chr(10)), lambda x: '> ' || x), chr(10)) || chr(10) || chr(10) as quote, {repair.looks_like_code_sql("(case when doc_id % 2 = 0 then 'let a = 1' else '' end || s)")} as code, case when doc_id % 3 = 0 then '.md' else '.' || lang end as ending from c"),
     "a17_batch": (a17_batch, f"with f as {in_sql(FILES)} select count(*) as total, " + ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("pending", "processing", "completed", "failed", "cancelled")) + ", round(100 * count(*) filter (status in ('completed', 'failed', 'cancelled')) / count(*), 2) as percent from f"),
-    "c9_enhanced": (c9_enhanced, None),
     "j13_detectors": (j13_detectors, _J13),
     "k3_mapping_table": (k3_mapping_table, f"with {E} select '| ' || text || ' | ' || type || ' | ' || count(*) || ' |' as line from e group by type, text"),
     "o15_fuzzy": (o15_fuzzy, None),
@@ -273,7 +253,7 @@ QUERIES = {
     "p27_warnings": (p27_warnings, "select doc_id, case doc_id % 4 when 0 then 'empty' when 1 then 'replacement characters' when 2 then 'control characters' else '' end as warnings from documents"),
     "t1_log_stream": (t1_log_stream, "select strftime(ts, '%Y-%m') as month, event_type, count(*) as n from events group by 1, 2"),
     "t4_retries": (t4_retries, f"with f as {in_sql(FILES)} select id, case when attempt between 1 and 3 and regexp_matches(message, '(?i)timeout|network') then (100 * power(2, attempt - 1))::int end as delay, greatest(10000, least(600000, 30000 + ceil(size / 1048576) * 10000))::int as timeout, case when size < 1024 then size || ' B' when size < 1048576 then format('{{:.1f}} KB', size / 1024) else format('{{:.1f}} MB', size / 1048576) end as size, case lower(left(locale, 2)) when 'de' then 'de' when 'fr' then 'fr' else 'en' end as language from f"),
-    "v13_deny_list": (v13_deny_list, f"with {T}, w as (select distinct unnest(regexp_extract_all(text, '[A-Za-zäöüé]{{2,}}')) as text from (select text from documents union all select text from t)) select text from w where lower(text) not in ({_DENIED}) and not regexp_matches(text, '^[A-Z]{{2,4}}$') and not regexp_matches(text, '(?i)^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|Mon|Tue|Wed|Thu|Fri|Sat|Sun)$')"),
+    "v13_deny_list": (v13_deny_list, f"with {T}, w as (select distinct unnest(regexp_extract_all(text, '[A-Za-zäöüé]{{2,}}')) as text from (select text from documents union all select text from t)) select text from w where not {rules.is_denied_sql("'PERSON_NAME'", 'text')}"),
     "v14_frontmatter": (v14_frontmatter, f"with {T}, m as (select doc_id, '---' || chr(10) || 'source: a@mail.example.com' || chr(10) || '---' || chr(10) || text as text from t) select doc_id, start, text from {extract_sql('m', HIGH_RECALL[2:3])} where start >= 35"),
     "v17_filters": (v17_filters, f"with {E} {_ENTITY}, type from e where type in ('EMAIL', 'PHONE') and confidence < 0.6 and confidence >= 0.2 and contains(lower(text), 'muster')"),
     "v19_overlap": (v19_overlap, f"with {E} {_ENTITY}, round(greatest(0, least(\"end\", 90) - greatest(start, 40)) / least(\"end\" - start, 50), 6)::double as ratio from e"),
@@ -282,7 +262,6 @@ QUERIES = {
     "x4_invoice": (x4_invoice, _rules_sql(rules.INVOICE)),
     "x5_amounts": (x5_amounts, _X5),
     "x6_letter": (x6_letter, _rules_sql(rules.LETTER)),
-    "x10_registry": (x10_registry, None),
     "x16_occurrences": (x16_occurrences, f"with {T}, p as (select doc_id, text as full_text, unnest(range(1, length(text)))::int as i from t) select doc_id, 'WORD' as type, 'an' as text, i - 1 as start, i + 1 as \"end\" from p where substr(full_text, i, 2) = 'an' and i <> instr(full_text, 'an')"),
     "x17_tables": (x17_tables, None),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as t
 from spanloom.functions.regex import sql_regex
-from spanloom.operators import address, classify, tokens
+from spanloom.operators import address, tokens
 from spanloom.operators.extract import extract_sql
 from spanloom.plans.inputs import IDS_SQL, TEXTS_SQL, derived, ids, in_sql, table, texts
 from spanloom.sources import markup
@@ -37,6 +37,12 @@ def p7_lemmas(spark: SparkSession, d: str) -> DataFrame:
     return words.select("word", "n", *[t.lemma(F.col("word"), lang).alias(lang) for lang in t.LEMMA_RULES])
 
 
+def p20_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of the ids' e-mail addresses, and of the documents' whole texts, of which long ones have none."""
+    rows = ids(spark, d).select("doc_id", F.col("email").alias("text")).unionByName(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", t.fuzzy_pattern(F.col("text")).alias("pattern"))
+
+
 def p8_cities(spark: SparkSession, d: str) -> DataFrame:
     return ids(spark, d).select("doc_id", t.city_key(F.substring("address", 5, 50)).alias("city"), t.postal_key(F.concat(F.lit("ch-"), F.substring("address", 1, 4))).alias("postal"))
 
@@ -54,10 +60,6 @@ def c16_language(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", t.language(F.col("text")).alias("language"))
 
 
-def c17_document_type(spark: SparkSession, d: str) -> DataFrame:
-    return classify.classify(texts(spark, d)).select("doc_id", "doc_type", "confidence", "second")
-
-
 def x7_address_components(spark: SparkSession, d: str) -> DataFrame:
     return address.components(texts(spark, d))
 
@@ -186,14 +188,12 @@ QUERIES = {
     "p8_cities": (p8_cities, f"select doc_id, replace(translate(trim(lower(substr(address, 5))), 'äàâéèêëîïìöôòüùûç', 'aaaeeeeiiiooouuuc'), 'ß', 'ss') as city, regexp_replace(left(address, 4), '\\s', '', 'g') as postal from {IDS_SQL}"),
     "p11_tokens": (_of_documents(tokens=t.token_estimate), f"select doc_id, greatest(ceil(length(text) / 4.0)::int, {_WORDS})::int as tokens from documents"),
     "p18_code_blocks": (p18_code_blocks, f"with {T} select doc_id, text || chr(10) || '<CODE>' || chr(10) || 'and <INLINE> end' as text from t"),
-    "p20_fuzzy": (_of_texts(pattern=lambda c: t.fuzzy_pattern(F.substring(c, 1, 40))), f"with {T}, k as (select doc_id, left(text, 40) as s, regexp_replace(left(text, 40), '[^\\w]', '', 'g') as c from t) select doc_id, case when length(c) between 3 and 30 then array_to_string(string_split(c, ''), '[^a-zA-Z0-9]{{0,2}}?') end as pattern from k"),
+    "p20_fuzzy": (p20_fuzzy, f"with k as (select doc_id, text, regexp_replace(text, '[^\\w]', '', 'g') as c from (select doc_id, email as text from {IDS_SQL} union all select doc_id, text from documents)) select doc_id, case when length(text) <= 50 and length(c) between 3 and 30 then array_to_string(string_split(c, ''), '[^a-zA-Z0-9]{{0,2}}?') end as pattern from k"),
     "p21_clean_log": (_of_texts(text=t.clean_log), f"with {T} select doc_id, {t.clean_log_sql('text')} as text from t"),
     "p23_counts": (p23_counts, f"select doc_id, (len(string_split(text, chr(10))) - case when ends_with(text, chr(10)) or text = '' then 1 else 0 end)::int as lines, {_WORDS}::int as words, length(text)::int as chars from documents"),
     "p25_preview": (p25_preview, f"select doc_id, case when length({_HEAD}) > 200 or length({_HEAD}) < length(text) then left({_HEAD}, 200) || chr(10) || '[...]' else {_HEAD} end as preview from documents"),
-    "p29_regex_risk": (_of_texts(risk=lambda c: F.round(t.regex_risk(F.concat(F.lit("(a+)+|b*?|[c]+"), F.substring(c, 1, 10))), 4)), None),
     "s7_strip_markdown": (_of_texts(text=lambda c: t.strip_markdown(F.concat(F.lit("# Head\n**bold** and _it_ `c` [l](u)\n- one\n1. two\n> q\n\n\n\n| a | b |\n|---|---|\n"), c))), f"with {T} select doc_id, {t.strip_markdown_sql(chr(39) + '# Head' + chr(39) + ' || chr(10) || ' + chr(39) + '**bold** and _it_ `c` [l](u)' + chr(39) + ' || chr(10) || ' + chr(39) + '- one' + chr(39) + ' || chr(10) || ' + chr(39) + '1. two' + chr(39) + ' || chr(10) || ' + chr(39) + '> q' + chr(39) + ' || chr(10) || chr(10) || chr(10) || chr(10) || ' + chr(39) + '| a | b |' + chr(39) + ' || chr(10) || ' + chr(39) + '|---|---|' + chr(39) + ' || chr(10) || text')} as text from t"),
     "c16_language": (c16_language, f"with {T} select doc_id, {t.language_sql('text')} as language from (select doc_id, text from documents union all select * from t)"),
-    "c17_document_type": (c17_document_type, f"with {T} {classify.classify_sql('t').replace('with s as', ', s as', 1)}"),
     "x7_address_components": (x7_address_components, _x7_sql()),
     "o7_addresses": (o7_addresses, None),
     "c13_address_confidence": (c13_address_confidence, _C13),

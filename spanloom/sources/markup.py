@@ -171,3 +171,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, format string, markdown string, error string")
+
+
+# Types of annotated fixtures and this library's; others keep theirs, in capitals and without outer space.
+ANNOTATED_TYPES = {
+    "PERSON": "PERSON_NAME", "PER": "PERSON_NAME", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE_NUMBER", "IBAN_CODE": "IBAN", "CREDIT_CARD": "CREDIT_CARD", "IP_ADDRESS": "IP_ADDRESS", "DATE_TIME": "DATE",
+    "LOCATION": "ADDRESS", "ORGANIZATION": "ORGANIZATION", "US_SSN": "SSN", "US_DRIVER_LICENSE": "DRIVER_LICENSE", "URL": "URL", "NRP": "NATIONALITY",
+}
+_SAMPLE = "full_text string, template_id string, spans array<struct<entity_type:string,entity_value:string,start_position:int,end_position:int>>"
+
+
+def annotated(lines: DataFrame, id_col: str, line_col: str) -> DataFrame:
+    """(id_col, full, type, start, end, text) of annotated samples, a JSON object in each line; samples without spans have no rows, nor have lines that are no JSON."""
+    rows = lines.select(id_col, F.from_json(line_col, _SAMPLE).alias("s")).select(id_col, F.col("s.full_text").alias("full"), F.explode("s.spans").alias("e"))
+    kind = F.upper(F.btrim("e.entity_type"))
+    known = F.create_map(*[F.lit(x) for kv in ANNOTATED_TYPES.items() for x in kv])
+    return rows.select(id_col, "full", F.coalesce(known[kind], kind).alias("type"), F.col("e.start_position").alias("start"), F.col("e.end_position").alias("end"), F.col("e.entity_value").alias("text"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import classify, extract, layout, matching, review, rules, tokens
+from spanloom.functions import validators
+from spanloom.operators import classify, context, extract, grid, layout, linking, matching, review, rules, tokens
 
 ENTITY = "doc_id long, entity_id int, start int, end int, type string, text string, confidence double, source string"
 
@@ -18,13 +21,13 @@ def test_matching_is_one_to_one(spark):
 
 
 def test_enhancer(spark):
-    full = "E-mail: ann@b.ch for you" + " " * 200 + "x@y.ch in an example"
-    rows = [(1, "EMAIL", 8, 16, "ann@b.ch", full, 0.3), (1, "EMAIL", 224, 230, "x@y.ch", full, 0.5), (1, "DATE", 0, 3, "E-m", full, 0.5)]
-    df = spark.createDataFrame(rows, "doc_id long, type string, start int, end int, text string, full string, confidence double")
-    out = [r.enhanced for r in rules.enhance(df).orderBy("type", "start").collect()]
+    full = "E-mail: ann@b.ch for you" + " " * 200 + "x@y.ch in test.com"
+    rows = [(1, "EMAIL", 8, 16, "ann@b.ch", full, "en", 0.3), (1, "EMAIL", 224, 230, "x@y.ch", full, "en", 0.5), (1, "EMAIL", 224, 230, "x@y.ch", full, "it", 0.5), (1, "ADDRESS", 0, 3, "E-m", full, "en", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, type string, start int, end int, text string, full string, lang string, confidence double")
+    out = [r.enhanced for r in context.enhance(df).orderBy("type", "start", "lang").collect()]
     up = min(0.35, (1.0 + 0.8) * 1.2 / 1.2 * 0.35)
     assert out[0] == 0.5 and out[1] == pytest.approx(max(0.4, 0.3 + up), abs=1e-6)
-    assert out[2] == pytest.approx(0.5 - 0.8 * 0.8 / 1.2 * 0.35, abs=1e-6)
+    assert out[2] == pytest.approx(0.5 - 0.9 * 0.8 / 1.2 * 0.35, abs=1e-6) and out[3] == 0.5
 
 
 def test_tables(spark):
@@ -47,6 +50,13 @@ def test_registry_scores(spark):
     r = rules.Registry()
     r.register(rules.Recognizer("mail", ((extract.HIGH_RECALL[2], 0.8),), deny=("X@mail1.ch",), weak=True))
     assert [(x.text, x.score) for x in r.analyze(docs).collect()] == [("y@b.ch", 0.32)]
+    refusing = rules.Registry()
+    refusing.register(rules.Recognizer("mail", ((extract.HIGH_RECALL[2], 0.8),), validator=lambda c: F.struct(c.startswith("y").alias("valid"))))
+    refusing.register(rules.Recognizer("upper", ((extract.Pattern("WORD", "x", "AND|OR"), 0.5),)))
+    assert sorted((x.text, x.score) for x in refusing.analyze(docs).collect()) == [("and", 0.5), ("or", 0.5), ("y@b.ch", 0.8)]
+    assert [x.text for x in refusing.analyze(docs, types=("EMAIL",)).collect()] == ["y@b.ch"]
+    assert refusing.load([{"name": "a", "type": "T", "regex": "(", "score": 0.1}, {"name": "b", "type": "T", "regex": "x", "score": 2}, {"name": "c", "type": "T", "regex": "756", "score": 1}]) == ["a", "b"]
+    assert refusing.analyze(docs, types=("T",)).count() == 1
     assert rules.Registry().analyze(docs).count() == 0
 
 
@@ -87,3 +97,107 @@ def test_empty_inputs(spark):
     assert extract.extract(none, extract.HIGH_RECALL).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert extract.extract(nulls, extract.DETECTOR).count() == 0
+
+
+def brute_chunks(text, most, overlap):
+    """Chunks of whole sentences by plain loops, sentence by sentence."""
+    def sentences():
+        out, now, i = [], "", 0
+        while i < len(text):
+            now += text[i]
+            if text[i] in ".!?":
+                after, then = text[i + 1 : i + 2], text[i + 2 : i + 3]
+                ends = i == len(text) - 1 or after == "\n" or (after.isspace() and then and then in "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÉÈÊËÎÏÔÛÙŸŒÆ")
+                if ends and not re.search(tokens.SHORTENED, now, re.I):
+                    out.append((i + 1 - len(now), i + 1))
+                    now = ""
+                    while text[i + 1 : i + 2].isspace():
+                        i += 1
+            i += 1
+        return [*out, (len(text) - len(now), len(text))] if now.strip() else out
+
+    count = lambda s: max(-(-len(s) // 4), len(s.split()))
+    if not text:
+        return []
+    found = sentences()
+    if count(text) <= most or not found:
+        return [(0, len(text))]
+    bounds = [(a, found[i + 1][0] if i + 1 < len(found) else b) for i, (a, b) in enumerate(found)]
+    out, held, size, first = [], [], 0, 0
+    for i, (a, b) in enumerate(found):
+        n = count(text[a:b])
+        if size + n > most and held:
+            out.append((bounds[first][0], bounds[first + len(held) - 1][1]))
+            again, total = [], 0
+            for s in reversed(held):
+                if total >= overlap:
+                    break
+                again.insert(0, s)
+                total += s
+            held, size, first = again, total, i - len(again)
+        held.append(n)
+        size += n
+    return [*out, (bounds[first][0], bounds[first + len(held) - 1][1])]
+
+
+def test_token_chunks_against_plain_loops(spark, smallest):
+    texts = [r.text for r in spark.read.parquet(f"{smallest}/documents.parquet").select("text").collect()]
+    texts += ["", " ", "no end", "One. Two. Three! Four? Dr. Five e.g. Six. seven\nEight.\nNine.  Ten.", "A. " * 400, "word " * 900 + ". Next one. Last"]
+    for most, overlap in ((512, 50), (8, 3), (1, 5), (3, 0)):
+        for text in texts:
+            assert tokens.token_chunks(text or "", most, overlap) == brute_chunks(text or "", most, overlap)
+    docs = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
+    assert [(r.doc_id, r.start, r.end) for r in tokens.sentence_chunks(docs).collect()] == [(2, 0, 3)]
+
+
+def test_predictions_are_whole_or_none(spark):
+    def model():
+        def predict(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("bad")
+            return [[("P", 0, 1, 0.9), ("P", 0, 1, 0.2)] for _ in texts]
+
+        return predict
+
+    def choosy():
+        def predict(texts):
+            if len(texts) > 1:
+                raise ValueError("one at a time")
+            return [[("P", 0, 1, 0.9)]]
+
+        return predict
+
+    rows = spark.createDataFrame([(1, 5, "ok"), (2, 0, "fine")], "doc_id long, start int, text string").coalesce(1)
+    assert sorted((r.doc_id, r.start, r.type) for r in tokens.predictions(rows, model, types={"P": "PER"}).collect()) == [(1, 5, "PER"), (2, 0, "PER")]
+    assert tokens.predictions(rows, choosy).count() == 2
+    with pytest.raises(Exception, match="the model fails on a chunk of 3"):
+        tokens.predictions(rows.union(spark.createDataFrame([(3, 0, "bad")], rows.schema)).coalesce(1), model).collect()
+
+
+def test_merged_tables(spark):
+    rows = [(1, 1, ["A ", "b"], ["r1"], 0.0, 0.0, 1.0, 1.0, 0.8), (1, 2, ["a", "B"], ["r2", "r3"], -1.0, 0.0, 3.0, 1.0, 0.6), (1, 3, ["a"], ["r4"], 0.0, 0.0, 1.0, 1.0, 0.9)]
+    out = grid.merge_tables(spark.createDataFrame(rows, "doc_id long, table_id int, header array<string>, rows array<string>, x double, y double, x2 double, y2 double, confidence double")).orderBy("table_id").collect()
+    assert [(r.table_id, r.header, r.rows, r.x, r.x2, r.confidence) for r in out] == [(1, ["A ", "b"], ["r1", "r2", "r3"], -1.0, 3.0, 0.7), (3, ["a"], ["r4"], 0.0, 1.0, 0.9)]
+
+
+def test_validator_registry_keeps_the_higher_priority():
+    r = validators.ValidatorRegistry()
+    assert r.register("A", validators.email, 1) and not r.register("A", validators.phone, 1) and r.register("A", validators.phone, 2)
+    assert r.get("A") is validators.phone and r.get("B") is None and "A" in r and len(r) == 1
+    r.freeze()
+    with pytest.raises(RuntimeError):
+        r.register("B", validators.email)
+
+
+def test_rule_configurations():
+    kinds = {k: {} for k in (*classify.RULE_SETS, "UNKNOWN")}
+    assert classify.rule_errors({"version": "1", "documentTypes": kinds}) == []
+    kinds["FORM"] = {"thresholds": {"autoAnonymize": 0.5, "flagForReview": 0.6, "minConfidence": 0.7}}
+    del kinds["LETTER"]
+    assert classify.rule_errors({"documentTypes": kinds}) == ["no version", "LETTER: missing", "FORM: autoAnonymize is less than flagForReview", "FORM: flagForReview is less than minConfidence"]
+
+
+def test_offsets_in_the_original(spark):
+    rows = spark.createDataFrame([(1, [(5, 10, 3), (20, 22, 8)])], "k int, e array<struct<start:long,end:long,length:long>>")
+    at = lambda n: rows.select(linking.original_offset(F.lit(n).cast("long"), F.col("e"))).first()[0]
+    assert [at(n) for n in (0, 4, 5, 7, 8, 17, 18, 25, 26, 30)] == [0, 4, 5, 5, 10, 19, 20, 20, 22, 26]

@@ -41,6 +41,9 @@ LEAST_FEATURES = 150
 BEGINNINGS = range(4, 13)
 #: A beginning tells if so many toxic documents of the sample have it, and so much more often (logarithm) than others.
 LEAST_BAD, LEAST_RATIO = 5, 1.5
+#: Least weights that are tried, ascending, the share of told good documents that may be found toxic with the one that is taken, and from which score on they count as that: less
+#: than rejects, for the sample is small.
+CUTS, MOST_WRONG, WRONG = (2.0, 2.5, 3.0, 3.5, 4.0), 0.0005, 0.8
 #: What a listed insult weighs at least, and the shares of telling words in toxic and other documents that stand in where the sample has none.
 LISTED_WEIGHT, USUAL_RATES = 7.0, (0.025, 0.001)
 
@@ -304,7 +307,8 @@ def _sums(raw: np.ndarray, offsets: np.ndarray, bad: np.ndarray) -> tuple[np.nda
 
 def fit_telling(told: DataFrame, share: float) -> Telling:
     """Which beginnings of words tell, and how much, from told: (text, p), documents and their chance to be toxic. Documents and words are counted
-    by beginning where the rows are; only the beginnings that tell come to the driver, and then two sums."""
+    by beginning where the rows are; only the beginnings that tell come to the driver, and then a few sums of each document. Of CUTS the lowest least weight is
+    taken with which at most MOST_WRONG of the told good documents are found toxic, or else the one with which fewest are."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,7 +324,7 @@ def fit_telling(told: DataFrame, share: float) -> Telling:
     whole = counts.where("h = 0").first() or dict.fromkeys(names, 0.0)
     ratio = F.log((F.col("bad") + 0.5) / (whole["bad"] + 1)) - F.log((F.col("good") + 0.5) / (whole["good"] + 1))
     weight = F.log((F.col("bad_words") + 0.5) / (whole["bad_words"] + 1)) - F.log((F.col("good_words") + 0.5) / (whole["good_words"] + 1))
-    tell = counts.where((F.col("h") != 0) & (F.col("bad") >= LEAST_BAD) & (ratio > LEAST_RATIO) & (weight > 0)).select("h", weight.alias("w")).collect()
+    tell = counts.where((F.col("h") != 0) & (F.col("bad") >= LEAST_BAD) & (ratio > LEAST_RATIO) & (weight >= CUTS[0])).select("h", weight.alias("w")).collect()
     h, w = _listed()
     h = np.concatenate([np.array([r["h"] for r in tell], np.int64).view(np.uint64), h])
     w = np.concatenate([np.array([r["w"] for r in tell], np.float64), w])
@@ -331,16 +335,26 @@ def fit_telling(told: DataFrame, share: float) -> Telling:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = tv.text_bytes(b.column(0))
-            p = b.column(1).to_numpy(zero_copy_only=False)
             for i, j in tv.chunks(offsets):
                 words = tv.words_of(_LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], _EDGES)
-                n = _per_text(found.word_weights(words) > 0, words.first)
-                yield pa.RecordBatch.from_arrays([pa.array([float(n @ p[i:j])]), pa.array([float(n @ (1 - p[i:j]))])], ["bad", "good"])
-
-    n = small_batches(told.select("text", "p")).mapInArrow(tv.trimmed(hits), "bad double, good double").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    toxic, other = ((n["bad"] or 0.0) / whole["bad_words"], (n["good"] or 0.0) / max(whole["good_words"], 1.0)) if whole["bad"] >= LEAST_BAD and whole["bad_words"] else USUAL_RATES
-    found.drift = max(toxic - other, 0.0)
-    return found
+                best = found.word_weights(words)
+                sums = [_per_text(x, words.first).astype(np.float64) for c in CUTS for x in (np.where(best >= c, best, 0), best >= c)]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(np.diff(words.first).astype(np.float64)), *map(pa.array, sums)], [f"c{k}" for k in range(len(sums) + 2)])
+
+    # a dozen numbers for each document of the sample
+    facts = small_batches(told.select("text", "p")).mapInArrow(tv.trimmed(hits), ", ".join(f"c{k} double" for k in range(2 * len(CUTS) + 2))).toArrow()
+    p, n, *sums = (facts.column(k).to_numpy() for k in range(facts.num_columns))
+    best, limit = None, np.log(WRONG / (1 - WRONG))
+    for k, cut in enumerate(CUTS):
+        toxic, other = (float(sums[2 * k + 1] @ q / max(n @ q, 1.0)) for q in (p, 1 - p)) if whole["bad"] >= LEAST_BAD else USUAL_RATES
+        drift = max(toxic - other, 0.0)
+        wrong = float(((found.start + sums[2 * k] - drift * n >= limit) & (p < 0.5)).sum() / max((p < 0.5).sum(), 1))
+        if best is None or wrong < best[0]:
+            best = (wrong, cut, drift)
+        if wrong <= MOST_WRONG:
+            break
+    keep = found.weights >= best[1]
+    return Telling(found.hashes[keep], found.weights[keep], found.start, best[2])
 
 
 def votes_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame | None) -> DataFrame:
@@ -485,6 +499,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return score(docs, fit(docs, id_col, text_col, labels), text_col)
 
 
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that classify() doesn't reject, with docs's columns as they are, whatever their names."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("__rest"), F.col(text_col).alias("text"))
+    found = score(rows, fit(docs, id_col, text_col, labels)).where("not rejected")
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col("__rest")[c].alias(c) for c in docs.columns])
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's scores and whether it is rejected."""
     found = classify(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))

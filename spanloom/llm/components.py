@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edges: two columns of one orderable type. Null ends and loops are left out, repeated edges count once, an empty
     table gives an empty result. Each step shuffles by node: the least neighbour is pre-aggregated before the shuffle,
     and a hub's rows meet its least neighbour in a join that AQE may split. Every round's edges are written to the
-    shared folder, so that no round depends on an earlier one. RuntimeError if the rounds don't suffice; they
+    shared folder, in place of the round's before, so that no round depends on an earlier one. RuntimeError if the rounds don't suffice; they
     grow as the square of the logarithm of the number of nodes at most.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settled(small.union(least).distinct(), "edges")
+        e = settled(small.union(least).distinct(), "edges", instead=(e,))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

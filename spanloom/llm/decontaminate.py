@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ascii_lower, bounded, exploded, row_key, settled, table
+from spanloom.llm.common import ascii_lower, bounded, exploded, free_name, row_key, settled, table
 
 #: Words of a window; a document word inside a shared window is a hit.
 SPAN = 13
@@ -85,9 +85,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
     """docs without the contaminated ones, as contamination() tells them; columns stay as they are."""
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    bad = measured(keyed, items, text_col, item_col, item_text, span).where("contaminated").select("__key")
-    return keyed.join(bounded(bad, MOST_BROADCAST), "__key", "left_anti").select(docs.columns)
+    key = row_key(id_col, text_col)
+    bad = measured(docs.select(key.alias("__key"), text_col), items, text_col, item_col, item_text, span).where("contaminated").select("__key")
+    own = free_name(docs, "__own")
+    keyed = docs.select("*", key.alias(own))
+    return keyed.join(bounded(bad, MOST_BROADCAST), keyed[own] == bad["__key"], "left_anti").select(docs.columns)
 
 
 def measured(keyed: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text: str, span: int = SPAN) -> DataFrame:

@@ -57,8 +57,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     isn't lost with its copies; rows with a null id come after all others. Lines are compared without outer white space;
     blank lines are never removed, rows without a site count for no site but lose their boilerplate too. Null text: stays null,
     no lines. Repeated rows are treated alike: each keeps a first occurrence. A document whose lines all go stays,
-    with an empty text. Further columns stay.
+    with an empty text. An empty table gives no rows. Further columns stay; n_lines, n_removed, __key and __gone are replaced.
     """
+    docs = docs.drop("n_lines", "n_removed", "__key", "__gone")
     lines = settled(_line_rows(docs, id_col, text_col, site_col), "lines")
     found = settled(boilerplate_lines(lines, least_sites), "boilerplate")
     rows = lines.join(bounded(found, MOST_BROADCAST), ["h1", "h2"]).select("h1", "h2", "key", "id", "pos").distinct()
@@ -66,15 +67,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("pos"))
     first = settled(rows.groupBy("h1", "h2").agg(F.min(order).alias("f")), "first")
     gone = rows.join(bounded(first, MOST_BROADCAST), ["h1", "h2"]).where((F.col("key") != F.col("f.key")) | (F.col("pos") != F.col("f.pos")))
-    gone = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_list("pos").alias("__gone"))
+    gone = gone.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list("pos")).alias("__gone"))
     keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(gone, "__key", "left")
     cut = _lines(F.col(text_col))
-    kept = F.filter(cut, lambda x, i: ~F.array_contains("__gone", i))
+    # what stands between two lines that go, so that a long text is copied once
+    between = F.zip_with(F.concat(F.array(F.lit(-1)), "__gone"), F.concat("__gone", F.array(F.size(cut))), lambda a, b: F.slice(cut, a + 2, b - a - 1))
+    kept = F.flatten(between)
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(cut)).cast("long")
     out = keyed.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")})
     return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__key", "__gone")
 
 
+def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", length_col: str = "n_chars") -> DataFrame:
+    """docs without boilerplate lines, as dedup_lines() finds them; length_col, if there is one, is the length of what is left where lines went. All other columns stay, whatever
+    their names."""
+    others = [c for c in docs.columns if c not in (id_col, text_col, site_col)]
+    rows = docs.select(id_col, text_col, site_col, F.struct(*others).alias("__rest") if others else F.lit(0).alias("__rest"))
+    cut = dedup_lines(rows, id_col, text_col, site_col)
+
+    def kept(name: str) -> Column:
+        if name not in others:
+            return F.col(name)
+        own = F.col("__rest")[name]
+        return (F.when(F.col("n_removed") > 0, F.length(text_col).cast(docs.schema[name].dataType)).otherwise(own) if name == length_col else own).alias(name)
+
+    return cut.select(*[kept(c) for c in docs.columns])
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten or more sources share."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")

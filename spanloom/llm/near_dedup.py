@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import bounded, settled, small_batches, table
+from spanloom.llm.common import bounded, free_name, settled, small_batches, table
 from spanloom.llm.components import connected_components
 
 #: Words of a shingle, and least similarity of a link.
@@ -260,14 +260,15 @@ def _in_blocks(members: DataFrame, key: str, weight: Column, most: Column, work,
     return queries.groupBy(key, "block", "ask").cogroup(blocks.groupBy(key, "block", "ask")).applyInArrow(tv.trimmed_pair(work), schema)
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """(id, h, class) of rows (id, h, text): class stands for the texts that are joined by links, and is one of their nodes. A text's node is
-    the least id that has it, or, if that id has other texts too, a hash of the text."""
+def _classes(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, h, class) of rows (id, h, text): class stands for the texts that are joined by links, and is their least node. A text's node is
+    the least id that has it, or, if that id has other texts too, a hash of the text; and whether all nodes are ids."""
     sketches = settled(small_batches(rows.select("id", "h", "text")).mapInArrow(tv.trimmed(_sketched), "id long, h long, a long, b long, size long, bands array<long>, print binary"), "sketches")
     stands = sketches.groupBy("a", "b").agg(F.min_by(F.struct("id", "h", "size", "bands", "print"), F.struct("id", "h")).alias("s"))
     stands = stands.select("a", "b", "s.*")
     several = settled(sketches.groupBy("id").agg(F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high")).where("low <> high").select("id"), "several")
-    if several.isEmpty():
+    plain = several.isEmpty()
+    if plain:
         stands = stands.withColumn("node", F.col("id"))
     else:
         stands = stands.join(bounded(several.withColumn("several", F.lit(True)), MOST_BROADCAST), "id", "left").withColumn("node", F.when(F.col("several"), F.xxhash64("a", "b")).otherwise(F.col("id"))).drop("several")
@@ -281,7 +282,7 @@ def _classes(rows: DataFrame) -> DataFrame:
         pairs = settled(_with_leader(left, turn), "pairs")
         if pairs.isEmpty():
             continue
-        classes, left = _regrouped(members, classes, settled(_confirm(pairs, texts), "links"))
+        classes, left = _regrouped(members, classes, settled(_confirm(pairs, texts), "links", instead=(pairs,)))
     edges = None
     if not left.isEmpty():
         prints = left.join(stands.select("node", "print"), "node")
@@ -294,7 +295,7 @@ def _classes(rows: DataFrame) -> DataFrame:
         found = _in_blocks(some.join(found, "node"), "cluster", F.octet_length("text") + 1, F.lit(BLOCK_BYTES), _compared, "u long, v long, similarity double")
         classes, _ = _regrouped(members, classes, settled(found, "links"))
     named = stands.select("a", "b", "node").join(classes, "node", "left").select("a", "b", F.coalesce("class", "node").alias("class"))
-    return sketches.select("id", "h", "a", "b").join(named, ["a", "b"]).select("id", "h", "class")
+    return sketches.select("id", "h", "a", "b").join(named, ["a", "b"]).select("id", "h", "class"), plain
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -315,9 +316,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different texts are texts of their own. An empty table gives no rows; further columns don't matter. The working tables are written to
     the shared folder.
     """
-    found = settled(_classes(_keyed(docs, id_col, text_col)), "classes")
-    least = found.groupBy("class").agg(F.min("id").alias("class_id"))
-    out = found.join(least, "class").select(F.col("id").alias(id_col), "class_id")
+    found, plain = _classes(_keyed(docs, id_col, text_col))
+    if plain:
+        out = found.select(F.col("id").alias(id_col), F.col("class").alias("class_id"))
+    else:
+        # both written out, so that a large class's rows may be split
+        found = settled(found, "classes")
+        least = settled(found.groupBy("class").agg(F.min("id").alias("class_id")), "least")
+        out = found.join(least, "class").select(F.col("id").alias(id_col), "class_id")
     nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(nulls)
 
@@ -352,18 +358,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one row of each class: of its least id, and of that id's texts the one with the least hash (rows with null ids all stay;
     of repeated rows one stays). Columns stay as they are. Only ids and hashes are worked on; the rows that go are then
     taken out by an anti join, which shuffles no text unless they are many."""
-    found = settled(_classes(_keyed(docs, id_col, text_col)), "classes")
-    rows = found.groupBy("class", "id", "h").agg(F.count("*").alias("n"))
-    best = rows.groupBy("class").agg(F.min(F.struct("id", "h")).alias("best"))
-    rows = settled(rows.join(best, "class").select("id", "h", "n", (F.struct("id", "h") == F.col("best")).alias("stays")), "kept")
-    gone = bounded(rows.where("not stays").select("id", "h"), MOST_BROADCAST)
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    at = lambda df: (keyed[id_col] == df["id"]) & (keyed["__h"] == df["h"])
+    found = settled(_classes(_keyed(docs, id_col, text_col))[0], "classes")
+    best = settled(found.groupBy("class").agg(F.min(F.struct("id", "h")).alias("best")).select("best.*"), "kept")
+    rows = found.groupBy("id", "h").agg(F.count("*").alias("n"))
+    gone = bounded(settled(rows.join(best, ["id", "h"], "left_anti").select("id", "h"), "gone"), MOST_BROADCAST)
+    h = free_name(docs, "__h")
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    at = lambda df: (keyed[id_col] == df["id"]) & (keyed[h] == df["h"])
     kept = keyed.join(gone, at(gone), "left_anti")
-    twice = rows.where("stays and n > 1").select("id", "h")
+    twice = settled(rows.where("n > 1").join(best, ["id", "h"], "left_semi").select("id", "h"), "repeated")
     if not twice.isEmpty():
         more = bounded(twice, MOST_BROADCAST)
-        kept = kept.join(more, at(more), "left_anti").unionByName(keyed.join(more, at(more), "left_semi").dropDuplicates([id_col, "__h"]))
+        kept = kept.join(more, at(more), "left_anti").unionByName(keyed.join(more, at(more), "left_semi").dropDuplicates([id_col, h]))
     return kept.select(docs.columns)
 
 

@@ -13,7 +13,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import exploded, row_key, table
+from spanloom.functions.spans import running
+from spanloom.llm.common import bounded, exploded, row_key, settled, table
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,8 @@ def trigrams_of(query: tuple) -> set[str]:
 
 #: Trigrams whose presence one long holds.
 WORD = 62
+#: Candidates (two hashes and a few rules each) that are broadcast, at most; beyond, the join shuffles.
+MOST_BROADCAST = 300_000
 
 
 def _holds(query: tuple, at: dict[str, int]) -> Column:
@@ -170,15 +173,13 @@ def spans_of(text: Column, rule: Rule, kind: int) -> Column:
     cut = F.lit(rf"\G((?s:.*?))({rule.whole})")
     pairs = F.arrays_zip(F.regexp_extract_all(text, cut, F.lit(1)).alias("g"), F.regexp_extract_all(text, cut, F.lit(2)).alias("m"))
     value = (lambda m: F.regexp_replace(m, "^" + rule.regex, "")) if rule.value else (lambda m: m)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    begins = running(F.transform(pairs, lambda x: F.length(x["g"]) + F.length(x["m"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(value(x["m"])) >= rule.min_value, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(x: Column, at: Column) -> Column:
+        start = at + F.length(x["g"])
+        return F.when(F.length(value(x["m"])) >= rule.min_value, F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["m"])).alias("end")))
 
-    return F.when(text.rlike(rule.whole), F.aggregate(pairs, start, step)["out"])
+    return F.when(text.rlike(rule.whole), F.array_compact(F.zip_with(pairs, begins, one)))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -187,8 +188,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Each rule's mandatory trigrams are derived from its regular expression. The postings of all trigrams that some rule
     asks for are intersected for each document by or-ing bits, pre-aggregated before the shuffle. Only documents that
     satisfy a rule's query are verified by its regular expression; rules without mandatory trigrams scan fully.
-    Null text: no spans. Repeated rows and ids, also null ids: each row has its own text's spans. Further columns stay,
-    whatever their names but spans. A text of any length is scanned whole.
+    Null and empty text: no spans. Repeated rows and ids, also null ids: each row has its own text's spans. An empty table gives no rows. Further
+    columns stay; spans, __key and __rules are replaced. A text of any length is scanned whole. Texts are shuffled only if candidates are many.
     """
     queries = [trigram_query(r.whole) for r in rules]
     trigrams = sorted(set().union(*(trigrams_of(q) for q in queries)))
@@ -200,8 +201,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for w in range(-(-len(trigrams) // WORD) or 1)
     ]
     hits = index.groupBy(F.col("key").alias("__key")).agg(*words)
-    hits = hits.select("__key", F.array_compact(wanted).alias("__rules")).where(F.size("__rules") > 0)
-    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(hits, "__key", "left")
+    hits = settled(hits.select("__key", F.array_compact(wanted).alias("__rules")).where(F.size("__rules") > 0), "candidates")
+    keyed = docs.drop("spans").withColumn("__key", row_key(id_col, text_col)).join(bounded(hits, MOST_BROADCAST), "__key", "left")
     full = [spans_of(F.col(text_col), r, i) for i, (r, q) in enumerate(zip(rules, queries, strict=True)) if q == ANY]
     some = [F.when(F.array_contains("__rules", F.lit(i)), spans_of(F.col(text_col), r, i)) for i, (r, q) in enumerate(zip(rules, queries, strict=True)) if q != ANY]
     spans = F.array_sort(F.flatten(F.array_compact(F.array(*full, *some))))

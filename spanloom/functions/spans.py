@@ -10,6 +10,17 @@ from spanloom.functions.regex import spark_regex, sql_regex
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def running(lengths: Column, block: int = 256) -> Column:
+    """What comes before each of an array of lengths, in sum. Blocks are summed by themselves and then shifted, so that long arrays aren't copied for each element."""
+    kind = "struct<at:int,out:array<int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast(kind)
+    add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+    last = F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / block)).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), start, add))
+    bases = F.aggregate(sums, start, lambda a, x: add(a, x["at"]), lambda a: a["out"])
+    return F.flatten(F.zip_with(sums, bases, lambda s, b: F.transform(s["out"], lambda v: v + b)))
+
+
 def spans(text: Column, pattern: str, fold: bool = False, group: bool = False, any_of: tuple[str, ...] = ()) -> Column:
     """The pattern's matches, leftmost and not overlapping: an array of (start, end, text) in code points, end exclusive.
 
@@ -23,17 +34,15 @@ def spans(text: Column, pattern: str, fold: bool = False, group: bool = False, a
     gaps = F.split(text, p, -1)
     inner = F.regexp_extract_all(text, F.lit(p), F.lit(1)) if group else None
 
-    def step(acc: Column, x: Column) -> Column:
+    def one(x: Column, at: Column) -> Column:
         value = x["v"] if group else x["m"]
-        begin = acc["at"] + F.length(x["g"])
-        start = begin + (F.instr(x["m"], value) - 1 if group else F.lit(0))
-        one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"))
-        return F.struct((begin + F.length(x["m"])).alias("at"), F.array_append(acc["out"], one).alias("out"))
+        start = at + F.length(x["g"]) + (F.instr(x["m"], value) - 1 if group else F.lit(0))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"))
 
     none = F.array().cast(SPAN)
     parts = [gaps.alias("g"), hits.alias("m"), *([inner.alias("v")] if group else [])]
     rows = F.filter(F.arrays_zip(*parts), lambda x: x["m"].isNotNull())
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    found = F.zip_with(rows, running(F.transform(rows, lambda x: F.length(x["g"]) + F.length(x["m"]))), one)
     there = text.rlike(p)
     if any_of:
         listed = F.contains(text, F.lit(any_of[0]))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import detector_validators as detector
 from spanloom.functions import repair
 from spanloom.functions import text as t
 from spanloom.functions import validators as v
 from spanloom.functions.regex import sql_regex
-from spanloom.operators import address, classify, context, extract, grid, layout, linking, rules, tokens
+from spanloom.operators import address, analytics, classify, context, extract, grid, layout, linking, overlap, rules, tokens
+from spanloom.plans import analytics as plans_analytics
 from spanloom.plans import detection
+from spanloom.plans import entities as plans_entities
 from spanloom.plans.inputs import ENTITIES_SQL, IDS_SQL, TEXTS_SQL, derived, entities, ids, in_sql, table, texts
 
 E, T = f"e as {ENTITIES_SQL}", f"t as materialized {TEXTS_SQL}"
@@ -354,7 +357,56 @@ _P29 = f"""with {T}, k as (select doc_id, '(a+)+|b*?|[c]+' || text as p from t)
 select doc_id, round(10 * {_N(r"\([^)]*[+*][^)]*\)[+*]")} + 5 * ({_N(r"[+*]")} - {_N(r"[+*]\?")}) + 3 * {_N(r"\[[^\]]+\][+*]")} + 2 * {_N(r"\|")} + length(p) / 50, 4)::double as risk from k"""
 _CORR = """select event_id, case when event_id % 3 = 0 then 'ADD' else 'DISMISS' end as action, case event_id % 4 when 0 then 'EMAIL' when 1 then 'PERSON_NAME' when 2 then 'PHONE' else 'DATE' end as entity_type from events"""
 
+_LENGTHS = "map {" + ", ".join(f"'{k}': {n}" for k, n in detector.LENGTHS.items()) + "}"
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in detector.COMMON)
+_CHECKED = f"""f as materialized {extract.extract_sql("t", extract.DETECTOR)},
+ib0 as (select distinct text, upper(replace(regexp_replace(text, '\\s', '', 'g'), '-', '')) as code from f where starts_with(pattern, 'iban')),
+ib1 as (select *, array_to_string(list_transform(string_split(substr(code, 5) || left(code, 4), ''), lambda ch: case when ascii(ch) >= 65 then (ascii(ch) - 55)::varchar else ch end), '') as num from ib0),
+ib as (select text, coalesce(length(code) = {_LENGTHS}[left(code, 2)], false) and regexp_full_match(code, '[A-Z0-9]+') and coalesce(try_cast((try_cast(left(num, 30) as hugeint) % 97)::varchar || substr(num, 31) as hugeint) % 97 = 1, false) as ok from ib1),
+w as (select f.*, ib.ok, regexp_replace(f.text, '[^0-9]', '', 'g') as d, regexp_split_to_array(trim(f.text), '\\s+') as parts, string_split(f.text, '.') as p from f left join ib on f.text = ib.text and starts_with(pattern, 'iban')),
+k as (select doc_id, rank as entity_id, start, "end", type, text from w where case when starts_with(pattern, 'iban') then ok
+  when pattern in ('avs', 'avs_nodots') then coalesce(length(d) = 13 and starts_with(d, '756') and try_cast(substr(d, 13, 1) as int) = (10 - ({detection._sum([1, 3] * 6)}) % 10) % 10, false)
+  when pattern = 'date' then coalesce(len(p) = 3 and try_cast(p[1] as int) between 1 and 31 and try_cast(p[2] as int) between 1 and 12 and try_cast(p[3] as int) between 1900 and 2100, false)
+  when pattern = 'street' then length(text) >= 5 and regexp_matches(text, '\\d+[A-Za-z]?\\s*$') and length(trim(regexp_replace(text, '\\s+\\d+[A-Za-z]?\\s*$', ''))) >= 5 and not regexp_matches(lower(text), 'case postale|postfach|p\\.o\\. box|boîte postale')
+  when starts_with(pattern, 'person') then length(text) >= 3 and len(parts) >= 2 and len(list_filter(parts, lambda x: lower(x) in ({_COMMON}) or (x = upper(x) and length(x) > 2))) = 0 else true end),
+l as (select doc_id, list({{'start': start, 'end': "end", 'type': type, 'text': text}} order by start, -({plans_entities._RANK.replace("{0}.", "")}), entity_id) as xs from k group by doc_id),
+z as (select doc_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, y: case when y[1].start >= acc[-1]."end" then list_concat(acc, y) when {plans_entities._rank("y[1]")} > {plans_entities._rank("acc[-1]")} then list_concat(acc[:-2], y) else acc end)) as e from l)"""
+_X3 = f"""with {T}, {_CHECKED} select doc_id, e.type as type, e.start as start, e."end" as "end", e.text as text from z"""
+
+
+def x3_detect(spark: SparkSession, d: str) -> DataFrame:
+    """The detector's finds in the texts, validated by pattern, and overlaps resolved by its order."""
+    found = extract.extract(texts(spark, d), extract.DETECTOR)
+    keep = F.lit(True)
+    for name, check in detector.OF_PATTERN.items():
+        keep = F.when(F.col("pattern") == name, check(F.col("text"))).otherwise(keep)
+    rows = found.where(keep).select("doc_id", F.col("rank").alias("entity_id"), "start", "end", "type", "text", F.lit(0.7).alias("confidence"), F.lit("RULE").alias("source"))
+    return overlap.priority_dedup(rows).select("doc_id", "type", "start", "end", "text")
+
+
+#: What the texts are known to hold, by type: (type, column of the ids, remainder of the id by 4).
+TRUTH = [("EMAIL", "email", (0, 1)), ("SWISS_AVS", "avs", (1,)), ("IBAN", "iban", (0, 2)), ("PHONE", "phone", (0, 2, 3)), ("DATE", "date", (0, 3))]
+
+
+def a13_detector(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall and F1 of the detector, by type, against the identifiers that the texts were made of, right ones and wrong ones alike."""
+    rows = None
+    for kind, column, rest in TRUTH:
+        one = ids(spark, d).where((F.col("doc_id") % 4).isin(*rest)).select("doc_id", F.lit(kind).alias("type"), F.col(column).alias("text"), F.lit(0).alias("start"))
+        rows = one if rows is None else rows.unionByName(one)
+    found = x3_detect(spark, d).where(F.col("type").isin(*[k for k, _, _ in TRUTH]))
+    return analytics.precision_recall(found, rows, ["doc_id", "type", "text"])
+
+
+_TRUE = " union all ".join(f"select doc_id, '{k}' as type, {c} as text from {IDS_SQL} where doc_id % 4 in {(*rest, 9)}" for k, c, rest in TRUTH)
+_NTH = "row_number() over (partition by doc_id, type, text)"
+_A13 = f"""with {T}, {_CHECKED}, a as (select doc_id, type, text, {_NTH} as n from (select doc_id, e.type as type, e.text as text from z) where type in ({", ".join(f"'{k}'" for k, _, _ in TRUTH)})), b as (select *, {_NTH} as n from ({_TRUE})),
+c as (select coalesce(a.type, b.type) as type, count(*) filter (a.text is not null and b.text is not null) as tp, count(*) filter (b.text is null) as fp, count(*) filter (a.text is null) as fn from a full join b on a.doc_id = b.doc_id and a.type = b.type and a.text = b.text and a.n = b.n group by 1)
+select *, {plans_analytics._RATES} from c"""
+
 QUERIES = {
+    "a13_detector": (a13_detector, _A13),
+    "x3_detect": (x3_detect, _X3),
     "a18_shapes": (a18_shapes, _A18),
     "a18b_scale": (a18b_scale, f"select max(greatest(a, d)) as most from (select entity_type, count(*) filter (action = 'ADD') as a, count(*) filter (action = 'DISMISS') as d from ({_CORR}) group by entity_type)"),
     "c8_runtime": (c8_runtime, _C8),

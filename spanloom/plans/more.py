@@ -11,6 +11,7 @@ from spanloom.functions import validators as v
 from spanloom.functions.regex import sql_regex
 from spanloom.operators import address, analytics, layout, matching, overlap, review, rules
 from spanloom.operators.extract import DETECTOR, HIGH_RECALL, Pattern, extract, extract_sql
+from spanloom.plans import analytics as analytics_plans
 from spanloom.plans import texts as texts_plans
 from spanloom.plans.inputs import ENTITIES_SQL, TEXTS_SQL, derived, entities, in_sql, table, texts
 from spanloom.sources import sinks
@@ -214,16 +215,6 @@ select doc_id, coalesce(length(code) = {_DLEN}[left(code, 2)], false) and rest =
   len(p) = 3 and try_cast(p[1] as int) between 1 and 31 and try_cast(p[2] as int) between 1 and 12 and try_cast(p[3] as int) between 1900 and 2100 as date from m"""
 
 
-def x3_detect(spark: SparkSession, d: str) -> DataFrame:
-    """The detector's finds in the texts, validated by pattern, and overlaps resolved by its order."""
-    found = extract(texts(spark, d), DETECTOR)
-    keep = F.lit(True)
-    for name, check in detector.OF_PATTERN.items():
-        keep = F.when(F.col("pattern") == name, check(F.col("text"))).otherwise(keep)
-    rows = found.where(keep).select("doc_id", F.col("rank").alias("entity_id"), "start", "end", "type", "text", F.lit(0.7).alias("confidence"), F.lit("RULE").alias("source"))
-    return overlap.priority_dedup(rows).select("doc_id", "type", "start", "end", "text")
-
-
 def t1_log_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events, streamed into a log by month, and then counted by month and type."""
     out = streams.work_dir(spark, "log")
@@ -234,7 +225,7 @@ def t1_log_stream(spark: SparkSession, d: str) -> DataFrame:
 
 _ENTITY = "select doc_id, entity_id"
 QUERIES = {
-    "a15_failures": (a15_failures, None),
+    "a15_failures": (a15_failures, f"with {analytics_plans._PR}, f as (select type, array_to_string(list_filter([case when precision < 0.2 then 'precision' end, case when recall < 0.15 then 'recall' end], lambda x: x is not null), ',') as failed from (select *, {analytics_plans._RATES} from p)) select type, failed from f where failed <> ''"),
     "a16b_review": (a16b_review, _A16B),
     "a16c_manual": (a16c_manual, f"with {E} {_ENTITY}, type || '_MANUAL_' || row_number() over (partition by doc_id, type order by start, entity_id) as replacement from e"),
     "a19_components": (a19_components, f"select doc_id, {_A19} from ({texts_plans.QUERIES['x7_address_components'][1]}) group by doc_id"),
@@ -258,7 +249,6 @@ QUERIES = {
     "v17_filters": (v17_filters, f"with {E} {_ENTITY}, type from e where type in ('EMAIL', 'PHONE') and confidence < 0.6 and confidence >= 0.2 and contains(lower(text), 'muster')"),
     "v19_overlap": (v19_overlap, f"with {E} {_ENTITY}, round(greatest(0, least(\"end\", 90) - greatest(start, 40)) / least(\"end\" - start, 50), 6)::double as ratio from e"),
     "v2_v10_detector": (v2_v10_detector, _V2),
-    "x3_detect": (x3_detect, None),
     "x4_invoice": (x4_invoice, _rules_sql(rules.INVOICE)),
     "x5_amounts": (x5_amounts, _X5),
     "x6_letter": (x6_letter, _rules_sql(rules.LETTER)),

@@ -202,7 +202,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ]
     hits = index.groupBy(F.col("key").alias("__key")).agg(*words)
     hits = settled(hits.select("__key", F.array_compact(wanted).alias("__rules")).where(F.size("__rules") > 0), "candidates")
-    keyed = docs.drop("spans").withColumn("__key", row_key(id_col, text_col)).join(bounded(hits, MOST_BROADCAST), "__key", "left")
+    keyed = docs.drop("spans", "__key", "__rules").withColumn("__key", row_key(id_col, text_col)).join(bounded(hits, MOST_BROADCAST), "__key", "left")
     full = [spans_of(F.col(text_col), r, i) for i, (r, q) in enumerate(zip(rules, queries, strict=True)) if q == ANY]
     some = [F.when(F.array_contains("__rules", F.lit(i)), spans_of(F.col(text_col), r, i)) for i, (r, q) in enumerate(zip(rules, queries, strict=True)) if q != ANY]
     spans = F.array_sort(F.flatten(F.array_compact(F.array(*full, *some))))

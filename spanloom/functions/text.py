@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -44,6 +45,15 @@ MARKDOWN = [
 ]
 
 
+@functools.lru_cache(1 << 16)
+def _joins(a: str, b: str) -> bool:
+    """Whether b may be composed with what a ends: it is a combining mark, or both together become something else, as Hangul jamo do."""
+    if b < "\x80":
+        return False
+    norm = lambda x: unicodedata.normalize("NFKC", x)
+    return bool(unicodedata.combining(b)) or norm(norm(a) + norm(b)) != norm(a) + norm(b)
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("index_map", T.ArrayType(T.IntegerType()))]))
 def _normalised(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in texts:
@@ -52,7 +62,7 @@ def _normalised(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             pieces, places, start = [], [], 0
             text = t or ""
             for i in range(1, len(text) + 1):
-                if i == len(text) or not unicodedata.combining(text[i]):
+                if i == len(text) or not _joins(text[start:i], text[i]):
                     piece = unicodedata.normalize("NFKC", text[start:i])
                     pieces.append(piece)
                     places += [start] * len(piece)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import spans
@@ -68,16 +69,22 @@ def canton(code: Column) -> Column:
     return arm
 
 
-def link_components(found: DataFrame) -> DataFrame:
+#: What no address holds.
+LINKED = r"\bwww\b|\.ch\b|\.com\b|http"
+
+
+def link_components(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, group, start, end, types, texts): groups of components that follow each other by the table of transitions, within NEAR characters, of LEAST to MOST.
+    With docs (doc_id, text), a blank line ends a group, and groups whose text holds a link aren't given.
 
     The walk skips components and starts anew from the unused ones, so each document's components, a short list, are walked in Python.
     """
+    blank, linked = re.compile(r"\n\s*\n"), re.compile(LINKED, re.I | re.A)
 
     def walk(docs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in docs:
             out = []
-            for doc, comps in zip(pdf["doc_id"], pdf["c"], strict=True):
+            for doc, comps, full in zip(pdf["doc_id"], pdf["c"], pdf["full"], strict=True):
                 items = [(c["start"], c["end"], c["type"], c["text"]) for c in comps]
                 used: set[int] = set()
                 n = 0
@@ -92,19 +99,20 @@ def link_components(found: DataFrame) -> DataFrame:
                         if j in used:
                             continue
                         gap = items[j][0] - group[-1][1]
-                        if gap > NEAR:
+                        if gap > NEAR or (full is not None and gap > 0 and blank.search(full, group[-1][1], items[j][0])):
                             break
                         kind = items[j][2]
                         if gap >= 0 and (kind not in kinds or kind == "STREET_NAME") and kind in FOLLOWS[group[-1][2]]:
                             group.append(items[j])
                             kinds.add(kind)
                             used.add(j)
-                    if len(group) >= LEAST:
+                    if len(group) >= LEAST and not (full is not None and linked.search(full, group[0][0], max(g[1] for g in group))):
                         out.append((doc, n, group[0][0], max(g[1] for g in group), [g[2] for g in group], [g[3] for g in group]))
                         n += 1
             yield pd.DataFrame(out, columns=["doc_id", "group", "start", "end", "types", "texts"])
 
     rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "text"))).alias("c"))
+    rows = rows.withColumn("full", F.lit(None).cast("string")) if docs is None else rows.join(docs.select("doc_id", F.col("text").alias("full")), "doc_id", "left")
     return rows.mapInPandas(walk, "doc_id long, group int, start int, end int, types array<string>, texts array<string>")
 
 
@@ -170,3 +178,20 @@ def cities_after(found: DataFrame) -> DataFrame:
     rows = found.select("doc_id", F.col("end").alias("code_end"), after.alias("after")).withColumn("text", F.regexp_extract("after", CITY_AFTER, 1)).where("text <> ''")
     start = (F.col("code_end") + F.instr("after", F.col("text")) - 1).cast("int")
     return rows.select("doc_id", start.alias("start"), (start + F.length("text")).alias("end"), "text")
+
+
+NEAR_LINE, NEAR_LINES = 50, 100
+
+
+def proximity_groups(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, grp, start, end, n, types) of components of found (doc_id, type, start, end): by start, one goes on with the group of the one before if it begins after its end, within
+    NEAR_LINE characters, or NEAR_LINES over a line's end, and no blank line stands between; groups of LEAST or more."""
+    w = Window.partitionBy("doc_id").orderBy("start", "end", "type")
+    rows = found.join(docs.select("doc_id", F.col("text").alias("full")), "doc_id").withColumn("before", F.lag("end").over(w))
+    gap = F.col("start") - F.col("before")
+    between = F.substring("full", F.col("before") + 1, gap)
+    near = gap <= F.when(between.rlike(r"[\r\n]"), NEAR_LINES).otherwise(NEAR_LINE)
+    goes_on = (gap >= 0) & near & ~between.rlike(r"\n\s*\n")
+    rows = rows.withColumn("grp", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "type"))), lambda s: s["type"]), ",")
+    return rows.groupBy("doc_id", "grp").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), each.alias("types")).where(F.col("n") >= LEAST)

@@ -138,9 +138,10 @@ def sentence_chunks(docs: DataFrame, most: int = MOST_TOKENS, overlap: int = OVE
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, chunk int, start int, end int, text string")
 
 
-def predictions(pieces: DataFrame, model: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int, float]]]]], id_col: str = "doc_id", least: float = LEAST_SCORE, types: dict[str, str] | None = None) -> DataFrame:
+def predictions(pieces: DataFrame, model: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int, float]]]]], id_col: str = "doc_id", least: float = LEAST_SCORE, types: dict[str, str] | None = None, skip: bool = False) -> DataFrame:
     """(id_col, type, start, end, score) of a model over chunks: model() is called once for each worker's task and gives a function from texts to predictions. Those under
-    least are dropped; types renames the model's. Where a batch fails, its texts are tried one by one, and RuntimeError names what still fails: a result is whole or none."""
+    least are dropped; types renames the model's. Where a batch fails, its texts are tried one by one, and RuntimeError names what still fails: a result is whole or none. With skip, chunks that
+    fail by themselves have no predictions, and the others have theirs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model()
@@ -155,7 +156,9 @@ def predictions(pieces: DataFrame, model: Callable[[], Callable[[list[str]], lis
                     try:
                         found += predict([text])
                     except Exception as why:
-                        raise RuntimeError(f"the model fails on a chunk of {doc}: {why}") from why
+                        if not skip:
+                            raise RuntimeError(f"the model fails on a chunk of {doc}: {why}") from why
+                        found.append([])
             for doc, base, hits in zip(pdf[id_col], pdf["start"], found, strict=True):
                 out += [(doc, (types or {}).get(kind, kind), int(base) + a, int(base) + b, float(s)) for kind, a, b, s in hits if s >= least]
             yield pd.DataFrame(out, columns=[id_col, "type", "start", "end", "score"])

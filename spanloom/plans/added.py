@@ -14,6 +14,7 @@ from spanloom.operators import address, analytics, classify, context, extract, g
 from spanloom.plans import analytics as plans_analytics
 from spanloom.plans import detection
 from spanloom.plans import entities as plans_entities
+from spanloom.plans import texts as plans_texts
 from spanloom.plans.inputs import ENTITIES_SQL, IDS_SQL, TEXTS_SQL, derived, entities, ids, in_sql, table, texts
 
 E, T = f"e as {ENTITIES_SQL}", f"t as materialized {TEXTS_SQL}"
@@ -193,6 +194,18 @@ _J8 = f"""with {T}, f as (select doc_id, f."end" as e, substr(t.text, f."end" +
 select doc_id, (e + instr(a, {_CITY}) - 1)::int as start, (e + instr(a, {_CITY}) - 1 + length({_CITY}))::int as "end", {_CITY} as text from f where {_CITY} <> ''"""
 
 
+def o6_proximity(spark: SparkSession, d: str) -> DataFrame:
+    rows = texts(spark, d)
+    return address.proximity_groups(address.components(rows), rows)
+
+
+_O6 = f"""with {T}, c as (select doc_id, type, start, "end" from ({plans_texts.QUERIES["x7_address_components"][1]})),
+b as (select c.*, t.text as full_text, lag("end") over (partition by c.doc_id order by start, "end", type) as before from c join t using (doc_id)),
+m as (select *, start - before as gap, substr(full_text, before + 1, start - before) as s from b),
+g as (select *, sum(case when gap >= 0 and gap <= case when regexp_matches(s, '[\\r\\n]') then 100 else 50 end and not regexp_matches(s, '\\n\\s*\\n') then 0 else 1 end) over (partition by doc_id order by start, "end", type rows unbounded preceding)::int as grp from m)
+select doc_id, grp, min(start) as start, max("end") as "end", count(*) as n, string_agg(type, ',' order by start, "end", type) as types from g group by doc_id, grp having count(*) >= 2"""
+
+
 def o13c_preview(spark: SparkSession, d: str) -> DataFrame:
     return linking.preview_tokens(entities(spark, d)).select("doc_id", "entity_id", "token")
 
@@ -417,6 +430,7 @@ QUERIES = {
     "j6_columns": (j6_columns, f"with {E}, c as (select *, ['Mail', 'NAME', 'x'][entity_id % 3 + 1] as col from e) select doc_id, entity_id, round(least(1.0, confidence + case when col = 'Mail' and type = 'EMAIL' then 0.5 when col = 'NAME' and type = 'PERSON_NAME' then 0.2 else 0 end), 6)::double as boosted from c"),
     "j8_cities": (j8_cities, _J8),
     "k7_metrics": (k7_metrics, """select '{"event_type":"' || event_type || '","count":' || count(*) || ',"least":' || min(user_id) || ',"most":' || max(user_id) || '}' as line from events group by event_type"""),
+    "o6_proximity": (o6_proximity, _O6),
     "o10_types": (o10_types, _O10),
     "o13c_preview": (o13c_preview, _O13C),
     "o16_offsets": (o16_offsets, _O16),

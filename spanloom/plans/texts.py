@@ -78,7 +78,8 @@ select * from f union all select * from n where exists (select 1 from f where f.
 
 def o7_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Linked address groups with pattern, confidence and score."""
-    groups = address.link_components(address.components(texts(spark, d)))
+    rows = texts(spark, d)
+    groups = address.link_components(address.components(rows), rows)
     pattern = address.pattern_of(F.col("types"))
     return groups.select("doc_id", "start", "end", F.array_join("types", ",").alias("types"), pattern.alias("pattern"), address.confidence_of(pattern, F.col("types")).alias("confidence"), address.score_of(pattern, F.col("types"), F.col("texts")).alias("score"))
 

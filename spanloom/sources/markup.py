@@ -108,6 +108,8 @@ def html_to_markdown(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+R = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def docx_text(data: bytes) -> str:
@@ -134,9 +136,14 @@ def xlsx_tables(data: bytes, most: int = 1000) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        titles = [s.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")]
+        # a sheet's part is named by the workbook's relationships, whatever its number
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{R}Relationship")} if "xl/_rels/workbook.xml.rels" in names else {}
+        sheets = [(s.get("name", ""), targets.get(s.get(f"{OFFICE}id"), f"worksheets/sheet{i}.xml")) for i, s in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet"), 1)]
         parts = []
-        for title, path in zip(titles, sorted(n for n in names if n.startswith("xl/worksheets/sheet")), strict=False):
+        for title, target in sheets:
+            path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if path not in names:
+                continue
             rows = []
             for row in list(ElementTree.fromstring(z.read(path)).iter(f"{S}row"))[: most + 1]:
                 cells = []

@@ -150,14 +150,14 @@ def test_chunks_cover_the_text(spark):
     assert rows[0].start == 0 and rows[-1].end == len(text) and all(b.start <= a.end for a, b in zip(rows, rows[1:], strict=False))
 
 
-def test_failing_model_gives_no_predictions(spark):
+def test_failing_model_gives_no_predictions_if_told_so(spark):
     def model():
         def predict(texts):
             raise RuntimeError("down")
 
         return predict
 
-    assert tokens.predictions(tokens.chunks(spark.createDataFrame([(1, "a b")], "doc_id long, text string")), model).count() == 0
+    assert tokens.predictions(tokens.chunks(spark.createDataFrame([(1, "a b")], "doc_id long, text string")), model, skip=True).count() == 0
 
 
 def test_html():
@@ -232,3 +232,20 @@ def test_partitioned_log(spark, smallest, tmp_path):
     month = sinks.read_log(spark, str(tmp_path / "log")).first().month
     some = sinks.read_log(spark, str(tmp_path / "log"), [month])
     assert some.count() > 0 and "PartitionFilters: [" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hangul_and_marks_are_composed(spark):
+    rows = spark.createDataFrame([("\u1112\u1161\u11ab x e\u0301 \ufb01",), ("ascii",)], "t string").select(t.normalise_unicode(F.col("t")).alias("n")).collect()
+    assert rows[0].n.text == "\ud55c x \u00e9 fi" and rows[0].n.index_map == [0, 3, 4, 5, 6, 8, 9, 9, 10] and rows[1].n.text == "ascii"
+
+
+def test_sheets_by_their_relationships():
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="T{i}" r:id="r{i}"/>' for i in range(1, 12)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, 12)) + "</Relationships>")
+        for i in range(1, 12):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData><row><c><v>{i}</v></c></row></sheetData></worksheet>')
+    found = markup.xlsx_tables(data.getvalue())
+    assert [x.split("\n\n")[1].split("\n")[0] for x in found.split("## ")[1:]] == [f"| {i} |" for i in range(1, 12)] and "## T10\n\n| 10 |" in found

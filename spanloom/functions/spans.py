@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,15 +12,27 @@ from spanloom.functions.regex import spark_regex, sql_regex
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def running(lengths: Column, block: int = 256) -> Column:
     """What comes before each of an array of lengths, in sum. Blocks are summed by themselves and then shifted, so that long arrays aren't copied for each element."""
     kind = "struct<at:int,out:array<int>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast(kind)
     add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
-    last = F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / block)).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), start, add))
-    bases = F.aggregate(sums, start, lambda a, x: add(a, x["at"]), lambda a: a["out"])
-    return F.flatten(F.zip_with(sums, bases, lambda s, b: F.transform(s["out"], lambda v: v + b)))
+
+    def shifted(sums: Column) -> Column:
+        bases = F.aggregate(sums, start, lambda a, x: add(a, x["at"]), lambda a: a["out"])
+        return F.flatten(F.zip_with(sums, bases, lambda s, b: F.transform(s["out"], lambda v: v + b)))
+
+    def blocks(own: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(own) - 1) / block)).cast("int")
+        many = bound(F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(own, b * block + 1, F.lit(block)), start, add)), shifted)
+        return F.when(F.size(own) <= block, F.aggregate(own, start, add, lambda a: a["out"])).otherwise(many)
+
+    return bound(lengths, blocks)
 
 
 def spans(text: Column, pattern: str, fold: bool = False, group: bool = False, any_of: tuple[str, ...] = ()) -> Column:
@@ -29,27 +43,27 @@ def spans(text: Column, pattern: str, fold: bool = False, group: bool = False, a
     one, costs none. Null text: null.
     """
     p = ("(?iu)" if fold else "") + spark_regex(pattern)
-    hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    # taken only where there are hits
-    gaps = F.split(text, p, -1)
-    inner = F.regexp_extract_all(text, F.lit(p), F.lit(1)) if group else None
+    none = F.array().cast(SPAN)
 
     def one(x: Column, at: Column) -> Column:
         value = x["v"] if group else x["m"]
         start = at + F.length(x["g"]) + (F.instr(x["m"], value) - 1 if group else F.lit(0))
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"))
 
-    none = F.array().cast(SPAN)
-    parts = [gaps.alias("g"), hits.alias("m"), *([inner.alias("v")] if group else [])]
-    rows = F.filter(F.arrays_zip(*parts), lambda x: x["m"].isNotNull())
-    found = F.zip_with(rows, running(F.transform(rows, lambda x: F.length(x["g"]) + F.length(x["m"]))), one)
-    there = text.rlike(p)
+    def cut(hits: Column) -> Column:
+        # the text is cut only where there are hits; after the last one comes a gap more
+        inner = [F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("v")] if group else []
+        rows = F.arrays_zip(F.slice(F.split(text, p, -1), F.lit(1), F.size(hits)).alias("g"), hits.alias("m"), *inner)
+        placed = bound(rows, lambda r: F.zip_with(r, running(F.transform(r, lambda x: F.length(x["g"]) + F.length(x["m"]))), one))
+        return F.when(F.size(hits) == 0, none).otherwise(placed.cast(SPAN))
+
+    found = bound(F.regexp_extract_all(text, F.lit(p), F.lit(0)), cut)
     if any_of:
-        listed = F.contains(text, F.lit(any_of[0]))
+        there = F.contains(text, F.lit(any_of[0]))
         for x in any_of[1:]:
-            listed = listed | F.contains(text, F.lit(x))
-        there = listed & there
-    return F.when(there, found).when(text.isNotNull(), none)
+            there = there | F.contains(text, F.lit(x))
+        return F.when(there, found).when(text.isNotNull(), none)
+    return F.when(text.isNotNull(), found)
 
 
 def spans_sql(source: str, key: str, text: str, pattern: str, fold: bool = False, group: bool = False) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import bound
 from spanloom.llm.common import ascii_lower, bounded, exploded, free_name, row_key, settled, table
 
 #: Words of a window; a document word inside a shared window is a hit.
@@ -32,31 +33,30 @@ def _grams(words: str, k: str) -> str:
     return f"if(size({words}) >= {k}, transform(sequence(1, size({words}) - {k} + 1), i -> xxhash64(slice({words}, i, {k}))), array())"
 
 
-def _beside(values: str, step: int, width: int, both: str) -> str:
-    """SQL for both(x, y) of each two values that are step apart; values is an array that covers width of its source's places each."""
-    n = f"size({values}) - {step}"
-    return f"if({n} > 0, zip_with(slice({values}, 1, greatest(0, {n})), slice({values}, {step + 1}, greatest(0, {n})), (x, y) -> {both}), array())"
+def _beside(values: Column, step: int, both) -> Column:
+    """both(x, y) of each two values that are step apart."""
+    n = F.greatest(F.lit(0), F.size(values) - step)
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(step + 1), n), both)
 
 
-def _run_widths(k: int) -> list[tuple[int, int]]:
-    """(width so far, step) by which runs of one place grow to runs of k places, doubling."""
+def _steps(width: int) -> list[int]:
+    """By how much runs of one place are to grow, again and again, to runs of width places: doubling, and what is left."""
     out, have = [], 1
-    while have < k:
-        out.append((have, min(have, k - have)))
-        have += out[-1][1]
+    while have < width:
+        out.append(min(have, width - have))
+        have += out[-1]
     return out
 
 
-def _with_fingerprints(df: DataFrame, words: str, k: int, window: int) -> DataFrame:
-    """df with __fp, the distinct least hashes of every window of k-grams of words. Hashes of runs, and then least ones, grow by doubling, so a
-    word takes a few steps, whatever k and window; each step is a column of its own, which is worked out once."""
-    at = "__w0"
-    df = df.withColumn(at, F.expr(f"transform({words}, x -> xxhash64(x))"))
-    steps = [(w, s, "xxhash64(x, y)") for w, s in _run_widths(k)] + [(w, s, "least(x, y)") for w, s in _run_widths(window)]
-    for i, (width, step, both) in enumerate(steps):
-        df = df.withColumn(f"__w{i + 1}", F.expr(_beside(at, step, width, both))).drop(at)
-        at = f"__w{i + 1}"
-    return df.withColumn("__fp", F.array_distinct(at)).drop(at)
+def fingerprints(words: Column, k: int, window: int) -> Column:
+    """The distinct least hashes of every window of k-grams of words. Hashes of runs, and then least ones, grow by doubling, so a word takes a few steps, whatever k and
+    window; each step's array is bound to a name, so that it is worked out once and the plan stays small."""
+    todo = [(s, lambda x, y: F.xxhash64(x, y)) for s in _steps(k)] + [(s, lambda x, y: F.least(x, y)) for s in _steps(window)]
+
+    def grown(values: Column, i: int) -> Column:
+        return F.array_distinct(values) if i == len(todo) else bound(values, lambda v: grown(_beside(v, *todo[i]), i + 1))
+
+    return grown(F.transform(words, lambda x: F.xxhash64(x)), 0)
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
@@ -106,9 +106,9 @@ def measured(keyed: DataFrame, items: DataFrame, text_col: str, item_col: str, i
     texts = keyed.select("__key", words_of(F.col(text_col)).alias("words"))
     found = []
     if span in lengths:
-        prints = lambda df: _with_fingerprints(df, "words", k, span - k + 1)
-        longs = prints(bench.where(F.col("len") == span).select("words")).select(F.explode("__fp").alias("fp")).distinct()
-        found.append(exploded(prints(texts), F.col("__fp"), "fp", "__key").join(bounded(settled(longs, "fingerprints"), MOST_BROADCAST), "fp", "left_semi"))
+        prints = fingerprints(F.col("words"), k, span - k + 1)
+        longs = bench.where(F.col("len") == span).select(F.explode(prints).alias("fp")).distinct()
+        found.append(exploded(texts, prints, "fp", "__key").join(bounded(settled(longs, "fingerprints"), MOST_BROADCAST), "fp", "left_semi"))
     for n in (x for x in lengths if x < span):
         short = sought.where(F.col("len") == n).select("g")
         found.append(exploded(texts, F.array_distinct(F.expr(_grams("words", str(n)))), "g", "__key").join(bounded(short, MOST_BROADCAST), "g", "left_semi"))

@@ -13,7 +13,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.spans import running
+from spanloom.functions.spans import bound, running
 from spanloom.llm.common import bounded, exploded, row_key, settled, table
 
 
@@ -173,13 +173,13 @@ def spans_of(text: Column, rule: Rule, kind: int) -> Column:
     cut = F.lit(rf"\G((?s:.*?))({rule.whole})")
     pairs = F.arrays_zip(F.regexp_extract_all(text, cut, F.lit(1)).alias("g"), F.regexp_extract_all(text, cut, F.lit(2)).alias("m"))
     value = (lambda m: F.regexp_replace(m, "^" + rule.regex, "")) if rule.value else (lambda m: m)
-    begins = running(F.transform(pairs, lambda x: F.length(x["g"]) + F.length(x["m"])))
 
     def one(x: Column, at: Column) -> Column:
         start = at + F.length(x["g"])
         return F.when(F.length(value(x["m"])) >= rule.min_value, F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["m"])).alias("end")))
 
-    return F.when(text.rlike(rule.whole), F.array_compact(F.zip_with(pairs, begins, one)))
+    found = bound(pairs, lambda r: F.array_compact(F.zip_with(r, running(F.transform(r, lambda x: F.length(x["g"]) + F.length(x["m"]))), one)))
+    return F.when(text.rlike(rule.whole), found)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:

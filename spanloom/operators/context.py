@@ -109,19 +109,20 @@ def enhance(found: DataFrame, words: dict[str, dict[str, dict[str, float]]] | No
     listed = words_of(F.col("type"), F.col("lang"), CONTEXT_WORDS if words is None else words)
     if runtime:
         listed = F.concat(listed, _words({w.lower(): RUNTIME for w in runtime}))
-    rows = found
-    if regions is not None:
-        r = regions.select(F.col("doc_id").alias("__d"), F.col("from").alias("__from"), F.col("to").alias("__to"), F.col("words").alias("__w"))
-        own = rows.select("doc_id", "start", "end").distinct().join(r, (F.col("doc_id") == F.col("__d")) & (F.col("start") >= F.col("__from")) & (F.col("end") <= F.col("__to")))
-        own = own.groupBy("doc_id", "start", "end").agg(F.flatten(F.collect_list("__w")).alias("__more"))
-        rows = rows.join(own, ["doc_id", "start", "end"], "left")
-        more = F.transform(F.coalesce("__more", F.array().cast("array<string>")), lambda w: F.struct(F.lower(w).alias("word"), lemma(F.lower(w)).alias("stem"), F.lit(RUNTIME).alias("weight")))
-        listed = F.concat(listed, more.cast(f"array<{_WORD}>"))
     window = F.coalesce(F.create_map(*[F.lit(x) for kv in WINDOWS.items() for x in kv])[F.col("type")], F.lit(WINDOW))
     before = F.lower(F.substring(F.col("full"), F.greatest(F.lit(1), F.col("start") - window + 1), F.least(window, F.col("start"))))
     after = F.lower(F.substring(F.col("full"), F.col("end") + 1, window))
+    rows = found.withColumns({"__b": before, "__a": after})
+    if regions is not None:
+        # the windows are cut out before, so that whole texts aren't shuffled; never a broadcast, since regions grow with the documents
+        one = F.struct(F.col("from"), F.col("to"), F.col("words"))
+        r = regions.where("words is not null").groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(one).alias("__regions")).hint("merge")
+        rows = rows.join(r, F.col("doc_id") == F.col("__d"), "left")
+        own = F.filter(F.coalesce("__regions", F.array().cast(r.schema["__regions"].dataType)), lambda x: (F.col("start") >= x["from"]) & (F.col("end") <= x["to"]))
+        more = F.transform(F.flatten(F.transform(own, lambda x: x["words"])), lambda w: F.struct(F.lower(w).alias("word"), lemma(F.lower(w)).alias("stem"), F.lit(RUNTIME).alias("weight")))
+        listed = F.concat(listed, more.cast(f"array<{_WORD}>"))
     lemmas = lambda c: F.transform(F.regexp_extract_all(c, F.lit("[a-zA-Z0-9_]+"), F.lit(0)), lambda w: lemma(w))
-    rows = rows.withColumns({"__words": listed, "__b": before, "__a": after, "__lb": lemmas(before), "__la": lemmas(after)})
+    rows = rows.withColumns({"__words": listed, "__lb": lemmas(F.col("__b")), "__la": lemmas(F.col("__a"))})
 
     def part(sign: int) -> Column:
         def step(acc: Column, w: Column) -> Column:
@@ -137,7 +138,7 @@ def enhance(found: DataFrame, words: dict[str, dict[str, dict[str, float]]] | No
     moved = F.when(F.col("__up") > F.col("__down"), F.greatest(moved, F.lit(FLOOR))).otherwise(moved)
     if denied is not None:
         moved = F.when(denied, F.col("confidence")).otherwise(moved)
-    return rows.withColumn("enhanced", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)), 6)).drop("__words", "__b", "__a", "__lb", "__la", "__up", "__down", "__more")
+    return rows.withColumn("enhanced", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)), 6)).drop("__words", "__b", "__a", "__lb", "__la", "__up", "__down", "__d", "__regions")
 
 
 def enhance_sql(found: str, runtime: tuple[str, ...] = ()) -> str:

@@ -110,11 +110,14 @@ def is_person_name_sql(text: str) -> str:
 ENTITY = "array<struct<start:int,end:int,text:string,type:string,pattern:string,rank:int>>"
 
 
-def extract(docs: DataFrame, patterns: tuple[Pattern, ...], id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LENGTH) -> DataFrame:
-    """(id_col, type, pattern, rank, start, end, text) of all patterns' spans of least characters or more; one pass over the texts, without a shuffle."""
+def extract(docs: DataFrame, patterns: tuple[Pattern, ...], id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, type, pattern, rank, start, end, text) of all patterns' spans of least characters or more; one pass over the texts, without a shuffle.
+
+    keep: further columns of docs, which come after them, so that a span meets its own text without a join.
+    """
     found = [_named(spans(F.col(text_col), p.regex, p.fold, p.group, p.any_of), p, i) for i, p in enumerate(patterns)]
     # outer, since the planner would filter by the size of an inner generator's array, and so scan every text twice
-    rows = docs.select(id_col, F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("e")).where("e is not null").select(id_col, "e.type", "e.pattern", "e.rank", "e.start", "e.end", "e.text")
+    rows = docs.select(id_col, *keep, F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("e")).where("e is not null").select(id_col, "e.type", "e.pattern", "e.rank", "e.start", "e.end", "e.text", *keep)
     return rows.where(F.length("text") >= least)
 
 

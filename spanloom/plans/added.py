@@ -34,8 +34,8 @@ def _lang(df: DataFrame) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    rows = texts(spark, d)
-    return _lang(extract.extract(rows, extract.HIGH_RECALL).join(rows.select("doc_id", F.col("text").alias("full")), "doc_id")).withColumn("confidence", F.lit(0.5))
+    rows = _lang(texts(spark, d).withColumn("full", F.col("text")))
+    return extract.extract(rows, extract.HIGH_RECALL, keep=("full", "lang")).withColumn("confidence", F.lit(0.5))
 
 
 def c9_enhanced(spark: SparkSession, d: str) -> DataFrame:

@@ -30,6 +30,23 @@ def test_enhancer(spark):
     assert out[2] == pytest.approx(0.5 - 0.9 * 0.8 / 1.2 * 0.35, abs=1e-6) and out[3] == 0.5
 
 
+def test_enhancer_regions(spark):
+    """Words of all regions that hold the span count, of its own document only; regions without words or ends count for none."""
+    rows = [(k, "EMAIL", 4, 10, "a@b.ch", "zzz a@b.ch", "it", 0.5) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, type string, start int, end int, text string, full string, lang string, confidence double")
+    given = [(1, 0, 20, ["ZZZ"]), (1, 5, 20, ["zzz"]), (1, 0, 20, None), (1, None, 20, ["zzz"]), (2, 0, 9, ["zzz"]), (4, 0, 20, ["zzz"]), (None, 0, 20, ["zzz"])]
+    regions = spark.createDataFrame(given, "doc_id long, from int, to int, words array<string>")
+    out = context.enhance(df, regions=regions)
+    assert out.columns == [*df.columns, "enhanced"]
+    assert [(r.doc_id, r.enhanced) for r in out.orderBy("doc_id").collect()] == [(1, pytest.approx(0.5 + 0.8 * 1.2 / 1.2 * 0.35, abs=1e-6)), (2, 0.5), (3, 0.5)]
+
+
+def test_spans_keep_columns_of_their_own_text(spark):
+    docs = spark.createDataFrame([(1, "a@b.ch", "x"), (1, "c@d.ch", "y"), (2, None, "z")], "doc_id long, text string, full string")
+    out = extract.extract(docs, extract.HIGH_RECALL[2:3], keep=("full",))
+    assert sorted((r.doc_id, r.text, r.full) for r in out.collect()) == [(1, "a@b.ch", "x"), (1, "c@d.ch", "y")]
+
+
 def test_tables(spark):
     items = [(1, 10 * r + c, f"{r}{c}", 100.0 * c + r % 2, 700.0 - 20 * r, 30.0) for r in range(4) for c in range(3)]
     items += [(2, i, "one line", 50.0, 700.0 - 20 * i, 30.0) for i in range(5)]

@@ -47,6 +47,11 @@ def test_query_without_sql_has_rows(spark, smallest, name):
     assert df.columns and df.limit(1).count() == 1
 
 
+@pytest.mark.parametrize("name", ["c8_runtime"])
+def test_texts_are_not_broadcast(spark, smallest, name):
+    assert "Broadcast" not in QUERIES[name][0](spark, smallest)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nothing_else_imports_the_llm_subpackage():
     import re
     from pathlib import Path

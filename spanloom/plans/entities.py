@@ -68,8 +68,7 @@ select doc_id, entity_id, related, position, repetition, round(least(1.0, confid
 
 def c2_label_factor(spark: SparkSession, d: str) -> DataFrame:
     """High-recall entities of the texts, and whether a word of their type stands before them."""
-    t = texts(spark, d)
-    found = extract.extract(t, extract.HIGH_RECALL).join(t.select("doc_id", F.col("text").alias("full")), "doc_id")
+    found = extract.extract(texts(spark, d).withColumn("full", F.col("text")), extract.HIGH_RECALL, keep=("full",))
     return scoring.label_factor(found).select("doc_id", "pattern", "start", "labelled")
 
 

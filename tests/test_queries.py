@@ -47,7 +47,7 @@ def test_query_without_sql_has_rows(spark, smallest, name):
     assert df.columns and df.limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", ["c8_runtime", "c9_enhanced"])
+@pytest.mark.parametrize("name", ["c2_label_factor", "c8_runtime", "c9_enhanced"])
 def test_texts_are_not_broadcast(spark, smallest, name):
     assert "Broadcast" not in QUERIES[name][0](spark, smallest)._jdf.queryExecution().executedPlan().toString()
 

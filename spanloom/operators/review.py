@@ -89,7 +89,9 @@ def timeout_ms(size: Column) -> Column:
 
 
 def readable_size(size: Column) -> Column:
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(F.format_string("%.1f", size / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", size / 1048576), F.lit(" MB")))
+    """Bytes as B, KB or MB, these with one decimal; halves of it go to the even one, which a format alone would raise. Null: null."""
+    shown = lambda unit: F.format_string("%.1f", F.bround(size / unit, 1))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(shown(1024), F.lit(" KB"))).when(size.isNotNull(), F.concat(shown(1048576), F.lit(" MB")))
 
 
 def ui_language(locale: Column) -> Column:

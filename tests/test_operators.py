@@ -47,6 +47,18 @@ def test_spans_keep_columns_of_their_own_text(spark):
     assert sorted((r.doc_id, r.text, r.full) for r in out.collect()) == [(1, "a@b.ch", "x"), (1, "c@d.ch", "y")]
 
 
+def test_sizes_round_as_in_the_sql(spark):
+    """Every quarter and eighth of a unit, and what is a byte off."""
+    import duckdb
+
+    sizes = sorted({max(0, k * unit // 8 + off) for unit in (1024, 1048576) for k in range(1, 2000) for off in (-1, 0, 1)} | {786432 * 7919})
+    out = {r.size: r.shown for r in spark.createDataFrame([(x,) for x in sizes] + [(None,)], "size long").select("size", review.readable_size(F.col("size")).alias("shown")).collect()}
+    theirs = dict(duckdb.execute("select size, case when size < 1024 then size || ' B' when size < 1048576 then format('{:.1f} KB', size / 1024) else format('{:.1f} MB', size / 1048576) end from (select unnest(?::bigint[]) as size)", [sizes]).fetchall())
+    assert out[786432 * 7919] == "5939.2 MB" and out[1280] == "1.2 KB" and out[1792] == "1.8 KB"
+    assert {k: v for k, v in out.items() if k is not None} == theirs
+    assert out[None] is None
+
+
 def test_tables(spark):
     items = [(1, 10 * r + c, f"{r}{c}", 100.0 * c + r % 2, 700.0 - 20 * r, 30.0) for r in range(4) for c in range(3)]
     items += [(2, i, "one line", 50.0, 700.0 - 20 * i, 30.0) for i in range(5)]

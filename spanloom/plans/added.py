@@ -15,7 +15,7 @@ from spanloom.plans import analytics as plans_analytics
 from spanloom.plans import detection
 from spanloom.plans import entities as plans_entities
 from spanloom.plans import texts as plans_texts
-from spanloom.plans.inputs import ENTITIES_SQL, IDS_SQL, TEXTS_SQL, derived, entities, ids, in_sql, table, texts
+from spanloom.plans.inputs import ENTITIES_SQL, IDS_SQL, TEXTS_SQL, dealt_texts, derived, entities, ids, in_sql, table, texts
 
 E, T = f"e as {ENTITIES_SQL}", f"t as materialized {TEXTS_SQL}"
 RUNTIME = ("Rechnung", "Tél", "Contact")
@@ -33,20 +33,20 @@ def _lang(df: DataFrame) -> DataFrame:
     return df.withColumn("lang", t.language(F.col("full")))
 
 
-def _found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lang(texts(spark, d).withColumn("full", F.col("text")))
+def _found(docs: DataFrame) -> DataFrame:
+    rows = _lang(docs.withColumn("full", F.col("text")))
     return extract.extract(rows, extract.HIGH_RECALL, keep=("full", "lang")).withColumn("confidence", F.lit(0.5))
 
 
 def c9_enhanced(spark: SparkSession, d: str) -> DataFrame:
     """High-recall entities with the words of their type and the text's language; denied ones keep their confidence."""
-    return context.enhance(_found(spark, d), denied=rules.is_denied(F.col("type"), F.col("text"))).select("doc_id", "pattern", "start", "enhanced")
+    return context.enhance(_found(dealt_texts(spark, d)), denied=rules.is_denied(F.col("type"), F.col("text"))).select("doc_id", "pattern", "start", "enhanced")
 
 
 def c8_runtime(spark: SparkSession, d: str) -> DataFrame:
     """The same with words that are given at run time, and regions with words of their own."""
     regions = texts(spark, d).where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("from"), F.lit(60).alias("to"), F.array(F.lit("Muster")).alias("words"))
-    return context.enhance(_found(spark, d), runtime=RUNTIME, regions=regions).select("doc_id", "pattern", "start", "enhanced")
+    return context.enhance(_found(texts(spark, d)), runtime=RUNTIME, regions=regions).select("doc_id", "pattern", "start", "enhanced")
 
 
 _CTX = f"""select row_number() over () as k, f.*, t.text as "full", {t.language_sql("t.text")} as lang, 0.5::double as confidence from {extract.extract_sql("t", extract.HIGH_RECALL)} f join t using (doc_id)"""

@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of a query over the tables."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
+def derived(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """The rows of a query over the tables, or over those that are given in their place."""
+    used = {t: given[t] if t in given else table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 
@@ -67,6 +67,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, TEXTS)
 
 
+def dealt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts, dealt over the shuffle partitions by their keys, which are all that is shuffled: a text is many times its key, so that a file of few splits
+    would leave all work on the texts to few tasks."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return derived(spark, sf_dir, TEXTS, customer=table(spark, sf_dir, "customer").select(K).repartition(n, K))
+
+
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, IDS)
 

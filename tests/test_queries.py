@@ -52,6 +52,11 @@ def test_texts_are_not_broadcast(spark, smallest, name):
     assert "Broadcast" not in QUERIES[name][0](spark, smallest)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_of_one_split_are_dealt_over_the_tasks(spark, smallest):
+    assert spark.read.parquet(f"{smallest}/customer.parquet").rdd.getNumPartitions() == 1
+    assert QUERIES["c9_enhanced"][0](spark, smallest).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_nothing_else_imports_the_llm_subpackage():
     import re
     from pathlib import Path
